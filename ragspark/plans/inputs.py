@@ -41,14 +41,13 @@ def spans(t: Tables) -> DataFrame:
 
     Candidates come from an equi-join on a passage's first words, with the words of every place of the documents, so no passage
     meets every document; a substring test decides. Words at the passage's ends may be cut, so its second to fifth count."""
-    def grams(words, first, n):  # noqa: ANN001, ANN202
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(n)), " "))) if first is None else F.xxhash64(F.array_join(F.slice(words, first, F.lit(n)), " "))
-
     w = tx.words(F.col("text"))
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("quote"), w.alias("_w")).withColumn("_long", F.size("_w") >= 6)
     short = asked.filter("not _long").select("query_id", "quote")
-    asked = asked.filter("_long").select("query_id", "quote", grams(F.col("_w"), 2, 4).alias("_g"))
-    found = t.documents.select("doc_id", F.explode(F.array_distinct(grams(w, None, 4))).alias("_g"))
+    asked = asked.filter("_long").select("query_id", "quote", F.xxhash64(F.array_join(F.slice("_w", 2, 4), " ")).alias("_g"))
+    later = F.arrays_zip(w.alias("a"), *(F.slice(w, k + 1, F.greatest(F.size(w), F.lit(1))).alias("bcd"[k - 1]) for k in (1, 2, 3)))
+    grams = F.transform(F.filter(later, lambda g: g["d"].isNotNull()), lambda g: F.xxhash64(F.concat_ws(" ", g["a"], g["b"], g["c"], g["d"])))
+    found = t.documents.select("doc_id", F.explode(F.array_distinct(grams)).alias("_g"))
     met = found.join(asked, "_g").select("doc_id", "query_id", "quote").distinct()
     if not short.isEmpty():  # passages of under six words have no inner words to go by
         met = met.unionByName(t.documents.select("doc_id", "text").join(short, F.contains("text", "quote")).select("doc_id", "query_id", "quote"))

@@ -92,7 +92,7 @@ def r11_corpus_statistics(t: Tables) -> DataFrame:
 HALF = "SELECT item_id AS query_id, substr(text, 1, 80) AS text FROM benchmark"
 
 
-@query(f"WITH {bm25_sql(prefix='a', k=40)}, {bm25_sql(HALF, prefix='b', k=40)}, {fuse_sql(['ahits', 'bhits'], 5)} SELECT query_id, chunk_id, score, rank FROM fhits")
+@query(f"WITH {bm25_sql(prefix='whole_', k=40)}, {bm25_sql(HALF, prefix='half_', k=40)}, {fuse_sql(['whole_hits', 'half_hits'], 5)} SELECT query_id, chunk_id, score, rank FROM fhits")
 def r12_rank_fusion(t: Tables) -> DataFrame:
     """Rankings by whole passages and by their beginnings."""
     chunks = inputs.as_chunks(t)
