@@ -31,27 +31,18 @@ KINDS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
-    "date": r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./][0-9])",
+    "date": r"(?<![0-9./])[0-9]{2}(?<sep>[./])[0-9]{2}\k<sep>[0-9]{4}(?![0-9]|[./][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    # a group of a phone number never begins what could be a card number
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?(?![0-9]{13}|[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -][0-9]{4}(?![0-9])))[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?<four>[ -])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{4}|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9A-Za-z])",
 }
 #: The first day and the number of days of the cycle, as a product of two near factors.
 FIRST_DAY, DAYS = "1800-01-01", (27, 5411)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _any() -> str:
-    """One pattern for all kinds. Back references are renumbered by name."""
-    return "|".join(f"(?:{p.replace('([./])', f'(?<sep>[./])').replace(chr(92) + '1', chr(92) + 'k<sep>')})" for p in KINDS.values())
-
-
-PATTERN = _any()
-
-
-def round_value(key: str, name: str, number: int, half: Column) -> Column:
-    """52 bits of SHA-256, as a long."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(name), F.lit(number), half.cast("string")), 256), 1, 13), 16, 10).cast("long")
+PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
 def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, name: str) -> Column:
@@ -76,7 +67,6 @@ def permuted_digits(digits: Column, key: str, name: str) -> Column:
     n = F.length(digits)
     cut = F.floor(n / 2).cast("int")
     a, b = F.substring(digits, F.lit(1), cut), F.substring(digits, cut + 1, n - cut)
-    ten = F.lit(10).cast("decimal(19,0)")
     size = lambda d: F.rpad(F.lit("1"), F.length(d) + 1, "0").cast("long")
     out = feistel(a.cast("long"), b.cast("long"), size(a), size(b), key, name)
     return F.concat(F.lpad(out["l"].cast("string"), cut, "0"), F.lpad(out["r"].cast("string"), n - cut, "0"))
@@ -191,9 +181,8 @@ def email(value: Column, key: str) -> tuple[Column, Column]:
     at = F.instr(value, "@")
     local, domain = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.length(value))
     form = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    for alphabet in (range(2),):
-        for n in alphabet:
-            local = _stream(local, F.concat_ws("|", form, F.lower(domain)), key, n)
+    for n in range(2):
+        local = _stream(local, F.concat_ws("|", form, F.lower(domain)), key, n)
     return F.length(local) > 0, F.concat(local, domain)
 
 
