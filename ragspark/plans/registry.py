@@ -11,14 +11,21 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Tables whose rows are costly to work on.
+HEAVY = ("documents", "pages")
+
+
 class Tables:
-    """The tables of a folder by name."""
+    """The tables of a folder by name. A heavy one that is stored in fewer parts than there are cores, so a small one, is dealt
+    out to all of them; a large one is read as it lies, without a shuffle."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if name in HEAVY and rows.rdd.getNumPartitions() < cores else rows
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
