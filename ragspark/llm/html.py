@@ -34,11 +34,14 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title noscript template iframe".split())
 ASIDE = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 ENDS_P = BLOCKS - {"body", "html", "head", "title", "caption", "option", "optgroup", "legend"}
+#: An end tag of SHALLOW closes nothing that lies outside the innermost of ROOTS.
+ROOTS, SHALLOW = frozenset(("article", "main", "body")), frozenset(("p", "div", "span", "b", "i", "a"))
 DEFAULT = {"a": -1.0, "/a": -1.0, "li": -1.0, "/li": -1.0, "p": 0.0, "/p": 0.0, "": -0.5}
 #: Scale of a tag's log-odds, and a word's score in a block that stands mostly outside.
 SCALE, OUTSIDE = 3.0, 0.1
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag that nothing ends runs to the end of the page. Nothing is given back, so a page is read in linear time.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -69,40 +72,43 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(feature, block, skipped, text) of each tag and text: the tag's feature, or empty for a text; the innermost block's name;
     whether it lies in an element that is left out."""
     stack: list[tuple[str, bool]] = []
-    blocks = [""]
+    blocks = [("", -1)]  # names and places in the stack
+    opened, within = Counter(), [Counter()]  # names in the whole stack, and above each root in it
 
     def drop(to: int) -> None:
         while len(stack) > to:
-            if stack.pop()[0] in BLOCKS:
+            name = stack.pop()[0]
+            opened[name] -= 1
+            if name in BLOCKS:
                 blocks.pop()
+            if name in ROOTS:
+                within.pop()
+            else:
+                within[-1][name] -= 1
 
     for kind, name, more in tokens(page):
         if kind == "text":
-            yield "", blocks[-1], bool(stack) and stack[-1][1], more
+            yield "", blocks[-1][0], bool(stack) and stack[-1][1], more
         elif kind == "open":
-            if name in ENDS_P or name in ("li", "option"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] == name == "li":
-                        drop(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
+            if (name in ENDS_P or name in ("li", "option")) and (blocks[-1][0] == "p" or blocks[-1][0] == name == "li"):
+                drop(blocks[-1][1])
             skip = name in SKIPPED or bool(more) and not ASIDE.isdisjoint(re.split(r"[^a-z]+", more))
             skip = skip or bool(stack) and stack[-1][1]
-            yield name, name if name in BLOCKS else blocks[-1], skip, ""
+            yield name, name if name in BLOCKS else blocks[-1][0], skip, ""
             if name not in VOID:
                 stack.append((name, skip))
+                opened[name] += 1
                 if name in BLOCKS:
-                    blocks.append(name)
+                    blocks.append((name, len(stack) - 1))
+                if name in ROOTS:
+                    within.append(Counter())
+                else:
+                    within[-1][name] += 1
         else:
             skip = bool(stack) and stack[-1][1]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    drop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body") and name in ("p", "div", "span", "b", "i", "a"):
-                    break
-            yield "/" + name, blocks[-1], skip, ""
+            if (within[-1] if name in SHALLOW else opened)[name]:
+                drop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            yield "/" + name, blocks[-1][0], skip, ""
 
 
 def count(page: str) -> tuple[Counter, Counter]:

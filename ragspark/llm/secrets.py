@@ -30,7 +30,7 @@ ASSIGN_LEAST = 6
 #: Patterns of the weak candidates.
 IDENT = r"""(?i:\b(?:account|client|user|tenant|access_?key)_?(?:id|name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 OPAQUE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|jdbc:[a-z]+)://[^\s"'<>]+|\b[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b"""
+ENDPOINT = r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|jdbc:[a-z]+)://[^\s"'<>]+|(?<![A-Za-z0-9_.-])[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b"""
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 BASE = KINDS[:3]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "opaque": "secret", "endpoint": "endpoint"}

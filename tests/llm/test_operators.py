@@ -325,3 +325,20 @@ def test_neighbours(spark):
 def test_crc_of_pieces(spark, docs):
     rows = packing.pieces(docs, FILE, PATTERN).withColumn("crc", F.crc32("ids")).collect()
     assert all(r["crc"] == zlib.crc32(bytes(r["ids"])) for r in rows)
+
+
+def test_pages_that_end_within_a_tag_or_nest_deep():
+    n = 50_000
+    for page in ("<a " * n, "<!" * n, "<a href=\"" * (n + 1), "<a class='" * (n + 1), "<div>" * n + "</x>" * n, "<span>" * n + "<hr>" * n, "<span><article>" + "<i>" * n + "</span>" * n):
+        assert html.extract(page, html.DEFAULT) == ""
+    assert html.extract("<p>one two <b title='x>y'>three</b></p><p class=\"z", html.DEFAULT) == "one two three"
+
+
+def test_very_long_runs(spark):
+    n = 100_000
+    mails = ["a@" + "b." * n + "1", "a" * n + "@b.com", "a" * 64 + "@b.com"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), counts="kinds").collect()}
+    assert [got[i]["kinds"] for i in range(3)] == [[], [], ["email"]] and [got[i]["text"] for i in range(2)] == mails[:2]
+    hosts = ["a." * n + "com", "a-" * n, "AKIA" + "A" * 16 + " secret=abcdef x." + "y." * 50 + "amazonaws.com"]
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string")).collect()}
+    assert found == {0: [], 1: [], 2: [1, 0, 5]}
