@@ -54,6 +54,11 @@ def markdown(files: DataFrame) -> DataFrame:
     return files.select("path", text.alias("text")).withColumn("segments", F.when(F.length("text") > 0, whole).otherwise(F.slice(whole, 1, 0)))
 
 
+def read_from() -> Column:
+    """The file that a row was read from, as it is named: Spark gives it as a URI, with blanks and the like escaped."""
+    return F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+
+
 def joined_lines(source: Column) -> Column:
     """A notebook field that is a string or a JSON list of strings."""
     return F.coalesce(F.array_join(F.from_json(source, "array<string>"), ""), source)
@@ -73,7 +78,7 @@ def useful_output(outputs: Column) -> Column:
 
 def notebook_parts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, page, text) of the cells of notebooks: page counts all cells from 1; cells of other kinds and blank ones go."""
-    cells = spark.read.schema(NOTEBOOK).option("multiLine", True).json(path).select(F.input_file_name().alias("_path"), F.posexplode("cells").alias("_at", "c"))
+    cells = spark.read.schema(NOTEBOOK).option("multiLine", True).json(path).select(read_from().alias("_path"), F.posexplode("cells").alias("_at", "c"))
     source, output = tx.strip(F.coalesce(joined_lines(F.col("c.source")), F.lit(""))), useful_output(F.col("c.outputs"))
     code = F.when(output != "", tx.strip(F.concat(source, F.lit("\n\n"), output))).otherwise(source)
     text = F.when(F.col("c.cell_type") == "markdown", source).when(F.col("c.cell_type") == "code", code)
@@ -125,7 +130,7 @@ def read_frozen(spark: SparkSession, path: str, text: str = "text") -> DataFrame
 
 def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of files with one JSON object a line. Rows have the line's number; problems name file and line."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("_at", "line"))
+    lines = spark.read.option("wholetext", True).text(path).select(read_from().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("_at", "line"))
     lines = lines.filter(F.trim("line") != "").select("file", (F.col("_at") + 1).alias("line_no"), F.from_json("line", DATASET + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "line")
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | F.col("r.id").isNull()
     return lines.filter(~bad).select("line_no", "r.*").drop("_corrupt"), lines.filter(bad).select("file", "line_no", "line")
