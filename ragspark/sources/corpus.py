@@ -130,7 +130,7 @@ def read_frozen(spark: SparkSession, path: str, text: str = "text") -> DataFrame
 
 def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of files with one JSON object a line. Rows have the line's number; problems name file and line."""
-    lines = spark.read.option("wholetext", True).text(path).select(read_from().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("_at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(read_from().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("_at", "line"))
     lines = lines.filter(F.trim("line") != "").select("file", (F.col("_at") + 1).alias("line_no"), F.from_json("line", DATASET + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "line")
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | F.col("r.id").isNull()
     return lines.filter(~bad).select("line_no", "r.*").drop("_corrupt"), lines.filter(bad).select("file", "line_no", "line")
