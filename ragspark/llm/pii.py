@@ -15,8 +15,8 @@ The networks are bijections of fixed rounds; round values are the leading bits o
 Equal values get equal pseudonyms in every document, whatever their separators; separators and formats stay.
 
 Defined results: a null text stays null and an empty one empty; values that fail validation stay, and so do
-addresses with more than 64 characters before the sign; where kinds overlap the
-leftmost wins, then the order of KINDS; repeated rows are treated alike. Other columns are passed through.
+addresses with more than 64 characters before the sign; where valid values overlap the
+leftmost wins, then the order of KINDS (what fails validation hides nothing that begins within it); repeated rows are treated alike. Other columns are passed through.
 """
 
 from __future__ import annotations
@@ -26,19 +26,35 @@ from pyspark.sql import functions as F
 
 KEY = "ragspark-pseudonyms-1"
 ROUNDS = 8
+#: Lengths of IBANs by country, as registered; others may have any.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_REGISTERED = "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBANS.items()
+)
 #: Patterns by kind, tried in this order at each place.
 KINDS = {
     # bounded: addresses are no longer, and Java's matcher goes one call deeper with every label
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,60}\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_REGISTERED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
-    "date": r"(?<![0-9./])[0-9]{2}(?<sep>[./])[0-9]{2}\k<sep>[0-9]{4}(?![0-9]|[./][0-9])",
+    "date": r"(?<![0-9./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9]|[./][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    # a group of a phone number never begins what could be a card number
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?(?![0-9]{13}|[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -][0-9]{4}(?![0-9])))[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?<four>[ -])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{4}|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5})(?![0-9A-Za-z])",
 }
+_AREA = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+#: What a group of a phone number never begins: a card number and, after enough digits for a number, any other kind.
+_CARD = r"[0-9]{13}|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9]|[ -][0-9]{4}(?![0-9]))"
+_MORE = "[ .()-]{0,3}[0-9]"  # written out, as a lookbehind takes no repeated group of varying length
+_OTHER = "|".join([*KINDS.values(), f"(?:{_AREA})(?![0-9A-Za-z])"])
+_GROUP = rf"[ .-]?(?!{_CARD})(?!(?<=[0-9]{6 * _MORE}[ .-]?)(?:{_OTHER}))[0-9]{{2,4}}"
+#: It ends before its sixteenth digit.
+KINDS["phone"] = (
+    rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{1,4}}(?:{_GROUP}){{1,4}}(?<![0-9]{15 * _MORE})|{_AREA})(?![0-9A-Za-z])"
+)
 #: The first day and the number of days of the cycle, as a product of two near factors.
 FIRST_DAY, DAYS = "1800-01-01", (27, 5411)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -219,10 +235,34 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", counts: str | None = None) -> DataFrame:
     """docs with pseudonyms in the text. counts: the name of an array column of the kinds replaced, in order."""
     t = F.col(text)
-    found = F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key))
-    gaps = F.split(t, PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(g, F.coalesce(m["value"], F.lit(""))))), "")
     hit = t.rlike(PATTERN)
-    kinds = F.transform(F.filter(found, lambda m: m["kind"].isNotNull()), lambda m: m["kind"])
-    out = docs.withColumns({counts: F.when(hit, kinds).otherwise(F.array().cast("array<string>"))}) if counts else docs
-    return out.withColumn(text, F.when(hit, whole).otherwise(t))
+    # a match at each place where one begins, within others too, and the text cut at these places
+    found = F.regexp_extract_all(t, F.lit(f"(?=({PATTERN}))"), F.lit(1))
+    cut = F.split(t, f"(?={PATTERN})", -1)
+    before = F.when(F.size(cut) > F.size(found), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    pieces = F.zip_with(cut, F.concat(before, found), lambda piece, m: F.struct(piece.alias("piece"), m.alias("m")))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("taken"), F.array().cast("array<string>").alias("kinds"))
+
+    def add(state: Column, x: Column) -> Column:
+        """taken: the characters from here on that belong to a value before; a value that fails validation takes none."""
+        free = (state["taken"] == 0) & x["m"].isNotNull()
+        new = F.when(free, pseudonym(x["m"], key))
+        return F.transform(F.array(new), lambda p: _placed(state, x, p))[0]
+
+    result = F.when(hit, F.aggregate(pieces, start, add))
+    out = docs.withColumn("_pseudonyms", result)
+    if counts:
+        out = out.withColumn(counts, F.coalesce(F.col("_pseudonyms.kinds"), F.array().cast("array<string>")))
+    return out.withColumn(text, F.when(F.col("_pseudonyms").isNotNull(), F.col("_pseudonyms.out")).otherwise(t)).drop("_pseudonyms")
+
+
+def _placed(state: Column, x: Column, new: Column) -> Column:
+    """The state after a piece of text, with the pseudonym of the match that begins it, if any."""
+    valid = new["kind"].isNotNull()
+    taken = F.when(valid, F.length(x["m"])).otherwise(state["taken"])
+    left = F.substring(x["piece"], taken + 1, F.length(x["piece"]))
+    return F.struct(
+        F.concat(state["out"], F.when(valid, new["value"]).otherwise(""), left).alias("out"),
+        F.greatest(taken - F.length(x["piece"]), F.lit(0)).alias("taken"),
+        F.when(valid, F.concat(state["kinds"], F.array(new["kind"]))).otherwise(state["kinds"]).alias("kinds"),
+    )

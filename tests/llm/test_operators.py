@@ -342,3 +342,20 @@ def test_very_long_runs(spark):
     hosts = ["a." * n + "com", "a-" * n, "AKIA" + "A" * 16 + " secret=abcdef x." + "y." * 50 + "amazonaws.com"]
     found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string")).collect()}
     assert found == {0: [], 1: [], 2: [1, 0, 5]}
+
+
+SIDE_BY_SIDE = {
+    "email": ["a.b12@mail.example.com"], "iban": ["DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034"], "ipv4": ["190.137.223.204"], "isodate": ["2021-03-04"], "date": ["31.12.1999", "12/30/1999"], "ssn": ["123-45-6789"],
+    "phone": ["+1 (826) 555-4081", "+44 20 7946 0958", "(836) 555-9331", "212-555-0187"], "card": ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"],
+}
+
+
+def test_kinds_side_by_side(spark):
+    each = [(k, v) for k, values in SIDE_BY_SIDE.items() for v in values]
+    cases = [([a, b], f"{v} {w}") for a, v in each for b, w in each]
+    cases += [(["card"], "XX12 4111 1111 1111 1111"), (["card"], "1234 4111 1111 1111 1111"), (["phone"], "+1 (826) 555-4081 12345678"), (["phone", "ipv4"], "x +1 (843) 555-7672 170.106.47.218 y"), ([], "XX12 4111 1111 1111 1112")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, counts="kinds").collect()}
+    wrong = [(t, got[i]["kinds"], got[i]["text"]) for i, (kinds, t) in enumerate(cases) if got[i]["kinds"] != kinds]
+    assert not wrong
+    assert not [t for i, (_, t) in enumerate(cases[: len(each) ** 2]) if any(v in got[i]["text"] for _, v in each if v in t)]
