@@ -8,14 +8,14 @@ numeric dates that exist. Each value is permuted by a keyed Feistel network with
   dates        the day's number in the 400-year cycle 1800 to 2199, as 27 * 5411 = 146,097 places
   social       area and group (898 * 99 places) against serial (9,999 places)
   IPv4         two halves of 16 bits
-  cards, IBAN  the payload digits as above, then the check digits anew
+  cards, IBAN  the payload digits as above, then the check digits anew; an IBAN's payload with letters as in an e-mail
   e-mail       the local part letter by letter and digit by digit, shifted by a keyed stream over its own format; the domain stays
 
 The networks are bijections of fixed rounds; round values are the leading bits of SHA-256 over key, format, round and half.
 Equal values get equal pseudonyms in every document, whatever their separators; separators and formats stay.
 
 Defined results: a null text stays null and an empty one empty; values that fail validation stay, and so do
-addresses with more than 64 characters before the sign; where valid values overlap the
+addresses with more than 64 letters and digits on end before the sign; where valid values overlap the
 leftmost wins, then the order of KINDS (what fails validation hides nothing that begins within it); repeated rows are treated alike. Other columns are passed through.
 """
 
@@ -26,18 +26,19 @@ from pyspark.sql import functions as F
 
 KEY = "ragspark-pseudonyms-1"
 ROUNDS = 8
-#: Lengths of IBANs by country, as registered; others may have any.
+#: Lengths of IBANs by country, as registered, with letters or digits; others may have any length, of digits.
 IBANS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
 _REGISTERED = "|".join(
-    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBANS.items()
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBANS.items()
 )
 #: Patterns by kind, tried in this order at each place.
 KINDS = {
-    # bounded: addresses are no longer, and Java's matcher goes one call deeper with every label
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,60}\.[A-Za-z]{2,}",
+    # bounded: addresses are no longer, and Java's matcher goes one call deeper with every label. In a longer run an address
+    # begins after a point or the like, at the first such place from which it is not too long
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[._%+-])(?=[A-Za-z0-9]))[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,60}\.[A-Za-z]{2,}",
     "iban": rf"(?<![A-Za-z0-9])(?:{_REGISTERED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
@@ -108,16 +109,16 @@ def modulus_97(digits: Column) -> Column:
     return F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(0), lambda s, d: F.pmod(s * 10 + d.cast("int"), F.lit(97)))
 
 
-def letters_as_numbers(letters: Column) -> Column:
-    """A is 10 and Z is 35."""
-    return F.array_join(F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: (F.ascii(c) - 55).cast("string")), "")
+def letters_as_numbers(text: Column) -> Column:
+    """A is 10 and Z is 35; digits stay."""
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(c.between("0", "9"), c).otherwise((F.ascii(c) - 55).cast("string"))), "")
 
 
-def in_format(shape: Column, digits: Column) -> Column:
-    """The shape with its digits replaced, one by one, by these."""
+def in_format(shape: Column, digits: Column, letters: bool = False) -> Column:
+    """The shape with its digits, or its digits and capitals, replaced, one by one, by these."""
     def add(state: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(state["out"], F.when(is_digit, F.substring(digits, state["i"] + 1, F.lit(1))).otherwise(c)).alias("out"), (state["i"] + is_digit.cast("int")).alias("i"))
+        own = c.between("0", "9") | c.between("A", "Z") if letters else c.between("0", "9")
+        return F.struct(F.concat(state["out"], F.when(own, F.substring(digits, state["i"] + 1, F.lit(1))).otherwise(c)).alias("out"), (state["i"] + own.cast("int")).alias("i"))
 
     return F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), add, lambda s: s["out"])
 
@@ -138,10 +139,11 @@ def iban(value: Column, key: str) -> tuple[Column, Column]:
     tight = F.replace(value, F.lit(" "), F.lit(""))
     country, rest = F.substring(tight, 1, 2), F.substring(tight, F.lit(5), F.length(tight) - 4)
     number = letters_as_numbers(country)
-    body = permuted_digits(rest, key, "iban")
-    check = F.lpad((98 - modulus_97(F.concat(body, number, F.lit("00")))).cast("string"), 2, "0")
-    valid = (modulus_97(F.concat(rest, number, F.substring(tight, 3, 2))) == 1) & (F.length(rest) <= 30)
-    return valid, in_format(value, F.concat(check, body))
+    mixed = _permuted_form(rest, country, key, "iban")
+    body = F.when(rest.rlike("[A-Z]"), mixed).otherwise(permuted_digits(rest, key, "iban"))
+    check = F.lpad((98 - modulus_97(F.concat(letters_as_numbers(body), number, F.lit("00")))).cast("string"), 2, "0")
+    valid = (modulus_97(F.concat(letters_as_numbers(rest), number, F.substring(tight, 3, 2))) == 1) & (F.length(rest) <= 30)
+    return valid, in_format(value, F.concat(country, check, body), True)
 
 
 def ssn(value: Column, key: str) -> tuple[Column, Column]:
@@ -198,16 +200,21 @@ def email(value: Column, key: str) -> tuple[Column, Column]:
     domain and all characters before it, so the map is a bijection."""
     at = F.instr(value, "@")
     local, domain = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.length(value))
+    return F.length(local) > 0, F.concat(_permuted_form(local, F.lower(domain), key, "email"), domain)
+
+
+def _permuted_form(local: Column, salt: Column, key: str, name: str) -> Column:
+    """Letters and digits, permuted among the texts of equal form."""
     form = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     for n in range(2):
-        local = _stream(local, F.concat_ws("|", form, F.lower(domain)), key, n)
-    return F.length(local) > 0, F.concat(local, domain)
+        local = _stream(local, F.concat_ws("|", form, salt), key, f"{name}{n}", n)
+    return local
 
 
-def _stream(local: Column, salt: Column, key: str, number: int) -> Column:
+def _stream(local: Column, salt: Column, key: str, name: str, number: int) -> Column:
     """One pass from the left; the result is turned round, so that a second pass spreads every character over all."""
     def add(state: Column, c: Column) -> Column:
-        shift = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"email{number}"), salt, state["seen"]), 256), 1, 8), 16, 10).cast("long")
+        shift = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(name), salt, state["seen"]), 256), 1, 8), 16, 10).cast("long")
         move = lambda low, n: F.chr(F.ascii(F.lit(low)) + F.pmod(F.ascii(c) - F.ascii(F.lit(low)) + F.pmod(shift, F.lit(n)), F.lit(n)))
         new = F.when(c.between("a", "z"), move("a", 26)).when(c.between("A", "Z"), move("A", 26)).when(c.between("0", "9"), move("0", 10)).otherwise(c)
         return F.struct(F.concat(state["out"], new).alias("out"), F.concat(state["seen"], c).alias("seen"))

@@ -359,3 +359,20 @@ def test_kinds_side_by_side(spark):
     wrong = [(t, got[i]["kinds"], got[i]["text"]) for i, (kinds, t) in enumerate(cases) if got[i]["kinds"] != kinds]
     assert not wrong
     assert not [t for i, (_, t) in enumerate(cases[: len(each) ** 2]) if any(v in got[i]["text"] for _, v in each if v in t)]
+
+
+def test_whole_addresses_and_ibans(spark):
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "NL91ABNA0417164300", "IE29 AIBK 9311 5212 3456 78", "IT60 X054 2811 1010 0000 0123 456", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    mails = ["Contact" + "." * 70 + "jane@example.com", "_" * 90 + "jane@example.com", "to=" + "a%26b%3D" * 20 + "jane@example.com", "-" * 30_000 + "jane@example.com"]
+    texts = [f"{x} {tail}".strip() for x in ibans for tail in ("", "END OF LINE", "4111 1111 1111 1111", "+1 (826) 555-4081")] + ["GB28 NWBK 6016 1331 9268 19"]
+    df = spark.createDataFrame(list(enumerate(texts + mails)), "doc_id long, text string")
+    got = [r for r in pii.pseudonymise(df, counts="kinds").orderBy("doc_id").collect()]
+    for i, x in enumerate(ibans):
+        for r, more in zip(got[4 * i : 4 * i + 4], ([], [], ["card"], ["phone"])):
+            new = r["text"][: len(x)]
+            assert r["kinds"] == ["iban", *more] and new != x and re.sub("[A-Z]", "A", re.sub("[0-9]", "0", new)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x))
+            tight = new.replace(" ", "")
+            assert tight[:2] == x[:2] and int("".join(str(int(c, 36)) for c in tight[4:] + tight[:4])) % 97 == 1
+    assert got[len(texts) - 1]["kinds"] == []
+    for r, x in zip(got[len(texts) :], mails):
+        assert r["kinds"] == ["email"] and "jane@" not in r["text"] and len(r["text"]) == len(x) and r["text"].endswith("@example.com")
