@@ -43,7 +43,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token windows."""
-    cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, special=True)
     digests = shared.written(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(digests, ("doc_id", "start"))
 

@@ -37,13 +37,13 @@ RANKED = 100_000
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizers file, in the library that encodes it fastest: merges follow the ids, which are
-    the ranks. Special tokens of the file are left out, so their strings in a text are ordinary text."""
+    the ranks. The added tokens of the file are its special tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model.get("added_tokens", ())}
+    special = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
     byte = {c: b for b, c in enumerate(_byte_characters())}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _byte_characters() -> str:
@@ -54,16 +54,18 @@ def _byte_characters() -> str:
     return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
-    """(key, start, length, doc_tokens, ids): each document's ids in pieces; ids are little-endian unsigned 32-bit."""
+def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, special: bool = False) -> DataFrame:
+    """(key, start, length, doc_tokens, ids): each document's ids in pieces; ids are little-endian unsigned 32-bit.
+    special: strings of special tokens in a text are these tokens, as in the tokenizers library by default; else ordinary text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
+        allowed = of.special_tokens_set if special else set()
         for batch in batches:
             for part in portions(batch, "_text"):
                 rows: list[tuple] = []
                 for value, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(of.encode_to_numpy(x, disallowed_special=()) if x else [], end).astype("<u4")
+                    ids = np.append(of.encode_to_numpy(x, allowed_special=allowed, disallowed_special=()) if x else [], end).astype("<u4")
                     rows += ((value, at, min(window, len(ids) - at), len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window))
                 types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, "start", "length", "doc_tokens", "ids"])

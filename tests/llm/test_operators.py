@@ -376,3 +376,19 @@ def test_whole_addresses_and_ibans(spark):
     assert got[len(texts) - 1]["kinds"] == []
     for r, x in zip(got[len(texts) :], mails):
         assert r["kinds"] == ["email"] and "jane@" not in r["text"] and len(r["text"]) == len(x) and r["text"].endswith("@example.com")
+
+
+def test_special_tokens_as_the_library_has_them(spark, tmp_path):
+    import corpus_pipeline
+    from ragspark.llm import queries
+
+    of = Tokenizer.from_file(FILE)
+    texts = [*TEXTS, "a<|endoftext|>b", "x <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|" + "<|endoftext|>" * 3000]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {}
+    for i, t in enumerate(texts):
+        ids = [*of.encode(t or "", add_special_tokens=False).ids, 1]
+        wanted |= {(i, at): (len(ids), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for at in range(0, len(ids), 2048)}
+    for rows in (queries.op8_bin_slack_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, df, str(tmp_path))):
+        assert {(r["doc_id"], r["start"]): (r["doc_tokens"], r["ids_crc32"]) for r in rows.collect()} == wanted
