@@ -6,7 +6,9 @@ with exactly one article or main element, whose inside is content. A tag's weigh
 outside; a word scores 1 where its block is a kind that stands inside at least as often as outside, and a tenth otherwise.
 
 Within the run, elements that are never article text are left out: those of SKIPPED, and those whose class, id or role
-holds a word of ASIDE. Their words score nothing.
+holds a word of ASIDE. Their words score nothing. Wrappers are marked with such words too (has-sidebar, comment-open), so marks
+never leave out an element of ROOTS or html by itself, nor one that holds a main or an article without marks, nor one with
+over half of the page's words, unless an article or main without marks stands outside it.
 
 Defined results: a null or empty page gives an empty text; so does one without words; the earliest of equal runs is taken.
 Repeated rows are extracted each. Without labelled pages the weights of DEFAULT hold.
@@ -71,13 +73,39 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(feature, block, skipped, text) of each tag and text: the tag's feature, or empty for a text; the innermost block's name;
     whether it lies in an element that is left out."""
-    stack: list[tuple[str, bool]] = []
+    rows = list(_parts(page))
+    opened: list[list[int]] = []  # marked elements: first row, end, words within, plain roots within
+    inner: list[int] = []
+    words = roots = 0
+    for k, (_, _, skipped, text, marks, plain, closed) in enumerate(rows):
+        for _ in range(closed):
+            e = opened[inner.pop()]
+            e[1:] = k, words - e[2], roots - e[3]
+        if marks:
+            inner.append(len(opened))
+            opened.append([k, len(rows), words, roots])
+        words, roots = words + (0 if skipped else len(text.split())), roots + plain
+    for i in inner:
+        opened[i][1:] = len(rows), words - opened[i][2], roots - opened[i][3]
+    left = {b: e for b, e, n, held in opened if not held and (2 * n <= words or roots)}
+    end = 0
+    for k, (feature, block, skipped, text, *_) in enumerate(rows):
+        end = max(end, left.get(k, 0))
+        yield feature, block, skipped or k < end, text
+
+
+def _parts(page: str) -> Iterator[tuple[str, str, bool, str, bool, bool, int]]:
+    """parts, by SKIPPED alone; whether marks of ASIDE could leave the element out; whether it is
+    a main or an article without marks; how many such marked elements have ended before."""
+    stack: list[tuple[str, bool, bool]] = []
     blocks = [("", -1)]  # names and places in the stack
     opened, within = Counter(), [Counter()]  # names in the whole stack, and above each root in it
 
-    def drop(to: int) -> None:
+    def drop(to: int) -> int:
+        ended = 0
         while len(stack) > to:
-            name = stack.pop()[0]
+            name, _, marked = stack.pop()
+            ended += marked
             opened[name] -= 1
             if name in BLOCKS:
                 blocks.pop()
@@ -85,18 +113,21 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
                 within.pop()
             else:
                 within[-1][name] -= 1
+        return ended
 
     for kind, name, more in tokens(page):
         if kind == "text":
-            yield "", blocks[-1][0], bool(stack) and stack[-1][1], more
+            yield "", blocks[-1][0], bool(stack) and stack[-1][1], more, False, False, 0
         elif kind == "open":
+            ended = 0
             if (name in ENDS_P or name in ("li", "option")) and (blocks[-1][0] == "p" or blocks[-1][0] == name == "li"):
-                drop(blocks[-1][1])
-            skip = name in SKIPPED or bool(more) and not ASIDE.isdisjoint(re.split(r"[^a-z]+", more))
-            skip = skip or bool(stack) and stack[-1][1]
-            yield name, name if name in BLOCKS else blocks[-1][0], skip, ""
+                ended = drop(blocks[-1][1])
+            skip = name in SKIPPED or bool(stack) and stack[-1][1]
+            aside = bool(more) and not ASIDE.isdisjoint(re.split(r"[^a-z]+", more))
+            marked = aside and not skip and name not in ROOTS and name not in VOID and name != "html"
+            yield name, name if name in BLOCKS else blocks[-1][0], skip, "", marked, name in ("article", "main") and not aside and not skip, ended
             if name not in VOID:
-                stack.append((name, skip))
+                stack.append((name, skip, marked))
                 opened[name] += 1
                 if name in BLOCKS:
                     blocks.append((name, len(stack) - 1))
@@ -105,10 +136,10 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
                 else:
                     within[-1][name] += 1
         else:
-            skip = bool(stack) and stack[-1][1]
+            skip, ended = bool(stack) and stack[-1][1], 0
             if (within[-1] if name in SHALLOW else opened)[name]:
-                drop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
-            yield "/" + name, blocks[-1][0], skip, ""
+                ended = drop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            yield "/" + name, blocks[-1][0], skip, "", False, False, ended
 
 
 def count(page: str) -> tuple[Counter, Counter]:

@@ -392,3 +392,22 @@ def test_special_tokens_as_the_library_has_them(spark, tmp_path):
         wanted |= {(i, at): (len(ids), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for at in range(0, len(ids), 2048)}
     for rows in (queries.op8_bin_slack_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, df, str(tmp_path))):
         assert {(r["doc_id"], r["start"]): (r["doc_tokens"], r["ids_crc32"]) for r in rows.collect()} == wanted
+
+
+def test_wrappers_with_marks():
+    article = "<h1>Head</h1><p>One bold text and many more words stand here for all to read</p><div class='comments'><p>reader says hello</p></div>"
+    text = "Head\nOne bold text and many more words stand here for all to read"
+    side = "<div class='sidebar'><p>Other things that no one reads</p></div>"
+    for page in (
+        f"<html class='js no-banner'><body><article>{article}</article>{side}</body></html>",
+        f"<body class='ast-no-sidebar'><article>{article}</article>{side}</body>",
+        f"<body class='has-sidebar'><div>{article}</div>{side}</body>",
+        f"<body><main role='main' class='share'>{article}</main>{side}</body>",
+        f"<body><article class='post comment-open'>{article}</article>{side}</body>",
+        f"<body><div class='has-sidebar'><article>{article}</article></div>{side}</body>",
+        f"<body><div class='content share-enabled'>{article}</div>{side}</body>",
+        f"<body><div class='has-sidebar'><article class='post comment-open'>{article}</article></div>{side}</body>",
+        f"<body><article>{article}</article><div id='comments'><article class='comment'><p>{'reader says hello ' * 20}</p></article></div></body>",
+        f"<body><div class='has-sidebar'><div class='no-sidebar'><p class='share'><main>{article}</main>",
+    ):
+        assert html.extract(page, html.DEFAULT) == text
