@@ -4,30 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
+    one; on a cluster that would be out of the executors' sight, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, a lost executor recomputes nothing before it, and
-    every reader sees the same rows."""
+    every reader sees the same rows. spent: tables of this function that nothing but df reads; they are removed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in spent:
+        old = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """This name, with underscores before it until none of the taken columns has it in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def share_of(sample: int, rows: int, *by: Column | str) -> Column:
+    """Whether a row falls into a sample of about so many of the rows, by a hash of these columns."""
+    return F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int(min(1.0, sample / max(1, rows)) * (1 << 40))
+
+
 def portions(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """batch in slices whose strings of this column hold about so many bytes; a longer string is a slice of its own."""
     data = batch.column(batch.schema.get_field_index(column))
