@@ -8,7 +8,10 @@ outside; a word scores 1 where its block is a kind that stands inside at least a
 Within the run, elements that are never article text are left out: those of SKIPPED, and those whose class, id or role
 holds a word of ASIDE. Their words score nothing. Wrappers are marked with such words too (has-sidebar, comment-open), so marks
 never leave out an element of ROOTS or html by itself, nor one that holds a main or an article without marks, nor one with
-over half of the page's words, unless an article or main without marks stands outside it.
+over half of the page's words, unless an article or main without marks stands outside it. An element whose class is as a whole
+a word of ASIDE, as in "comments", is left out though it holds most words, where words without marks stand outside it.
+
+Attributes are read as HTML has them: quotes count only right after an equals sign, so a stray one swallows nothing.
 
 Defined results: a null or empty page gives an empty text; so does one without words; the earliest of equal runs is taken.
 Repeated rows are extracted each. Without labelled pages the weights of DEFAULT hold.
@@ -27,14 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragspark.llm.shared import share_of
+
 #: Labelled pages that weights are fitted on, about: those with a hash below a bound.
 SAMPLE = 4_000
 #: Elements by kind, as HTML defines them, and words that sites use for what is no article text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("aside button canvas datalist dialog footer form head header iframe input label menu nav noscript object option script search select style svg template textarea title video audio".split())
+#: Elements of the text within blocks. Names of none of these kinds share one feature, so that there are few.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 ASIDE = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+KNOWN = BLOCKS | SKIPPED | VOID | INLINE
 ENDS_P = BLOCKS - {"body", "html", "head", "title", "caption", "option", "optgroup", "legend"}
 #: An end tag of SHALLOW closes nothing that lies outside the innermost of ROOTS.
 ROOTS, SHALLOW = frozenset(("article", "main", "body")), frozenset(("p", "div", "span", "b", "i", "a"))
@@ -43,8 +51,13 @@ DEFAULT = {"a": -1.0, "/a": -1.0, "li": -1.0, "/li": -1.0, "p": 0.0, "/p": 0.0,
 SCALE, OUTSIDE = 3.0, 0.1
 
 #: A tag that nothing ends runs to the end of the page. Nothing is given back, so a page is read in linear time.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
-MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+
+
+def marks_of(attributes: str) -> str:
+    """The values of class, id and role."""
+    return " ".join(x for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") for x in values if x).lower()
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -60,8 +73,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if m["end"]:
             yield "close", name, ""
             continue
-        marks = " ".join(x for a in MARK.findall(m["rest"]) for x in a if x).lower() if m["rest"] else ""
-        yield "open", name, marks
+        yield "open", name, marks_of(m["rest"]) if "=" in m["rest"] else ""
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -74,29 +86,30 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(feature, block, skipped, text) of each tag and text: the tag's feature, or empty for a text; the innermost block's name;
     whether it lies in an element that is left out."""
     rows = list(_parts(page))
-    opened: list[list[int]] = []  # marked elements: first row, end, words within, plain roots within
+    opened: list[list[int]] = []  # marked elements: first row, end, words within, plain roots within, how strongly marked
     inner: list[int] = []
-    words = roots = 0
+    words = roots = plain_words = 0
     for k, (_, _, skipped, text, marks, plain, closed) in enumerate(rows):
         for _ in range(closed):
             e = opened[inner.pop()]
-            e[1:] = k, words - e[2], roots - e[3]
+            e[1:4] = k, words - e[2], roots - e[3]
         if marks:
             inner.append(len(opened))
-            opened.append([k, len(rows), words, roots])
-        words, roots = words + (0 if skipped else len(text.split())), roots + plain
+            opened.append([k, len(rows), words, roots, marks])
+        n = 0 if skipped else len(text.split())
+        words, roots, plain_words = words + n, roots + plain, plain_words + (0 if inner else n)
     for i in inner:
-        opened[i][1:] = len(rows), words - opened[i][2], roots - opened[i][3]
-    left = {b: e for b, e, n, held in opened if not held and (2 * n <= words or roots)}
+        opened[i][1:4] = len(rows), words - opened[i][2], roots - opened[i][3]
+    left = {b: e for b, e, n, held, strength in opened if not held and (2 * n <= words or roots or strength == 2 and plain_words)}
     end = 0
     for k, (feature, block, skipped, text, *_) in enumerate(rows):
         end = max(end, left.get(k, 0))
         yield feature, block, skipped or k < end, text
 
 
-def _parts(page: str) -> Iterator[tuple[str, str, bool, str, bool, bool, int]]:
-    """parts, by SKIPPED alone; whether marks of ASIDE could leave the element out; whether it is
-    a main or an article without marks; how many such marked elements have ended before."""
+def _parts(page: str) -> Iterator[tuple[str, str, bool, str, int, bool, int]]:
+    """parts, by SKIPPED alone; whether marks of ASIDE could leave the element out (2: a whole class or role is one); whether it
+    is a main or an article without marks; how many such marked elements have ended before."""
     stack: list[tuple[str, bool, bool]] = []
     blocks = [("", -1)]  # names and places in the stack
     opened, within = Counter(), [Counter()]  # names in the whole stack, and above each root in it
@@ -117,7 +130,7 @@ def _parts(page: str) -> Iterator[tuple[str, str, bool, str, bool, bool, int]]:
 
     for kind, name, more in tokens(page):
         if kind == "text":
-            yield "", blocks[-1][0], bool(stack) and stack[-1][1], more, False, False, 0
+            yield "", blocks[-1][0], bool(stack) and stack[-1][1], more, 0, False, 0
         elif kind == "open":
             ended = 0
             if (name in ENDS_P or name in ("li", "option")) and (blocks[-1][0] == "p" or blocks[-1][0] == name == "li"):
@@ -125,7 +138,8 @@ def _parts(page: str) -> Iterator[tuple[str, str, bool, str, bool, bool, int]]:
             skip = name in SKIPPED or bool(stack) and stack[-1][1]
             aside = bool(more) and not ASIDE.isdisjoint(re.split(r"[^a-z]+", more))
             marked = aside and not skip and name not in ROOTS and name not in VOID and name != "html"
-            yield name, name if name in BLOCKS else blocks[-1][0], skip, "", marked, name in ("article", "main") and not aside and not skip, ended
+            strength = marked and 2 - ASIDE.isdisjoint(more.split())
+            yield name, name if name in BLOCKS else blocks[-1][0], skip, "", int(strength), name in ("article", "main") and not aside and not skip, ended
             if name not in VOID:
                 stack.append((name, skip, marked))
                 opened[name] += 1
@@ -139,7 +153,7 @@ def _parts(page: str) -> Iterator[tuple[str, str, bool, str, bool, bool, int]]:
             skip, ended = bool(stack) and stack[-1][1], 0
             if (within[-1] if name in SHALLOW else opened)[name]:
                 ended = drop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
-            yield "/" + name, blocks[-1][0], skip, "", False, False, ended
+            yield "/" + name, blocks[-1][0], skip, "", 0, False, ended
 
 
 def count(page: str) -> tuple[Counter, Counter]:
@@ -154,7 +168,8 @@ def count(page: str) -> tuple[Counter, Counter]:
         elif feature in ("/article", "/main"):
             at = 0
         elif feature:
-            (inside if at else outside)[feature] += 1
+            name = feature.removeprefix("/")
+            (inside if at else outside)[feature if name in KNOWN else ""] += 1
         elif n := len(text.split()):
             (inside if at else outside)[f"#{block}"] += n
     return inside, outside
@@ -165,7 +180,7 @@ def weights(inside: Counter, outside: Counter) -> dict[str, float]:
     if not inside:
         return DEFAULT
     a, b, out = sum(inside.values()), sum(outside.values()), {"": -0.5}
-    for x in inside.keys() | outside.keys():
+    for x in (inside.keys() | outside.keys()) - {""}:
         odds = math.log((inside[x] + 0.5) / (a + 1)) - math.log((outside[x] + 0.5) / (b + 1))
         out[x] = (1.0 if odds >= 0 else OUTSIDE) if x[0] == "#" else min(0.0, SCALE * odds)
     return out
@@ -201,7 +216,7 @@ def fit(pages: DataFrame, page: str = "html", sample: int = SAMPLE) -> dict[str,
     """Weights from labelled pages. The sample's counts are summed by feature before they come to the driver."""
     labelled = pages.filter(F.lower(page).rlike("<(article|main)[ >]"))
     n = labelled.count()
-    chosen = labelled.filter(F.pmod(F.xxhash64(page), F.lit(1 << 40)) <= int(min(1.0, sample / max(1, n)) * (1 << 40)))
+    chosen = labelled.filter(share_of(sample, n, page))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()
@@ -213,7 +228,7 @@ def fit(pages: DataFrame, page: str = "html", sample: int = SAMPLE) -> dict[str,
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "side", "n"])
 
     found = chosen.select(page).mapInArrow(run, "feature string, side int, n long").groupBy("feature", "side").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "feature", "side").limit(10_000).collect()  # element names; unknown ones share one weight
+    rows = found.collect()  # a row for each known element and block and each side
     return weights(*(Counter({r["feature"]: r["n"] for r in rows if r["side"] == side}) for side in (0, 1)))
 
 
