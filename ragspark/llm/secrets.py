@@ -5,9 +5,11 @@ characters), access (AKIA and capitals or digits, 20 or more characters) and hex
 
 Weak candidates are spans that mean nothing by themselves: ident (a named account, client or user identifier), opaque
 (a lone token of 32 to 128 letters, digits, + and /, with capitals, small letters and digits) and endpoint (a URL with a host, or
-a database or cloud host). Parts are linked by an interval join: a candidate reaches `reach` code points to either side
-and meets the parts there. The join's key is the document and a bucket of that width; buckets hold the number of parts by
-role, the least start and the greatest end, so a candidate meets three rows however many parts a scope holds.
+a database or cloud host). A token that overlaps a base span or an ident is that span's own value, no part of its own, so
+one value never completes itself. Parts are linked by an interval join: a candidate meets the parts that end within `reach`
+code points before it or begin within that distance after it, so parts that overlap it don't count. The join's key is the
+document and a bucket of that width; for each role a bucket holds the least and the greatest end and start of its parts,
+which decide for all of them, so a candidate meets four rows however many parts a scope holds.
 Reported are: ident, where a secret part (base or opaque) is in reach; opaque, where an identifier (access or ident)
 is; endpoint, where both an identifier and a secret are.
 
@@ -35,6 +37,8 @@ KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 BASE = KINDS[:3]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "opaque": "secret", "endpoint": "endpoint"}
 REACH = 300
+#: Matches that are walked in one run.
+RUN = 256
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -55,10 +59,23 @@ def spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0)
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    def walk(rows: Column) -> Column:
+        def steps(state: Column, first: Column) -> Column:
+            """A run of matches by itself, so that appending copies the spans of the run, not all before it."""
+            some = F.aggregate(F.slice(rows, first, RUN), F.struct(state["at"].alias("at"), empty.alias("out")), step)
+            return F.transform(F.array(some), lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], r["out"]).alias("out")))[0]
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(rows), F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("out")), steps, lambda s: s["out"])
+
+    walked = F.transform(F.array(rows), walk)[0]  # rows are made once, not in each run
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
+def apart(found: Column, others: Column) -> Column:
+    """Those of the spans that overlap none of the others."""
+    return F.when(F.size(found) == 0, found).otherwise(F.filter(found, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"]))))
+
+
 def joined(found: Column) -> Column:
     """kind:start:end by start, then kind, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
@@ -69,26 +86,29 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
     """(key, base, spans) for each row of docs: arrays of (start, kind, end), kind by its place in KINDS, sorted."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(spans(whole, ASSIGN, 0, ASSIGN_LEAST, 2), spans(whole, ACCESS, 1), spans(whole, HEX, 2))
-    weak = F.concat(spans(whole, IDENT, 3), spans(whole, OPAQUE, 4), spans(whole, ENDPOINT, 5))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), base.alias("base"), weak.alias("weak"))
+    firm = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), whole.alias("text"), base.alias("base"), spans(whole, IDENT, 3).alias("ident"))
+    opaque, endpoint = spans(F.col("text"), OPAQUE, 4), spans(F.col("text"), ENDPOINT, 5)
+    rows = firm.select("row", "key", "base", "ident", opaque.alias("opaque"), endpoint.alias("endpoint"))
+    rows = rows.select("row", "key", "base", F.concat("ident", apart(F.col("opaque"), F.concat("base", "ident")), "endpoint").alias("weak"))
     rows = written(rows, "spans")
     of = rows.filter(F.size("weak") > 0)
     roles = F.array(*(F.lit(ROLE[k]) for k in KINDS))
-    part = of.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", F.element_at(roles, F.col("s.kind") + 1).alias("role"))
-    buckets = part.select("row", "role", "s", F.explode(F.sequence(F.floor(F.col("s.start") / reach), F.floor((F.col("s.end") - 1) / reach))).alias("bucket"))
-    buckets = buckets.filter("role <> 'endpoint'").groupBy("row", "bucket").agg(*(
-        f(F.when(F.col("role") == role, F.col(f"s.{end}"))).alias(f"{name}_{role}") for role in ("identifier", "secret") for name, f, end in (("first", F.min, "start"), ("last", F.max, "end"))
-    ))
+    part = of.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", F.element_at(roles, F.col("s.kind") + 1).alias("role")).filter("role <> 'endpoint'")
+    sides = F.explode(F.array(F.struct(F.lit("end").alias("side"), F.col("s.end").alias("at")), F.struct(F.lit("start").alias("side"), F.col("s.start").alias("at"))))
+    part = part.select("row", "role", sides.alias("p")).select("row", "role", "p.*", F.floor(F.col("p.at") / reach).alias("bucket"))
+    buckets = part.groupBy("row", "side", "bucket").agg(*(f(F.when(F.col("role") == role, F.col("at"))).alias(f"{name}_{role}") for role in ("identifier", "secret") for name, f in (("first", F.min), ("last", F.max))))
     asked = of.select("row", F.explode("weak").alias("s"))
-    near = F.sequence(F.floor(F.col("s.start") / reach) - 1, F.floor((F.col("s.end") - 1) / reach) + 1)
-    met = asked.select("row", "s", F.explode(near).alias("bucket")).join(buckets, ["row", "bucket"])
+    low, high = F.floor(F.col("s.start") / reach), F.floor(F.col("s.end") / reach)
+    # what ends in the bucket of the start, or begins in that of the end, is near enough; what does so one bucket on stands on the right side
+    near = F.array(*(F.struct(F.lit(side).alias("side"), bucket.alias("bucket"), F.lit(inner).alias("inner")) for side, bucket, inner in (("end", low, True), ("end", low - 1, False), ("start", high, True), ("start", high + 1, False))))
+    met = asked.select("row", "s", F.explode(near).alias("n")).select("row", "s", "n.*").join(buckets, ["row", "side", "bucket"])
 
     def reached(role: str) -> Column:
-        """Some part of this role lies within reach. A candidate's own role never counts for it, so it can't meet itself."""
-        before, after = F.col(f"last_{role}") > F.col("s.start") - reach, F.col(f"first_{role}") < F.col("s.end") + reach
-        inner = (F.col("bucket") >= F.floor(F.col("s.start") / reach)) & (F.col("bucket") <= F.floor((F.col("s.end") - 1) / reach))
-        low = F.col("bucket") < F.floor(F.col("s.start") / reach)
-        return F.max(F.when(inner, F.col(f"last_{role}").isNotNull()).when(low, before).otherwise(after))
+        """Some part of this role ends within reach before the candidate, or begins within reach after it."""
+        first, last, inner = F.col(f"first_{role}"), F.col(f"last_{role}"), F.col("inner")
+        before = F.when(inner, first <= F.col("s.start")).otherwise(last > F.col("s.start") - reach)
+        after = F.when(inner, last >= F.col("s.end")).otherwise(first < F.col("s.end") + reach)
+        return F.coalesce(F.max(F.when(F.col("side") == "end", before).otherwise(after)), F.lit(False))
 
     linked = met.groupBy("row", "s").agg(reached("identifier").alias("identifier"), reached("secret").alias("secret"))
     kind = F.col("s.kind")
