@@ -2,18 +2,28 @@
 
 Fingerprints: ASCII letters are lower-cased, words are runs without ASCII white space, shingles are `words_each` words
 joined by one space, with repeats (fewer words: the whole sequence is the one shingle; none: fingerprint 0). A bit is set
-if it is set in over half of the shingles' XXH64 hashes.
-
-Pairs: two fingerprints at 3 or fewer bits differ by at most 1 bit in their upper or in their lower half, so each half is
-an index of its own with radius 1 (in general max_bits // 2). A vantage-point tree over a half is fitted on a bounded
-sample of distinct fingerprints: a node deals rows by the distance of the half to its vantage point, inside or outside a
-median radius. Every fingerprint is native to one leaf. By the triangle inequality a partner of an inside row lies outside
-only if the row is within the search radius of the border, so just those rows are sent on to the outer leaves as queries,
-and no pair is looked for twice. A leaf is a shard; shards of many rows are cut into slices that meet slice by slice.
-In a shard the search goes on down a tree of its own, over whole fingerprints, and leaves compare all bits.
+if it is set in over half of the shingles' hashes: XXH64 for the 64 bits of a short fingerprint, and for the 512 bits of
+a long one eight mixtures of it, with every distinct shingle counted once.
+
+Two rules are offered. `near_duplicates` links short fingerprints at `max_bits` or fewer differing bits, exactly.
+`similar_documents` links long ones where their differing bits tell of a Jaccard similarity of the shingle sets of
+`similarity` or more: two sets of similarity J have an angle of arccos(2J / (1 + J)), of which the share of differing bits is
+an estimate. The bound on the bits has room for the estimate's error (ROOM standard deviations), so that a pair right at the
+similarity is linked too. No two fingerprints are linked that differ in more bits; one pair in some dozens that differs in
+fewer is missed (see PIECES).
+
+Search: fingerprints are cut into pieces on which partners differ by very few bits, and each piece is an index of its own.
+A short one has two halves: at 3 or fewer bits in all, one half has at most 1 (in general max_bits // 2). A long one has
+PIECES of PIECE_BITS bits, of which partners at the similarity most likely have one that differs by at most 1.
+A vantage-point tree over a piece is fitted on a sample of distinct fingerprints: a node deals rows by the distance of the
+piece to its vantage point, inside or outside a median radius. Every fingerprint is native to one leaf. By the triangle
+inequality a partner of an inside row lies outside only if the row is within the search radius of the border, so just those
+rows are sent on to the outer leaves as queries, and no pair is looked for twice. A leaf is a shard; shards of many rows are
+cut into slices that meet slice by slice. In a shard the search goes on down a tree of its own, and leaves compare all bits.
 
 Components: a shard returns spanning links only, so groups of near copies never become all their pairs; the links are
-contracted by alternating large and small stars, a few rounds of joins and sums over tables in the shared folder.
+contracted by alternating large and small stars, a few rounds of joins and sums over tables in the shared folder. Joins
+on a node are salted, as one node may be the centre of all the rest.
 
 Defined results: a null text counts as empty; texts without words have fingerprint 0 and link like any other; repeated
 rows and copies share a fingerprint, which is compared once. A null key forms no component minimum but gets its component.
@@ -21,82 +31,144 @@ rows and copies share a fingerprint, which is compared once. A null key forms no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ragspark.llm.shared import written
+from ragspark.llm.shared import free, share_of, written
 
 SEED = 42
-WORDS_EACH = 3
-MAX_BITS = 3
-#: Distinct fingerprints that the tree is fitted on, about: a hash below a bound that the count of fingerprints sets.
-SAMPLE = 40_000
-#: Rows that a shard is meant to hold, and the rows of a slice of a shard that holds far more.
-SHARD, SLICE = 8_000, 64_000
-#: Depth of the tree at most; below it shards are sliced.
-DEEPEST = 11
+WORDS_EACH, SIMILARITY = 5, 0.8
+#: The rule of short fingerprints.
+SHORT_WORDS, MAX_BITS = 3, 3
+#: Long fingerprints: 64-bit words, pieces and their bits. At a similarity of 0.8, 15 bits in 100 differ; a piece then differs by at
+#: most 1 with probability 0.17, and at least one of the pieces does with 0.99.
+LONG_WORDS, PIECES, PIECE_BITS, PIECE_RADIUS, ROOM = 8, 24, 20, 1, 1.65
+#: Distinct fingerprints that trees are fitted on: so many, or this share of them if that is more.
+SAMPLE, SHARE = 40_000, 1 / 500
+#: Rows that a shard of short and of long fingerprints is meant to hold, and the rows of a slice of a shard that holds far more.
+SHARD, LONG_SHARD, SLICE = 8_000, 64_000, 128_000
+#: Depth of a tree at most, for its nodes are sent to every task; below it shards are sliced.
+DEEPEST = 16
 #: Rows of a leaf inside a shard.
 LEAF = 512
 #: Shingles that are hashed at once.
 AT_ONCE = 50_000
+#: Rows of one fingerprint from which on it is joined by itself, and parts into which the rows of a node are dealt.
+HOT, SALTS = 10_000, 16
 
 
-def fingerprint(text: str, words_each: int = WORDS_EACH, seed: int = SEED) -> int:
+def shingle_hashes(text: str, words_each: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles in their order, AT_ONCE at once; none for a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     begins = (ends - lengths).tolist()
     ends = ends[words_each - 1 :].tolist() or [len(joined)]
     of = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(ends), AT_ONCE):
-        hashes = np.array([of(joined[a:b], seed) for a, b in zip(begins[at : at + AT_ONCE], ends[at : at + AT_ONCE])], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(ends)).tobytes(), "big")
+        yield np.array([of(joined[a:b], seed) for a, b in zip(begins[at : at + AT_ONCE], ends[at : at + AT_ONCE])], np.uint64)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words_each: int = WORDS_EACH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, and fp: the fingerprint as a signed long."""
+#: Whether each bit of a byte is set, the highest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set, the highest bit of a row's first word first. hashes: (row,) or (row, word)."""
+    data = hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1)
+    places = np.arange(data.shape[1], dtype=np.int64) * 256
+    counts = np.bincount((data + places).ravel(), minlength=256 * data.shape[1]).reshape(-1, 256)
+    return np.rint(counts.astype(np.float32) @ _BITS).astype(np.int64).ravel()  # AT_ONCE rows are counted exactly
+
+
+def fingerprint(text: str, words_each: int = SHORT_WORDS, seed: int = SEED) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words_each, seed):
+        counts, n = counts + _set_bits(hashes), n + len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+#: Odd numbers and offsets by which a hash is mixed anew for each word of a long fingerprint.
+_ODD = np.arange(1, 2 * LONG_WORDS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_OFFSET = np.arange(1, LONG_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+
 
+def long_fingerprint(text: str, words_each: int = WORDS_EACH) -> bytes:
+    """LONG_WORDS words of 64 bits, little-endian, of the set of the text's shingles."""
+    parts = [*shingle_hashes(text, words_each)]
+    if not parts:
+        return bytes(8 * LONG_WORDS)
+    distinct = np.unique(np.concatenate(parts))
+    counts = np.zeros(64 * LONG_WORDS, np.int64)
+    for at in range(0, len(distinct), 4096):
+        x = (distinct[at : at + 4096, None] ^ _OFFSET) * _ODD
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        counts += _set_bits(x ^ x >> np.uint64(29))
+    return np.packbits(2 * counts > len(distinct)).view(">u8").astype("<u8").tobytes()
+
+
+def _with_prints(docs: DataFrame, text: str, keep: tuple[str, ...], out: str, kind: str, column: Callable[[list[str]], pa.Array]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(x.as_py() or "", words_each) for x in batch.column(batch.num_columns - 1)]
-            column = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*keep, "fp"])
+            values = column([x.as_py() or "" for x in batch.column(batch.num_columns - 1)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*keep, out])
+
+    chosen = docs.select(*keep, F.col(text).alias(free("text", keep)))
+    return chosen.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T._parse_datatype_string(kind))]))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", words_each: int = SHORT_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, and fp: the fingerprint as a signed long."""
+    return _with_prints(docs, text, keep, "fp", "long", lambda texts: pa.array(np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64)))
+
+
+def long_fingerprints(docs: DataFrame, text: str = "text", words_each: int = WORDS_EACH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, and fp: the long fingerprint (binary)."""
+    return _with_prints(docs, text, keep, "fp", "binary", lambda texts: pa.array([long_fingerprint(x, words_each) for x in texts], pa.binary()))
 
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
-    return chosen.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", fp long")
+
+def halves(prints: np.ndarray) -> list[np.ndarray]:
+    """The two halves of short fingerprints."""
+    return [(prints[:, 0] >> np.uint64(shift)) & np.uint64(0xFFFFFFFF) for shift in (0, 32)]
+
+
+def pieces(prints: np.ndarray) -> list[np.ndarray]:
+    """PIECES pieces of long fingerprints, each of PIECE_BITS bits of one word."""
+    each = 64 // PIECE_BITS
+    return [(prints[:, k // each] >> np.uint64(k % each * PIECE_BITS)) & np.uint64((1 << PIECE_BITS) - 1) for k in range(PIECES)]
+
+
+def most_bits(similarity: float, bits: int = 64 * LONG_WORDS) -> int:
+    """Differing bits up to which long fingerprints are linked."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + ROOM * math.sqrt(bits * share * (1 - share)))
 
 
 @dataclass
 class Tree:
-    """A vantage-point tree over one half of the fingerprints, in the order of a binary heap. Node k has children 2k + 1
+    """A vantage-point tree over one piece of the fingerprints, in the order of a binary heap. Node k has children 2k + 1
     (inside) and 2k + 2; leaf k of depth d is node 2^d - 1 + k."""
 
-    shift: int
     depth: int
     vantage: np.ndarray
     radius: np.ndarray
 
-    @staticmethod
-    def half(fp: np.ndarray, shift: int) -> np.ndarray:
-        return (fp >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
-
     @classmethod
-    def fit(cls, sample: np.ndarray, shift: int, depth: int) -> Tree:
+    def fit(cls, sample: np.ndarray, depth: int) -> Tree:
         """Vantage points are chosen from a node's own sample rows: of a few, the one whose distances spread most."""
-        tree = cls(shift, depth, np.zeros((1 << depth) - 1, np.uint64), np.zeros((1 << depth) - 1, np.int64))
-        rows = {0: cls.half(np.unique(sample), shift)}
+        tree = cls(depth, np.zeros((1 << depth) - 1, np.uint64), np.zeros((1 << depth) - 1, np.int64))
+        rows = {0: np.unique(sample)}
         random = np.random.default_rng(SEED)
         for k in range(len(tree.vantage)):
             own = rows.pop(k, np.zeros(0, np.uint64))
@@ -109,12 +181,11 @@ class Tree:
                 rows[2 * k + 1], rows[2 * k + 2] = own[near], own[~near]
         return tree
 
-    def deal(self, fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def deal(self, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row number, leaf, native): each row's own leaf, and the leaves to which it goes as a query."""
-        half = self.half(fp, self.shift)
-        row, node, native = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+        row, node, native = np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
         for _ in range(self.depth):
-            d = np.bitwise_count(half[row] ^ self.vantage[node]).astype(np.int64)
+            d = np.bitwise_count(values[row] ^ self.vantage[node]).astype(np.int64)
             r = self.radius[node]
             inside, outside = d <= r, d > r
             also_in, also_out = ~native & outside & (d - reach <= r), inside & (d + reach > r)
@@ -127,30 +198,41 @@ class Tree:
         return row, node - len(self.vantage), native
 
 
-def close_pairs(native: np.ndarray, query: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Exact pairs within a shard: of natives among themselves, and of queries with natives, each found once."""
-    stack = [(native, query)]
+def close_pairs(values: np.ndarray, native: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within a shard whose values differ by at most so many bits: of natives among themselves, and of
+    queries with natives, each found once."""
+    stack = [(np.flatnonzero(native), np.flatnonzero(~native))]
     while stack:
         own, asked = stack.pop()
         if not len(own) or len(own) + len(asked) < 2:
             continue
-        d = np.bitwise_count(own ^ own[0]).astype(np.int64)
-        r = int(np.median(d))
-        r = min(r, int(d.max()) - 1) if len(own) > LEAF else r
-        near = d <= r
-        if len(own) <= LEAF:
+        v = values[own]
+        d = np.bitwise_count(v ^ v[0]).astype(np.int64)
+        if len(own) <= LEAF or not d.any():
             step = max(1, 1_000_000 // len(own))
             for k, rows in ((0, own), (1, asked)):
                 for at in range(0, len(rows), step):
-                    found, to = np.nonzero(np.bitwise_count(rows[at : at + step, None] ^ own[None, :]) <= max_bits)
+                    found, to = np.nonzero(np.bitwise_count(values[rows[at : at + step], None] ^ v[None, :]) <= bits)
                     if not k:
                         found, to = found[to > found + at], to[to > found + at]
                     if len(found):
                         yield rows[at : at + step][found], own[to]
             continue
-        e = np.bitwise_count(asked ^ own[0]).astype(np.int64)
-        stack.append((own[near], asked[e - max_bits <= r]))
-        stack.append((own[~near], np.concatenate([asked[e + max_bits > r], own[near & (d + max_bits > r)]])))
+        r = min(int(np.median(d)), int(d.max()) - 1)
+        near = d <= r
+        e = np.bitwise_count(values[asked] ^ v[0]).astype(np.int64)
+        stack.append((own[near], asked[e - bits <= r]))
+        stack.append((own[~near], np.concatenate([asked[e + bits > r], own[near & (d + bits > r)]])))
+
+
+def within(pairs: Iterator[tuple[np.ndarray, np.ndarray]], prints: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs whose whole fingerprints differ by at most so many bits."""
+    for a, b in pairs:
+        for at in range(0, len(a), 100_000):
+            some, to = a[at : at + 100_000], b[at : at + 100_000]
+            fine = np.bitwise_count(prints[some] ^ prints[to]).sum(axis=1, dtype=np.int64) <= bits
+            if fine.any():
+                yield some[fine], to[fine]
 
 
 def lowest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +252,7 @@ def lowest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Each linked value with the smallest value of its component. Pairs are reduced block by block, so memory follows
     the values, not the pairs."""
-    a, b, waiting = np.zeros(0, np.uint64), np.zeros(0, np.uint64), []
+    a, b, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for more in pairs:
         waiting.append(lowest_of(*more))
         if sum(len(x) for x, _ in waiting) > max(100_000, 2 * len(a)):
@@ -179,73 +261,99 @@ def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return lowest_of(*map(np.concatenate, zip((a, b), *waiting, strict=True)))
 
 
-def links(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Spanning links (a, b), a > b as unsigned, between the distinct fingerprints at max_bits or fewer: two are connected
-    by them just if a chain of close pairs connects them."""
-    spark = distinct.sparkSession
-    distinct = distinct.select(F.col(fp).alias("fp"))
+def links(distinct: DataFrame, bits: int = MAX_BITS, radius: int | None = None, sample: int = SAMPLE, shard: int | None = None) -> DataFrame:
+    """Spanning links (a, b) between nodes of distinct (node long, fp) whose fingerprints differ by at most so many bits.
+
+    fp: short (long) or long (binary) fingerprints. For short ones two nodes are connected by the links just if a chain of close
+    pairs connects them; for long ones if a chain of close pairs does that differ by at most `radius` in some piece."""
+    spark, short = distinct.sparkSession, distinct.schema["fp"].dataType == T.LongType()
+    radius = (bits // 2 if short else PIECE_RADIUS) if radius is None else radius
+    shard = (SHARD if short else LONG_SHARD) if shard is None else shard
+    cut = halves if short else pieces
+
+    def words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None] if short else np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
     n = distinct.count()
-    fitted = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) <= int(min(1.0, sample / max(1, n)) * (1 << 40))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    rows = distinct.filter(share_of(max(sample, int(n * SHARE)), n, "fp", F.lit("sample"))).select("fp").toArrow()["fp"]
+    fitted = words(rows) if len(rows) else np.zeros((0, 1 if short else LONG_WORDS), np.uint64)
     depth = int(np.clip(np.ceil(np.log2(max(1, n / shard))), 0, min(DEEPEST, np.log2(max(2, len(fitted) / 8)))))
-    trees = [Tree.fit(fitted, shift, depth) for shift in (0, 32)]
-    sent = spark.sparkContext.broadcast(trees)
+    trees = [Tree.fit(x, depth) for x in cut(fitted)]
+    # rows of each leaf by the sample; they decide how a leaf is cut, not what is found
+    sizes = [np.bincount(tree.deal(x, -1)[1], minlength=1 << depth) * (n / max(1, len(fitted))) for tree, x in zip(trees, cut(fitted), strict=True)]
+    sent = spark.sparkContext.broadcast([(tree, np.ceil(np.maximum(1, x) / SLICE).astype(np.int64)) for tree, x in zip(trees, sizes, strict=True)])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                fp = batch["fp"].to_numpy(np.int64)[at : at + 4096].view(np.uint64)
-                for k, tree in enumerate(sent.value):
-                    row, leaf, native = tree.deal(fp, max_bits // 2)
-                    yield pd.DataFrame({"tree": np.full(len(row), k, np.int32), "leaf": leaf.astype(np.int32), "native": native, "fp": fp[row].view(np.int64)})
-
-    dealt = distinct.mapInPandas(deal, "tree int, leaf int, native boolean, fp long")
-    if n > shard * 4:  # a row for each leaf, of which there are 2^(DEEPEST + 1) at most
-        crowded = dealt.filter("native").groupBy("tree", "leaf").count().filter(F.col("count") > SLICE).collect()
-    else:
-        crowded = []
-    cuts = {(r["tree"], r["leaf"]): -(-r["count"] // SLICE) for r in crowded}
-    if cuts:
-        slices = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for (t, leaf), c in cuts.items() for x in (f"{t}.{leaf}", c))), F.concat_ws(".", "tree", "leaf")), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), slices).cast("int")
-        dealt = dealt.withColumn("own", own).withColumn("slice", F.explode(F.sequence(F.when(F.col("native"), own).otherwise(0), slices - 1)))
-        dealt = dealt.withColumn("native", F.col("native") & (F.col("own") == F.col("slice"))).drop("own")
-    else:
-        dealt = dealt.withColumn("slice", F.lit(0))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        fp, native = group["fp"].to_numpy(np.int64).view(np.uint64), group["native"].to_numpy(bool)
-        a, b = spanning(close_pairs(fp[native], fp[~native], max_bits))
-        return pd.DataFrame({"a": a[a != b].view(np.int64), "b": b[a != b].view(np.int64)})
-
-    return dealt.groupBy("tree", "leaf", "slice").applyInPandas(search, "a long, b long").distinct()
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                numbers = part.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                for k, ((tree, slices), values) in enumerate(zip(sent.value, cut(words(part.column(1))), strict=True)):
+                    row, leaf, native = tree.deal(values, radius)
+                    # a native meets the natives of its own slice, and those of the later slices as a query; others meet all slices
+                    most = slices[leaf]
+                    own = (numbers[row] % most.astype(np.uint64)).astype(np.int64)
+                    first = np.where(native, own, 0)
+                    each = np.repeat(np.arange(len(row)), most - first)
+                    place = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(most - first) - (most - first), most - first)
+                    mine = native[each] & (place == own[each])
+                    columns = [pa.array(np.full(len(each), k, np.int32)), pa.array(leaf[each].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(mine), *(c.take(pa.array(row[each])) for c in part.columns)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "native", "node", "fp"])
+
+    dealt = distinct.select("node", "fp").mapInArrow(deal, f"tree int, leaf int, slice int, native boolean, node long, fp {distinct.schema['fp'].dataType.simpleString()}")
+
+    def search(group: pa.Table) -> pa.Table:
+        nodes, native, prints = group["node"].to_numpy(), group["native"].to_numpy(), words(group["fp"])
+        pairs = close_pairs(prints[:, 0], native, bits) if short else within(close_pairs(pieces(prints)[group["tree"][0].as_py()], native, radius), prints, bits)
+        a, b = spanning(pairs)
+        return pa.table([pa.array(nodes[a[a != b]]), pa.array(nodes[b[a != b]])], names=["a", "b"])
+
+    return dealt.groupBy("tree", "leaf", "slice").applyInArrow(search, "a long, b long").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for each node of the pairs (a, b): the smallest node reachable, by rounds of large and small stars.
 
-    A round's tables lie in the shared folder. A node with very many partners is summed before the shuffle, and only its
-    own minimum is joined to its pairs."""
+    A round's tables lie in the shared folder. A node with very many partners is summed before the shuffle, and its
+    pairs are dealt into SALTS parts where they meet its minimum."""
     edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    salt, salts = F.pmod(F.xxhash64("v"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", salts)
+        large = both.filter("v > u").withColumn("salt", salt).join(lowest, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", salts)
+        small = large.withColumn("salt", salt).join(lowest, ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = written(small.filter("u <> v").distinct(), "edges", spent=[edges])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, component): a row for each row of docs; component is the smallest key reachable over links."""
-    prints = written(fingerprints(docs, text, words_each, (key,)), "fingerprints")
-    least = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    linked = components(links(least, "fp", max_bits))
-    grouped = least.join(linked, least["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _with_components(prints: DataFrame, key: str, bits: int) -> DataFrame:
+    """(key, fp, component) for each row of the written table prints (key, fp, node)."""
+    least = written(prints.groupBy("node", "fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "distinct")
+    linked = components(links(least.select("node", "fp"), bits)).withColumnRenamed("node", "linked")
+    grouped = least.join(linked, least["node"] == linked["linked"], "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    moved = grouped.join(lowest, "root").select("fp", "component")
-    return prints.join(moved, "fp").select(key, "fp", "component")
+    moved = written(grouped.join(lowest, "root").select("node", "copies", "component"), "components")
+    # a fingerprint of many rows is not dealt out by its value; of such there is one in HOT rows at most
+    hot = F.broadcast(moved.filter(F.col("copies") >= HOT).select("node", "component"))
+    rest = prints.join(hot.select("node"), "node", "left_anti").join(moved.filter(F.col("copies") < HOT).select("node", "component"), "node")
+    return prints.join(hot, "node").unionByName(rest).select(key, "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = SHORT_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, fp, component): a row for each row of docs; component is the smallest key reachable over links of short
+    fingerprints at max_bits or fewer differing bits."""
+    found = fingerprints(docs, text, words_each, (key,))
+    return _with_components(written(found.withColumn("node", F.col("fp")), "fingerprints"), key, max_bits)
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, fp, component): a row for each row of docs; component is the smallest key reachable over links of long
+    fingerprints that tell of this Jaccard similarity of the shingle sets or more."""
+    found = long_fingerprints(docs, text, words_each, (key,))
+    return _with_components(written(found.withColumn("node", F.xxhash64("fp")), "fingerprints"), key, most_bits(similarity))
