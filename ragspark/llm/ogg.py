@@ -161,8 +161,8 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
     return streams
 
 
-def samples(data: bytes) -> tuple[bytes, int]:
-    """The samples and the rate of a media value; the index stream must tell of the same packets."""
+def samples(data: bytes) -> tuple[bytes, float]:
+    """The samples and the end time of a media value, by its last granule position; the index stream must tell of the same packets."""
     streams = demultiplex(data)
     if set(streams) != {PCM, INDEX}:
         raise OggError("the logical streams are not pcm and index")
@@ -177,18 +177,18 @@ def samples(data: bytes) -> tuple[bytes, int]:
         at += size
     if at != total or (streams[PCM].granules[-1] or 0) != total:
         raise OggError("the samples do not match the header or the last granule position")
-    return b"".join(body), rate
+    return b"".join(body), streams[PCM].end_seconds(rate)[-1]
 
 
-def features(pcm: bytes, rate: int) -> str:
-    """Length, loudness, sign changes and level histogram of samples that were read back."""
+def features(pcm: bytes, seconds: float) -> str:
+    """End time, loudness, sign changes and level histogram of samples that were read back."""
     levels = np.bincount(np.frombuffer(pcm, np.uint8), minlength=256)
     n, centred = len(pcm), np.arange(256) - 128.0
     power = float(levels @ centred**2) / n if n else 0.0
     above = np.frombuffer(pcm, np.uint8) >= 128
     turns = int(np.count_nonzero(above[1:] != above[:-1]))
     eighths = ",".join(str(x) for x in levels.reshape(8, 32).sum(axis=1))
-    return f"seconds={n / rate:.6f};rms={power**0.5:.6f};turns={turns};levels={eighths}"
+    return f"seconds={seconds:.6f};rms={power**0.5:.6f};turns={turns};levels={eighths}"
 
 
 def encode(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
