@@ -2,10 +2,11 @@
 
 Words are runs of letters (lower-cased), of digits and of other signs, and after each run of letters its shape (small,
 capitalised, capitals, mixed). A word is hashed into a bucket with a sparse random index vector of a few +1 and -1. Its
-context vector is the sum of the index vectors of its neighbours within REACH words, over a bounded sample of labelled
-rows (SAMPLE, chosen by hash); a word's vector is its index vector plus its scaled context vector. A document is the mean of
-its words' vectors; a layer of rectified units and a logistic unit score it. The network is trained on the sample by
-stochastic gradient descent; a held part of it sets the temperature. Words of whole texts are counted by Spark tasks.
+context vector is the sum of the index vectors of its neighbours within REACH words, over all texts of the corpus; a word's
+vector is its index vector plus its scaled context vector. A document is the mean of its words' vectors; a layer of
+rectified units and a logistic unit score it. The network is trained by stochastic gradient descent on a bounded sample of
+labelled rows (SAMPLE, chosen by a hash of key and text; equal texts of one label count once); a held part of it sets the
+temperature. Context sums and words of whole texts are counted by Spark tasks.
 
 Defined results: null and empty texts count as no words and get the score of the zero vector; without labelled rows every
 score is 0.5; ties don't matter, as every row is scored by itself; repeated rows score alike.
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragspark.llm.shared import share_of
+
 HASHED, SHAPES = 8192, 4
 BUCKETS = HASHED + SHAPES
 WIDTH, NONZERO, REACH = 64, 4, 2
@@ -68,32 +71,72 @@ def words(text: str) -> Iterator[np.ndarray]:
 
 
 @lru_cache(maxsize=1)
+def _index() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero components of each bucket's index vector."""
+    random = np.random.default_rng(11)
+    places = np.stack([random.choice(WIDTH, NONZERO, replace=False) for _ in range(BUCKETS)])
+    return places, random.choice((-1.0, 1.0), (BUCKETS, NONZERO))
+
+
 def index_vectors() -> np.ndarray:
-    random, out = np.random.default_rng(11), np.zeros((BUCKETS, WIDTH), np.float32)
-    for row in out:
-        row[random.choice(WIDTH, NONZERO, replace=False)] = random.choice((-1.0, 1.0), NONZERO)
+    places, signs = _index()
+    out = np.zeros((BUCKETS, WIDTH))
+    np.put_along_axis(out, places, signs, axis=1)
     return out / np.sqrt(NONZERO)
 
 
-def contexts(text: str, out: np.ndarray) -> None:
-    """Adds the index vectors of neighbours to each word's row."""
-    index = index_vectors()
-    for w in words(text):
-        for begin in range(0, len(w), 100_000):
-            part = w[max(0, begin - REACH) : begin + 100_000]
+class Contexts:
+    """Sums of the index vectors' signs over each word's neighbours. Neighbours across a cut of AT_ONCE characters don't count.
+
+    Pairs of neighbours are sorted and counted first; so many texts at once hold most of their pairs often."""
+
+    def __init__(self) -> None:
+        self.total, self.waiting, self.size = np.zeros(BUCKETS * WIDTH), [], 0
+
+    def add(self, text: str, at_once: int = 8_000_000) -> None:
+        for w in words(text):
+            w = w.astype(np.uint32)
             for d in range(1, REACH + 1):
-                if len(part) > d:
-                    for a, b in ((part[:-d], part[d:]), (part[d:], part[:-d])):
-                        order = np.argsort(a, kind="stable")
-                        rows, at = np.unique(a[order], return_index=True)
-                        out[rows] += np.add.reduceat(index[b[order]], at, axis=0)
+                self.waiting.append(w[:-d] << np.uint32(16) | w[d:])
+                self.size += len(w)
+        if self.size > at_once:
+            self.count()
+
+    def count(self) -> np.ndarray:
+        """The sums of all texts so far."""
+        keys, (places, signs) = np.sort(np.concatenate(self.waiting)) if self.size else np.zeros(0, np.uint32), _index()
+        if len(keys):
+            begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            times = np.diff(np.append(begins, len(keys)))[:, None]
+            pair = (keys[begins] >> np.uint32(16)).astype(np.int64), (keys[begins] & np.uint32(65535)).astype(np.int64)
+            for a, b in (pair, pair[::-1]):
+                self.total += np.bincount((a[:, None] * WIDTH + places[b]).ravel(), (times * signs[b]).ravel(), BUCKETS * WIDTH)
+        self.waiting, self.size = [], 0
+        return self.total.reshape(BUCKETS, WIDTH)
+
+
+def contexts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Context sums over all these texts, whole: each task sums its own, then Spark sums by word."""
+    names = [f"c{k}" for k in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Contexts()
+        for batch in batches:
+            for x in batch.column(0):
+                own.add(x.as_py() or "")
+        total = np.rint(own.count()).astype(np.int64)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c) for c in total[some].T)], names=["bucket", *names])
+
+    sums = docs.select(text).mapInArrow(run, ", ".join(f"{c} long" for c in ["bucket", *names])).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names))
+    rows, out = sums.toPandas(), np.zeros((BUCKETS, WIDTH))  # a row for each of BUCKETS at most
+    out[rows["bucket"]] = rows[names]
+    return out
 
 
-def histogram(text: str) -> np.ndarray:
-    counts = np.zeros(BUCKETS, np.int64)
-    for w in words(text):
-        counts += np.bincount(w, minlength=BUCKETS)
-    return counts
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    return index_vectors() + sums / np.maximum(norms, 1e-9) * (norms > 0)
 
 
 @dataclass
@@ -109,11 +152,7 @@ class Model:
         return np.maximum(pooled @ self.first + self.first_bias, 0) @ self.second + self.second_bias
 
     def score(self, text: str | None) -> float:
-        total, n = np.zeros(WIDTH), 0
-        for w in words(text or ""):
-            n += len(w)
-            total += self.vectors[w].sum(axis=0) if len(w) < 5000 else np.bincount(w, minlength=BUCKETS) @ self.vectors
-        return float(1 / (1 + np.exp(-np.clip(self.raw(total / max(1, n)) / self.heat, -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip(self.raw(pooled_of(text, self.vectors)) / self.heat, -50, 50))))
 
 
 def train(pooled: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Model:
@@ -148,39 +187,29 @@ def train(pooled: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model of labelled rows (label 0 or 1). Only text and label are read."""
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    index = index_vectors()
-    if not sizes:
-        return train(np.zeros((0, WIDTH)), np.zeros(0), index)
-    share = F.lit(min(1.0, sample / sum(sizes.values())))
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= share * (1 << 30)).repartition(12)
+def pooled_of(text: str | None, vectors: np.ndarray) -> np.ndarray:
+    """The mean of the vectors of a text's words; zeros for a text without any."""
+    total, n = np.zeros(WIDTH), 0
+    for w in words(text or ""):
+        n += len(w)
+        total += vectors[w].sum(axis=0) if len(w) < 5000 else np.bincount(w, minlength=BUCKETS) @ vectors
+    return total / max(1, n)
+
+
+def fit(labelled: DataFrame, sums: np.ndarray | None = None, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """The model of labelled rows (label 0 or 1). Only text and label are learned from. sums: context sums of the corpus, else
+    those of the labelled texts."""
+    vectors = word_vectors(contexts(labelled, text) if sums is None else sums)
+    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.col(key).alias("key")).filter("label in (0, 1)")
+    chosen = rows.filter(share_of(sample, rows.count(), "key", "text")).select("label", "text").distinct()
+    sent = labelled.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = np.zeros((BUCKETS, WIDTH), np.float32)
         for batch in batches:
-            found = []
-            for x in batch["text"]:
-                contexts(x, context)
-                found.append(histogram(x))
-            at = [np.nonzero(c)[0] for c in found]
-            yield pd.DataFrame({"label": batch["label"], "buckets": [a.astype("<u2").tobytes() for a in at], "counts": [c[a].astype("<u4").tobytes() for c, a in zip(found, at, strict=True)]})
-        yield pd.DataFrame({"label": [-1], "buckets": [context.astype("<f4").tobytes()], "counts": [b""]})
-
-    got = chosen.mapInPandas(features, "label int, buckets binary, counts binary").orderBy("label", "buckets", "counts").toPandas()
-    context = np.zeros((BUCKETS, WIDTH))
-    for x in got.loc[got["label"] < 0, "buckets"]:
-        context += np.frombuffer(x, "<f4").reshape(BUCKETS, WIDTH)
-    got = got[got["label"] >= 0]
-    norms = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = index + context / np.maximum(norms, 1e-9) * (norms > 0)
-    pooled = np.zeros((len(got), WIDTH))
-    for i, (b, c) in enumerate(zip(got["buckets"], got["counts"], strict=True)):
-        n = np.frombuffer(c, "<u4").astype(float)
-        pooled[i] = n @ vectors[np.frombuffer(b, "<u2")] / max(1, n.sum())
-    return train(pooled, got["label"].to_numpy(), vectors)
+            yield pd.DataFrame({"label": batch["label"], "pooled": [pooled_of(x, sent.value).tobytes() for x in batch["text"]]})
+
+    got = chosen.mapInPandas(features, "label int, pooled binary").toPandas().sort_values(["label", "pooled"])  # one order, whatever the tasks'
+    return train(np.frombuffer(b"".join(got["pooled"]), float).reshape(-1, WIDTH), got["label"].to_numpy(), vectors)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
