@@ -6,8 +6,8 @@ from this histogram, of at most `window` lengths whatever the corpus holds. For
 the longest length left and then, by subset-sum over a bitset with bounded counts, the multiset of lengths that fills the
 window closest; counts are backtracked, and the multiset is used as often as the counts allow.
 
-Pieces are ranked within their length: a row number in a salted part plus the sum of the parts before it, so a length that
-holds a third of all pieces is not one task. A piece's rank gives its sequence and offset from the plan, which is bounded by
+Pieces are ranked within their length: a row number in a part plus the sum of the parts before it, so a length that
+holds a third of all pieces is dealt into parts of about RANKED rows. A piece's rank gives its sequence and offset from the plan, which is bounded by
 the window and broadcast.
 
 Defined results: a null or empty text has the end id alone; repeated rows are packed each; an empty table gives no pieces.
@@ -25,13 +25,14 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ragspark.llm.shared import portions
+from ragspark.llm.shared import free, portions
 
 WINDOW = 2048
 END = 1
 #: Pieces of one length that are numbered in one task, about.
-RANKED = 100_000
+RANKED = 20_000
 
 
 @lru_cache(maxsize=1)
@@ -54,24 +55,23 @@ def _byte_characters() -> str:
     return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, special: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
     """(key, start, length, doc_tokens, ids): each document's ids in pieces; ids are little-endian unsigned 32-bit.
-    special: strings of special tokens in a text are these tokens, as in the tokenizers library by default; else ordinary text."""
+    Strings of special tokens in a text are these tokens, as in the tokenizers library by default."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
-        allowed = of.special_tokens_set if special else set()
         for batch in batches:
-            for part in portions(batch, "_text"):
+            for part in portions(batch, batch.schema.names[1]):
                 rows: list[tuple] = []
                 for value, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(of.encode_to_numpy(x, allowed_special=allowed, disallowed_special=()) if x else [], end).astype("<u4")
+                    ids = np.append(of.encode_to_numpy(x, allowed_special="all") if x else [], end).astype("<u4")
                     rows += ((value, at, min(window, len(ids) - at), len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window))
                 types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, "start", "length", "doc_tokens", "ids"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary"
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(key, F.col(text).alias(free("_text", [key]))).mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -117,32 +117,34 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> pd.DataFrame:
     return pd.DataFrame(sorted(rows), columns=["length", "first", "per", "sequence", "offset"], dtype="int64")
 
 
-def pack(rows: DataFrame, order: tuple[str, ...], length: str = "length", window: int = WINDOW) -> DataFrame:
-    """rows, each of a length of 1 to the window, with sequence_id and offset. order: columns by which rows of equal
-    length are ranked. rows is read twice, so it should be a written table."""
+def pack(rows: DataFrame, order: tuple[str, ...], salt: str, length: str = "length", window: int = WINDOW) -> DataFrame:
+    """rows, each of a length of 1 to the window, with sequence_id and offset, without the salt. order: columns by which rows of
+    equal length are ranked, part by part. salt: a long column by which pieces of a common length are dealt into parts; a
+    number of the row splits even rows that are the same. rows is read twice, so it should be a written table."""
     counts = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}  # one row for each length up to the window
     table = plan(counts, window)
     sent = rows.sparkSession.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
-    salts = 1 + max(counts.values(), default=0) // RANKED
-    salted = rows.drop("sequence_id", "offset").withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.select(length, F.pmod(F.xxhash64(*order), F.lit(salts)).alias("_salt")).groupBy(length, "_salt").count()
-    parts = parts.select(length, "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("_own", own).join(parts, [length, "_salt"]).withColumn("_rank", F.col("_own") + F.col("_before"))
-    kept = [c for c in rows.columns if c not in ("sequence_id", "offset")]
-    ranked = ranked.select(*kept, F.col(length).cast("long").alias("_length"), F.col("_rank").cast("long").alias("_rank"))
+    common = [F.lit(x) for k, n in counts.items() if n > RANKED for x in (k, -(-n // RANKED))]
+    parts_of = F.coalesce(F.element_at(F.create_map(*common), F.col(length)), F.lit(1)) if common else F.lit(1)
+    part, own, start, size, rank = (free(c, rows.columns) for c in ("_part", "_own", "_before", "_length", "_rank"))
+    salted = rows.drop("sequence_id", "offset").withColumn(part, F.pmod(F.col(salt), parts_of))
+    before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = salted.select(length, part).groupBy(length, part).count()
+    parts = parts.select(length, part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start))
+    place_in = F.row_number().over(Window.partitionBy(length, part).orderBy(*order)) - 1
+    ranked = salted.withColumn(own, place_in).join(parts, [length, part]).withColumn(rank, F.col(own) + F.col(start))
+    kept = [c for c in rows.columns if c not in ("sequence_id", "offset", salt)]
+    ranked = ranked.select(*kept, F.col(length).cast("long").alias(size), F.col(rank).cast("long").alias(rank))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = sent.value
         far = 1 << 44
         starts = rule["length"] * far + rule["first"]
         for batch in batches:
-            size, rank = (batch.column(batch.num_columns - k).to_numpy() for k in (2, 1))
-            at = np.searchsorted(starts, size * far + rank, "right") - 1
-            turn, slot = np.divmod(rank - rule["first"][at], rule["per"][at])
-            columns = [pa.array(rule["sequence"][at] + turn), pa.array(rule["offset"][at] + slot * size)]
+            sizes, ranks = (batch.column(batch.num_columns - k).to_numpy() for k in (2, 1))
+            at = np.searchsorted(starts, sizes * far + ranks, "right") - 1
+            turn, slot = np.divmod(ranks - rule["first"][at], rule["per"][at])
+            columns = [pa.array(rule["sequence"][at] + turn), pa.array(rule["offset"][at] + slot * sizes)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*kept, "sequence_id", "offset"])
 
-    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
-    return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(place, T.StructType([*(rows.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
