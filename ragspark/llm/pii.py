@@ -9,10 +9,12 @@ numeric dates that exist. Each value is permuted by a keyed Feistel network with
   social       area and group (898 * 99 places) against serial (9,999 places)
   IPv4         two halves of 16 bits
   cards, IBAN  the payload digits as above, then the check digits anew; an IBAN's payload with letters as in an e-mail
+  phone        the national number's digits as above; the country's code stays, with or without separators after it
   e-mail       the local part letter by letter and digit by digit, shifted by a keyed stream over its own format; the domain stays
 
 The networks are bijections of fixed rounds; round values are the leading bits of SHA-256 over key, format, round and half.
-Equal values get equal pseudonyms in every document, whatever their separators; separators and formats stay.
+Equal values get equal pseudonyms in every document, whatever their separators; separators and formats stay. The key has no
+default: who knows it can turn every pseudonym back.
 
 Defined results: a null text stays null and an empty one empty; values that fail validation stay, and so do
 addresses with more than 64 letters and digits on end before the sign; where valid values overlap the
@@ -24,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "ragspark-pseudonyms-1"
+from ragspark.llm.shared import free
+
 ROUNDS = 8
 #: Lengths of IBANs by country, as registered, with letters or digits; others may have any length, of digits.
 IBANS = {
@@ -36,9 +39,9 @@ _REGISTERED = "|".join(
 )
 #: Patterns by kind, tried in this order at each place.
 KINDS = {
-    # bounded: addresses are no longer, and Java's matcher goes one call deeper with every label. In a longer run an address
-    # begins after a point or the like, at the first such place from which it is not too long
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[._%+-])(?=[A-Za-z0-9]))[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,60}\.[A-Za-z]{2,}",
+    # bounded: addresses are no longer, and Java's matcher goes one call deeper with every label. An address begins with a letter
+    # or digit; in a longer run of points or the like, at the first place from which it is not too long
+    "email": r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])[\p{L}\p{M}\p{N}._%+'-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,60}\.[A-Za-z]{2,}",
     "iban": rf"(?<![A-Za-z0-9])(?:{_REGISTERED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
@@ -58,10 +61,18 @@ KINDS["phone"] = (
 )
 #: The first day and the number of days of the cycle, as a product of two near factors.
 FIRST_DAY, DAYS = "1800-01-01", (27, 5411)
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
+#: Characters of e-mail addresses by kind: each is moved within its kind. Other characters stay.
+ALPHABETS = {
+    "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789", "ß": "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "À": "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
+    "α": "αβγδεζηθικλμνξοπρσςτυφχψω", "Α": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "а": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "А": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ",
+}
+#: Calling codes of one and two digits; all others have three.
+CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What a value of each kind begins with, so that most places of a text are passed over at once.
+_FIRST = {"email": "", "iban": "(?=[A-Z]{2}[0-9])"}
+_NUMERIC = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in _FIRST)
+PATTERN = "|".join([*(f"(?:{first}{KINDS[k]})" for k, first in _FIRST.items()), f"(?=[0-9+(])(?:{_NUMERIC})"])
 
 
 def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, name: str) -> Column:
@@ -189,10 +200,10 @@ def date(value: Column, key: str) -> tuple[Column, Column]:
 
 def phone(value: Column, key: str) -> tuple[Column, Column]:
     """The country's code stays; 7 to 15 digits in all."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    own = F.substring(value, F.length(code) + 1, F.length(value))
-    d = _digits(own)
-    return F.length(_digits(value)).between(7, 15) & (F.length(d) >= 4), F.concat(code, in_format(own, permuted_digits(d, key, "phone")))
+    d = _digits(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(d, f"^(?:{CALLING})", 0)).otherwise("")
+    own = F.substring(d, F.length(code) + 1, F.length(d))
+    return F.length(d).between(7, 15) & (F.length(own) >= 4), in_format(value, F.concat(code, permuted_digits(own, key, "phone")))
 
 
 def email(value: Column, key: str) -> tuple[Column, Column]:
@@ -205,7 +216,9 @@ def email(value: Column, key: str) -> tuple[Column, Column]:
 
 def _permuted_form(local: Column, salt: Column, key: str, name: str) -> Column:
     """Letters and digits, permuted among the texts of equal form."""
-    form = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    form = local
+    for kind, letters in ALPHABETS.items():
+        form = F.regexp_replace(form, f"[{letters}]", kind)
     for n in range(2):
         local = _stream(local, F.concat_ws("|", form, salt), key, f"{name}{n}", n)
     return local
@@ -215,8 +228,10 @@ def _stream(local: Column, salt: Column, key: str, name: str, number: int) -> Co
     """One pass from the left; the result is turned round, so that a second pass spreads every character over all."""
     def add(state: Column, c: Column) -> Column:
         shift = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(name), salt, state["seen"]), 256), 1, 8), 16, 10).cast("long")
-        move = lambda low, n: F.chr(F.ascii(F.lit(low)) + F.pmod(F.ascii(c) - F.ascii(F.lit(low)) + F.pmod(shift, F.lit(n)), F.lit(n)))
-        new = F.when(c.between("a", "z"), move("a", 26)).when(c.between("A", "Z"), move("A", 26)).when(c.between("0", "9"), move("0", 10)).otherwise(c)
+        new = c
+        for letters in reversed(ALPHABETS.values()):
+            place = F.instr(F.lit(letters), c)
+            new = F.when(place > 0, F.substring(F.lit(letters), (F.pmod(place - 1 + shift, F.lit(len(letters))) + 1).cast("int"), F.lit(1))).otherwise(new)
         return F.struct(F.concat(state["out"], new).alias("out"), F.concat(state["seen"], c).alias("seen"))
 
     each = F.filter(F.split(local, ""), lambda c: c != "")
@@ -229,7 +244,7 @@ def _stream(local: Column, salt: Column, key: str, name: str, number: int) -> Co
 WAYS = {"email": email, "iban": iban, "ipv4": ipv4, "isodate": isodate, "date": date, "ssn": ssn, "phone": phone, "card": card}
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """(value, kind): the pseudonym of one match and its kind; the value itself and null where no kind validates it."""
     out = F.struct(value.alias("value"), F.lit(None).cast("string").alias("kind"))
     for kind, pattern in reversed(KINDS.items()):
@@ -239,9 +254,11 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", counts: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """docs with pseudonyms in the text. counts: the name of an array column of the kinds replaced, in order."""
-    t = F.col(text)
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    t, scratch = F.col(text), free("_pseudonyms", docs.columns)
     hit = t.rlike(PATTERN)
     # a match at each place where one begins, within others too, and the text cut at these places
     found = F.regexp_extract_all(t, F.lit(f"(?=({PATTERN}))"), F.lit(1))
@@ -257,10 +274,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", counts: st
         return F.transform(F.array(new), lambda p: _placed(state, x, p))[0]
 
     result = F.when(hit, F.aggregate(pieces, start, add))
-    out = docs.withColumn("_pseudonyms", result)
+    out = docs.withColumn(scratch, result)
     if counts:
-        out = out.withColumn(counts, F.coalesce(F.col("_pseudonyms.kinds"), F.array().cast("array<string>")))
-    return out.withColumn(text, F.when(F.col("_pseudonyms").isNotNull(), F.col("_pseudonyms.out")).otherwise(t)).drop("_pseudonyms")
+        out = out.withColumn(counts, F.coalesce(F.col(f"{scratch}.kinds"), F.array().cast("array<string>")))
+    return out.withColumn(text, F.when(F.col(scratch).isNotNull(), F.col(f"{scratch}.out")).otherwise(t)).drop(scratch)
 
 
 def _placed(state: Column, x: Column, new: Column) -> Column:

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from ragspark.llm import aq, bpe, html, langid, ogg, packing, pii, quality, secrets, shared, simhash
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+#: The setting that holds the key of pseudonyms. Where it is unset, as over test tables, the queries take a public key, which
+#: hides nothing from those who read this.
+KEY_SETTING, PUBLIC_KEY = "spark.ragspark.pseudonyms.key", "public key for test tables"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
 
 
 def remainder(key: str, by: int) -> Column:
@@ -67,20 +74,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, special=True)
-    digests = shared.written(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return packing.pack(digests, ("doc_id", "start")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    digests = shared.written(cut.withColumns({"ids_crc32": F.crc32("ids"), "salt": F.monotonically_increasing_id()}).drop("ids"), "pieces")
+    return packing.pack(digests, ("doc_id", "start"), "salt").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, counts="kinds")
+    return pii.pseudonymise(docs, pseudonym_key(spark), counts="kinds")
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> quality.Model:
-    """Fitted on labelled documents outside the held-out part."""
-    marked = labels.filter(remainder("doc_id", 5) != 0).select("doc_id", "quality").filter("quality is not null").dropDuplicates(["doc_id"])
-    return quality.fit(docs.select("doc_id", "text").join(marked, "doc_id"))
+    """Fitted on labelled documents outside the held-out part; word contexts are those of all documents. A document
+    whose labels clash teaches nothing. Labels are sampled before they meet the texts, so they are few enough to be sent out."""
+    marked = labels.filter(remainder("doc_id", 5) != 0).filter("doc_id is not null and quality is not null")
+    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
+    chosen = marked.filter(shared.share_of(quality.SAMPLE, marked.count(), "doc_id"))
+    docs = docs.select("doc_id", "text")
+    return quality.fit(docs.join(F.broadcast(chosen), "doc_id"), quality.contexts(docs))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
