@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ragspark.llm import aq, bpe, html, langid, ogg, packing, pii, quality, secrets, simhash
+from ragspark.llm.shared import written
 
 RANKS, FILE, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+KEY = "a key for tests"
 TEXTS = [
     None, "", " ", "  a  b \n\n c ", "don't  we're 'll", "日本語 😀 naïve x", "a" * 3000, "<|endoftext|> is text", "word " * 4000, "12345 !?!? x_y\t\r\n z", "one two", "one two",
 ]
@@ -94,14 +96,14 @@ def test_simhash_by_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_vantage_point_trees_lose_no_link(spark):
+def test_vantage_point_trees_lose_no_link(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 1500, dtype=np.uint64)
     near = [int(x) ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(1, 5)), replace=False)) for x in base[:700]]
     tight = [12345 ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)]
     values = sorted({*map(int, base), *near, *tight})
     signed = np.array(values, np.uint64).view(np.int64)
-    df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
+    df = spark.createDataFrame([(int(x), int(x)) for x in signed], "node long, fp long")
     x = np.array(values, np.uint64)
     least = np.arange(len(x))
     a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
@@ -111,7 +113,8 @@ def test_vantage_point_trees_lose_no_link(spark):
         if (new == least).all():
             break
         least = new
-    for shard in (50, 100_000):
+    for shard, rows in ((50, 100_000), (100_000, 100_000), (500, 300)):
+        monkeypatch.setattr(simhash, "SLICE", rows)
         pairs = simhash.links(df, shard=shard)
         assert pairs.count() < 4 * len(x)
         roots = {n: q for n, q in simhash.components(pairs).collect()}
@@ -137,7 +140,7 @@ def test_ogg(spark, docs):
     for n in (0, 1, 192, 254, 255, 256, 255 * 255, 65535, 65536, 65537, 200_000):
         data = bytes(i * 7 % 251 for i in range(n))
         media = ogg.multiplex(data)
-        assert ogg.samples(media) == (data, ogg.RATE)
+        assert ogg.samples(media) == (data, n / ogg.RATE)
         for at in (4, 30, len(media) - 1):
             with pytest.raises(ogg.OggError):
                 ogg.samples(media[:at] + bytes([media[at] ^ 1]) + media[at + 1 :])
@@ -176,11 +179,8 @@ def test_subwords_in_parts(monkeypatch):
 
 def test_packing(spark, docs):
     of = Tokenizer.from_file(FILE)
-    of.encode_special_tokens = True
-    cut = packing.pieces(docs, FILE, PATTERN)
-    from ragspark.llm.shared import written
-
-    rows = packing.pack(written(cut, "pieces"), ("doc_id", "start")).collect()
+    cut = packing.pieces(docs, FILE, PATTERN).withColumn("n", F.monotonically_increasing_id())
+    rows = packing.pack(written(cut, "pieces"), ("doc_id", "start"), "n").collect()
     ids = {}
     for r in sorted(rows, key=lambda r: r["start"]):
         ids.setdefault(r["doc_id"], {}).setdefault(r["start"], np.frombuffer(bytes(r["ids"]), "<u4").tolist())
@@ -188,7 +188,7 @@ def test_packing(spark, docs):
     for i, t in enumerate(TEXTS):
         assert [x for s in sorted(ids[i]) for x in ids[i][s]] == [*of.encode(t or "", add_special_tokens=False).ids, 1]
     check_gapless(rows)
-    assert packing.pack(written(cut.limit(0), "none"), ("doc_id", "start")).count() == 0
+    assert packing.pack(written(cut.limit(0), "none"), ("doc_id", "start"), "n").count() == 0
 
 
 def check_gapless(rows, window=2048):
@@ -221,9 +221,10 @@ def test_packing_of_many_pieces(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 50)
     r = np.random.default_rng(6)
     lengths = np.concatenate([np.full(700, 17), r.integers(1, 2049, 1500)])
-    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "k long, length long")
-    rows = packing.pack(df, ("k",)).collect()
-    assert len(rows) == len(lengths) and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    # keys that say nothing, so that only the salt tells rows apart
+    df = spark.createDataFrame([(None, int(n), i) for i, n in enumerate(lengths)], "k long, length long, salt long")
+    rows = packing.pack(df, ("k",), "salt").collect()
+    assert sorted(r["length"] for r in rows) == sorted(lengths.tolist()) and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
     assert check_gapless(rows) <= 1.01 * lengths.sum() / 2048 + 1
 
 
@@ -234,7 +235,7 @@ def test_pseudonyms(spark):
         "(836) 555-9331 4913187196670932 53.121.55.90 12 +1 (499) 555-6503 4111111111111111 12",
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
-    got = {r["doc_id"]: r for r in pii.pseudonymise(df, counts="kinds").collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, KEY, counts="kinds").collect()}
     assert got[0]["text"] is None and [got[i]["text"] for i in (1, 2, 5)] == [texts[i] for i in (1, 2, 5)]
     assert got[3]["kinds"] == ["email", "phone", "card", "ipv4", "isodate", "date", "ssn", "iban"]
     old, new = texts[3], got[3]["text"]
@@ -337,7 +338,7 @@ def test_pages_that_end_within_a_tag_or_nest_deep():
 def test_very_long_runs(spark):
     n = 100_000
     mails = ["a@" + "b." * n + "1", "a" * n + "@b.com", "a" * 64 + "@b.com"]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), counts="kinds").collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), KEY, counts="kinds").collect()}
     assert [got[i]["kinds"] for i in range(3)] == [[], [], ["email"]] and [got[i]["text"] for i in range(2)] == mails[:2]
     hosts = ["a." * n + "com", "a-" * n, "AKIA" + "A" * 16 + " secret=abcdef x." + "y." * 50 + "amazonaws.com"]
     found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string")).collect()}
@@ -355,7 +356,7 @@ def test_kinds_side_by_side(spark):
     cases = [([a, b], f"{v} {w}") for a, v in each for b, w in each]
     cases += [(["card"], "XX12 4111 1111 1111 1111"), (["card"], "1234 4111 1111 1111 1111"), (["phone"], "+1 (826) 555-4081 12345678"), (["phone", "ipv4"], "x +1 (843) 555-7672 170.106.47.218 y"), ([], "XX12 4111 1111 1111 1112")]
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymise(df, counts="kinds").collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, KEY, counts="kinds").collect()}
     wrong = [(t, got[i]["kinds"], got[i]["text"]) for i, (kinds, t) in enumerate(cases) if got[i]["kinds"] != kinds]
     assert not wrong
     assert not [t for i, (_, t) in enumerate(cases[: len(each) ** 2]) if any(v in got[i]["text"] for _, v in each if v in t)]
@@ -366,7 +367,7 @@ def test_whole_addresses_and_ibans(spark):
     mails = ["Contact" + "." * 70 + "jane@example.com", "_" * 90 + "jane@example.com", "to=" + "a%26b%3D" * 20 + "jane@example.com", "-" * 30_000 + "jane@example.com"]
     texts = [f"{x} {tail}".strip() for x in ibans for tail in ("", "END OF LINE", "4111 1111 1111 1111", "+1 (826) 555-4081")] + ["GB28 NWBK 6016 1331 9268 19"]
     df = spark.createDataFrame(list(enumerate(texts + mails)), "doc_id long, text string")
-    got = [r for r in pii.pseudonymise(df, counts="kinds").orderBy("doc_id").collect()]
+    got = [r for r in pii.pseudonymise(df, KEY, counts="kinds").orderBy("doc_id").collect()]
     for i, x in enumerate(ibans):
         for r, more in zip(got[4 * i : 4 * i + 4], ([], [], ["card"], ["phone"])):
             new = r["text"][: len(x)]
