@@ -13,25 +13,14 @@ LEAST_CHARS, MOST_CHARS, CONTEXT_CHARS, WORTH_TRIMMING = 2, 400, 3500, 300
 BELOW, NONE = "No reliable answer found in the document.", "No reliable answer found."
 EPS = 1e-10
 
+#: Defaults of this library; every function that makes prompts takes others.
 SYSTEM_PROMPT = (
-    "You are a study assistant for AI and machine learning students. You answer strictly from the numbered sources you are given.\n\n"
-    "Rules:\n"
-    "- Use only the sources. Do not add facts from your own knowledge, even if you are confident they are correct.\n"
-    "- Cite every claim with the source number in square brackets, like [1]. A sentence drawn from more than one source cites each, like [1][3].\n"
-    f"- If the sources do not answer the question, reply with exactly: {tx.REFUSAL}\n"
-    "- Do not speculate, and do not describe what the sources fail to say beyond that one sentence.\n"
-    "- Be concise and concrete. Prefer the source's own terminology."
-)
-CONTEXT_HEAD = (
-    "You are a document question-answering assistant.\n\nUse only the provided context to answer the question.\nDo not use outside knowledge.\n"
-    'If the answer is not supported by the context, say:\n"The provided document does not contain enough information to answer this question."\n\n'
-    "Write a clear and concise answer.\n\nContext:\n"
-)
-STRICT_HEAD = (
-    "You are a careful document-grounded assistant.\n\nRules:\n1. Answer only using the context below.\n2. Do not add facts that are not present in the context.\n"
-    '3. If the context is insufficient, say exactly:\n"The provided document does not contain enough information to answer this question."\n'
-    "4. Keep the answer concise.\n5. Do not mention source numbers unless asked.\n\nContext:\n"
+    "Answer from the numbered sources below and from nothing else. After each statement name the sources that carry it, as [1] or [1][2]. "
+    f"Where the sources leave the question open, say only: {tx.REFUSAL} Keep to the sources' own terms, and be brief."
 )
+UNCOVERED = "The document does not say."
+CONTEXT_HEAD = f"Answer the question from this context alone; if it is not enough, reply: {UNCOVERED}\n\nContext:\n"
+STRICT_HEAD = f"Use what the context below states and add nothing to it. If that does not answer the question, reply exactly: {UNCOVERED} Name no source numbers.\n\nContext:\n"
 
 
 def numbered_sources(hits: DataFrame, query: str = "query_id") -> DataFrame:
@@ -41,12 +30,12 @@ def numbered_sources(hits: DataFrame, query: str = "query_id") -> DataFrame:
     return hits.groupBy(query).agg(numbered.alias("sources"))
 
 
-def prompts(questions: DataFrame, hits: DataFrame, query: str = "query_id", question: str = "question") -> DataFrame:
+def prompts(questions: DataFrame, hits: DataFrame, query: str = "query_id", question: str = "question", system: str = SYSTEM_PROMPT) -> DataFrame:
     """questions with sources, system and prompt; answer is the refusal and prompt null where there are no sources, so the
     scorer sees only the rest."""
     rows = questions.join(numbered_sources(hits, query), query, "left")
     some = F.col("sources").isNotNull()
-    return rows.withColumns({"system": F.when(some, SYSTEM_PROMPT), "prompt": F.when(some, tx.build_prompt(F.col(question), F.col("sources"))), "answer": F.when(~some, tx.REFUSAL)})
+    return rows.withColumns({"system": F.when(some, system), "prompt": F.when(some, tx.build_prompt(F.col(question), F.col("sources"))), "answer": F.when(~some, tx.REFUSAL)})
 
 
 def citations(answers: DataFrame, answer: str = "answer", sources: str = "sources") -> DataFrame:
@@ -75,7 +64,7 @@ def _context(blocks: DataFrame, questions: DataFrame, head: str, tail: str, quer
     return rows.withColumn("prompt", tx.strip(F.concat(F.lit(head), F.col("context"), F.lit("\n\nQuestion:\n"), asked, F.lit("\n\n" + tail))))
 
 
-def budgeted_prompts(questions: DataFrame, hits: DataFrame, most: int = CONTEXT_CHARS, query: str = "query_id", question: str = "question") -> DataFrame:
+def budgeted_prompts(questions: DataFrame, hits: DataFrame, most: int = CONTEXT_CHARS, query: str = "query_id", question: str = "question", head: str = CONTEXT_HEAD) -> DataFrame:
     """questions with a context of ranked blocks up to `most` characters. The first block that does not fit is cut at its
     last space if over WORTH_TRIMMING characters are left, and is the last."""
     w = Window.partitionBy(query).orderBy("rank")
@@ -84,14 +73,14 @@ def budgeted_prompts(questions: DataFrame, hits: DataFrame, most: int = CONTEXT_
     cut = F.col("block").substr(F.lit(1), F.col("_left"))
     cut = F.when(F.instr(cut, " ") > 0, F.regexp_replace(cut, r"(?s) [^ ]*\z", "")).otherwise(cut)
     b = b.withColumn("block", F.when(F.col("_over") == 0, F.col("block")).otherwise(cut))
-    return _context(b, questions, CONTEXT_HEAD, "Answer:", query, question)
+    return _context(b, questions, head, "Answer:", query, question)
 
 
-def strict_prompts(questions: DataFrame, hits: DataFrame, most: int = CONTEXT_CHARS, query: str = "query_id", question: str = "question") -> DataFrame:
+def strict_prompts(questions: DataFrame, hits: DataFrame, most: int = CONTEXT_CHARS, query: str = "query_id", question: str = "question", head: str = STRICT_HEAD) -> DataFrame:
     """As budgeted_prompts with stricter rules, ending before the first block that does not fit: a running sum decides."""
     w = Window.partitionBy(query).orderBy("rank")
     b = _blocks(hits, query).withColumn("_all", F.sum(F.length("block")).over(w)).filter(F.col("_all") <= most)
-    return _context(b, questions, STRICT_HEAD, "Grounded Answer:", query, question)
+    return _context(b, questions, head, "Grounded Answer:", query, question)
 
 
 def min_max(score: Column, query: str = "question") -> Column:
@@ -132,21 +121,26 @@ def with_fallback(questions: DataFrame, candidates: DataFrame, least: float = LE
     return rows.select(query, answer.alias("answer"), status.alias("status"), "span_score")
 
 
-def spans(logits: DataFrame, longest: int = LONGEST_SPAN, n_best: int | None = N_BEST, keys: tuple[str, ...] = ("question_id", "chunk_id")) -> DataFrame:
+def spans(logits: DataFrame, longest: int = LONGEST_SPAN, n_best: int | None = N_BEST, keys: tuple[str, ...] = ("question_id", "chunk_id"), chars: tuple[int, int] = (LEAST_CHARS, MOST_CHARS)) -> DataFrame:
     """(keys, start_token, end_token, span_score) of spans from start_token to an end within `longest` tokens. logits: keys,
     token, start_logit, end_logit. With n_best only the highest starts and ends of a context meet; then a context has
-    n_best squared pairs at most. The join is an equi-join on the context and a bucket of `longest` tokens."""
-    def some(score: str) -> DataFrame:
-        rows = logits.select(*keys, "token", score)
+    n_best squared pairs at most. Where logits tell of char_start and char_end, a span has so many characters. The join is an
+    equi-join on the context and a bucket of `longest` tokens."""
+    placed = {"char_start", "char_end"} <= {*logits.columns}
+
+    def some(score: str, place: str) -> DataFrame:
+        rows = logits.select(*keys, "token", score, *([place] if placed else []))
         if n_best is None:
             return rows
         w = Window.partitionBy(*keys).orderBy(F.desc(score), "token")
         return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_best).drop("_r")
 
-    s = some("start_logit").withColumnRenamed("token", "start_token")
+    s = some("start_logit", "char_start").withColumnRenamed("token", "start_token")
     s = s.withColumn("_b", F.explode(F.array(F.floor(F.col("start_token") / longest), F.floor(F.col("start_token") / longest) + 1)))
-    e = some("end_logit").withColumnRenamed("token", "end_token").withColumn("_b", F.floor(F.col("end_token") / longest))
+    e = some("end_logit", "char_end").withColumnRenamed("token", "end_token").withColumn("_b", F.floor(F.col("end_token") / longest))
     met = s.join(e, [*keys, "_b"]).filter((F.col("end_token") >= F.col("start_token")) & (F.col("end_token") < F.col("start_token") + longest))
+    if placed:
+        met = met.filter((F.col("char_end") - F.col("char_start")).between(*chars))
     return met.select(*keys, "start_token", "end_token", (F.col("start_logit") + F.col("end_logit")).alias("span_score"))
 
 

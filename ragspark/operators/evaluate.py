@@ -34,6 +34,14 @@ def score_queries(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int
     }).drop("_found", "_first", "_dcg", "_ideal")
 
 
+def score_runs(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int, retrievers: tuple[str, ...], query: str = "query_id", item: str = "chunk_id", retriever: str = "retriever") -> DataFrame:
+    """score_queries for the hits of several retrievers at once: a run's query is the pair of both."""
+    run = F.struct(retriever, query).alias("_run")
+    of_runs = lambda df: df.withColumn(retriever, F.explode(F.array(*map(F.lit, retrievers))))
+    rows = score_queries(of_runs(queries).withColumn("_run", run), hits.select(run, item, "rank"), of_runs(grades).select(run, item, "grade"), k, "_run", item)
+    return rows.drop("_run")
+
+
 def summary(scores: DataFrame, by: tuple[str, ...] = ("query_type", "source_type"), retriever: str = "retriever") -> DataFrame:
     """Means over all queries of a retriever, and by each slice, in one pass: (retriever, slice, value, n_queries, ...)."""
     grouped = scores.groupingSets([[F.col(retriever)], *([F.col(retriever), F.col(c)] for c in by)], F.col(retriever), *map(F.col, by))
@@ -86,7 +94,7 @@ def stratification(queries: DataFrame, targets: DataFrame, points: float = 5.0,
     """(split, by, share, target, drifted) against target shares in percent."""
     counts = queries.groupBy(split, by).agg(F.count("*").alias("n"))
     share = 100 * F.col("n") / F.sum("n").over(Window.partitionBy(split))
-    every = queries.select(split).distinct().crossJoin(F.broadcast(targets))  # splits and types are a handful each
+    every = queries.select(split).distinct().crossJoin(targets)  # a row for each split and type, which is the report itself
     rows = every.join(counts.select(split, by, share.alias("share")), [split, by], "left").fillna(0.0, ["share"])
     return rows.withColumn("drifted", F.abs(F.col("share") - F.col("target")) > points)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
-from ragspark.functions.stem import with_stems
+from ragspark.functions.stem import stem, with_stems
 
 #: Candidates of each arm, the fusion constant, hits returned, and the parameters of BM25.
 CANDIDATES, RRF_K, TOP_K, RERANK_TOP_K = 40, 60, 5, 4
@@ -16,14 +16,19 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LOW_CONFIDENCE = 0.15
 #: Scores are rounded to so many places before they are ranked, so that sums in another order don't change ties.
 PLACES = 9
-BLOCK, QUERIES = 32_768, 2_048
+#: Bytes of vectors or of queries that a task of dense search holds at most, and pairs of both that are worth a task.
+BLOCK_BYTES, PAIRS = 32 << 20, 1 << 24
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id", score: str = "score", ascending: bool = False) -> DataFrame:
     """The k best of each query with rank from 1; ties to the smaller item. Catalyst limits groups before the shuffle."""
+    return ranked(scored, query, item, score, ascending).filter(F.col("rank") <= k)
+
+
+def ranked(scored: DataFrame, query: str = "query_id", item: str = "chunk_id", score: str = "score", ascending: bool = False) -> DataFrame:
+    """All items of each query with rank from 1; ties to the smaller item."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, F.col(item).asc())))
-    return ranked.filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, F.col(item).asc())))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,48 +60,56 @@ def _measure(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return -squared if kind == "l2" else 1 - squared / 2
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "l2_cosine", query: str = "query_id", item: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "l2_cosine", query: str = "query_id", item: str = "chunk_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """(query, item, score, rank): the k nearest vectors of every query, exactly. measure: inner, cosine, l2 (the squared
-    distance, smaller is better) or l2_cosine (1 - squared distance / 2).
+    distance, smaller is better) or l2_cosine (1 - squared distance / 2). within: a column of both, and only vectors that
+    have the query's value in it are searched.
 
     Blocks of queries meet blocks of vectors; each meeting is one matrix product, of which only its k best (all ties of the
-    last one included, as ids decide) leave the task. No side is broadcast, so neither need be small."""
+    last one included, as ids decide) leave the task. No side is broadcast, so neither need be small. Blocks are as large as
+    a task can hold, because every vector is copied once for each block of queries and the other way round."""
     if measure not in ("inner", "cosine", "l2", "l2_cosine"):
         raise ValueError(f"unknown measure {measure}")
     empty = queries.sparkSession.createDataFrame([], f"{query} {queries.schema[query].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, score double, rank int")
     if k <= 0:
         return empty
-    widths = queries.select(F.size(vector).alias("n")).union(vectors.select(F.size(vector))).agg(F.min("n"), F.max("n"), F.count("*")).first()
-    if widths[0] != widths[1]:
-        raise ValueError(f"vectors of {widths[0]} and {widths[1]} components can't be compared")
-    blocks, turns = -(-vectors.count() // BLOCK), -(-queries.count() // QUERIES)
-    if not blocks or not turns:
+    own = F.lit(0) if within is None else F.col(within)
+    sizes = [t.groupBy(own.alias("c")).agg(F.count("*").alias("n"), F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high")) for t in (vectors, queries)]
+    v, q = (x.agg(F.max("n"), F.min("low"), F.max("high")).first() for x in sizes)
+    if not v[0] or not q[0]:
         return empty
-    v = vectors.select(F.col(item).alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    q = queries.select(F.col(query).alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(query), F.lit(turns)).alias("t")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if not v[1] == v[2] == q[1] == q[2]:
+        raise ValueError(f"vectors of {min(v[1], q[1])} and {max(v[2], q[2])} components can't be compared")
+    most = max(1, BLOCK_BYTES // (8 * v[1]))
+    tasks = max(1, min(v[0] * q[0] // PAIRS, 2 * queries.sparkSession.sparkContext.defaultParallelism))
+    side = max(1, min(most, int((v[0] * q[0] / tasks) ** 0.5)))
+    turns = -(-q[0] // side)
+    blocks = max(-(-v[0] // most), -(-tasks // turns))
+    x = vectors.select(own.alias("c"), F.col(item).alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("b")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    y = queries.select(own.alias("c"), F.col(query).alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(query), F.lit(turns)).alias("t")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         names, ids, out = asked["i"].to_numpy(), block["i"].to_numpy(), []
         if len(asked) and len(block):
             x, every = np.stack(block["v"]).astype(np.float64), np.stack(asked["v"]).astype(np.float64)
-            for at in range(0, len(every), 256):
-                scores = np.round(_measure(measure, every[at : at + 256], x), PLACES)
+            for at in range(0, len(every), step := max(1, 8_000_000 // len(ids))):
+                scores = np.round(_measure(measure, every[at : at + step], x), PLACES)
                 least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-                for name, row, low in zip(names[at : at + 256], scores, least, strict=True):
+                for name, row, low in zip(names[at : at + step], scores, least, strict=True):
                     near = np.flatnonzero(row >= low)
                     near = near[np.lexsort((ids[near], -row[near]))[:k]]
                     out.append(pd.DataFrame({query: name, item: ids[near], "score": row[near]}))
         return pd.concat(out) if out else pd.DataFrame({query: names[:0], item: ids[:0], "score": np.zeros(0)})
 
     schema = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, score double"
-    found = q.groupBy("b", "t").cogroup(v.groupBy("b", "t")).applyInPandas(meet, schema)
+    found = y.groupBy("c", "b", "t").cogroup(x.groupBy("c", "b", "t")).applyInPandas(meet, schema)
     best = top_k(found, k, query, item)
     return best.withColumn("score", -F.col("score")) if measure == "l2" else best
 
 
 def above(hits: DataFrame, least: float, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """Hits of at least this score, ranked anew without gaps."""
-    return top_k(hits.drop("rank").filter(F.col("score") >= least), 1 << 30, query, item)
+    return ranked(hits.drop("rank").filter(F.col("score") >= least), query, item)
 
 
 def norm_audit(vectors: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
@@ -115,9 +128,9 @@ def term_counts(positions: DataFrame, key: str = "chunk_id") -> DataFrame:
     return positions.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(chunks: DataFrame, counts: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, len) of every chunk, those without terms too."""
-    return chunks.select(key).join(counts.groupBy(key).agg(F.sum("tf").alias("len")), key, "left").fillna(0, ["len"])
+def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, len) of every chunk, those without terms too: the size of a chunk's own list of terms, so nothing is shuffled."""
+    return chunks.select(key, F.size(tx.index_tokens(F.col(text))).alias("len"))
 
 
 def corpus_stats(sizes: DataFrame) -> DataFrame:
@@ -125,9 +138,16 @@ def corpus_stats(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def term_stats(counts: DataFrame) -> DataFrame:
-    """(term, df)"""
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(chunks: DataFrame, stemmed: bool = True, text: str = "text") -> DataFrame:
+    """(term, df, tf): chunks that hold each term, and its occurrences. Terms are summed within tasks, so what is shuffled
+    grows with the vocabulary; only that is stemmed. A chunk counts once for each stem, whatever the words that have it."""
+    tokens = tx.index_tokens(F.col(text))
+    if not stemmed:
+        held = chunks.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        every = chunks.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+        return held.join(every, "term")
+    rows = with_stems(chunks.select(F.monotonically_increasing_id().alias("_row"), F.explode(tokens).alias("term")).groupBy("_row", "term").agg(F.count("*").alias("n")))
+    return rows.groupBy("_row", "term").agg(F.sum("n").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 def query_terms(queries: DataFrame, stemmed: bool = True, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -154,27 +174,39 @@ def phrase_counts(positions: DataFrame, phrases: DataFrame, query: str = "query_
     return whole.groupBy(query, "phrase", key).agg(F.count("*").alias("tf"))
 
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: bool = True, query: str = "query_id", key: str = "chunk_id", query_text: str = "text", text: str = "text", index: DataFrame | None = None) -> DataFrame:
+def _surface(chunks: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """(word, term): the words of the chunks' vocabulary whose stem is one of the terms."""
+    words = chunks.select(F.explode(F.array_distinct(tx.index_tokens(F.col(text)))).alias("word")).distinct()
+    return words.select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term")
+
+
+def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: bool = True, query: str = "query_id", key: str = "chunk_id", query_text: str = "text", text: str = "text") -> DataFrame:
     """(query, key, score, rank): the k chunks of highest BM25 for the bag of each query's terms and phrases. A repeated
-    token counts again; a chunk qualifies by any term; a query without terms has no hits. index: kept postings."""
-    positions = postings(chunks, stemmed, key, text) if index is None else index
-    counts = term_counts(positions, key)
-    sizes = lengths(chunks, counts, key)
+    token counts again; a chunk qualifies by any term; a query without terms has no hits.
+
+    Chunks' words meet the queries' terms before anything is shuffled (stems: the words that have them, found in the
+    vocabulary), and are counted by chunk within the task that read it. How common a term is goes with the queries' bag, and a
+    chunk's length with its words, so scores need no further join."""
     bag = query_terms(queries, stemmed, query, query_text)
-    wanted = counts.join(bag.select("term").distinct(), "term", "left_semi")
-    terms = wanted.join(bag, "term").select(query, F.concat(F.lit("t:"), "term").alias("unit"), key, "tf", "mult")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df")).select(F.concat(F.lit("t:"), "term").alias("unit"), "df")
+    tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
+    wanted = _surface(chunks, bag, text) if stemmed else bag.select("term").distinct().withColumn("word", F.col("term"))
+    met = tokens.select(key, F.size("_t").alias("len"), F.explode("_t").alias("word")).join(wanted, "word")
+    counts = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    hits = counts.join(bag.join(df, "term"), "term").select(query, key, "len", "tf", "df", "mult")
     phrases = query_phrases(queries, stemmed, query, query_text)
-    named = phrases.groupBy(query, "phrase", "n").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("_w")).select(query, "phrase", F.concat(F.lit("p:"), F.array_join(F.transform("_w", lambda w: w["term"]), " ")).alias("unit"))
-    found = phrase_counts(positions, phrases, query, key).join(named, [query, "phrase"])
-    each = found.groupBy(query, "unit", key).agg(F.max("tf").alias("tf"), F.count("*").alias("mult"))
-    df = df.unionByName(found.select("unit", key).distinct().groupBy("unit").agg(F.count("*").alias("df")))
-    hits = terms.unionByName(each)
-    stats = corpus_stats(sizes)
+    if not phrases.isEmpty():  # few queries have any, and then places of words are needed too
+        named = phrases.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda w: w["term"]), " ").alias("unit"))
+        words = _surface(chunks, phrases, text) if stemmed else phrases.select("term").distinct().withColumn("word", F.col("term"))
+        places = tokens.select(key, F.size("_t").alias("len"), F.posexplode("_t").alias("pos", "word")).join(words, "word")
+        found = phrase_counts(places.select(F.struct(key, "len").alias("_c"), "pos", "term"), phrases, query, "_c").join(named, [query, "phrase"])
+        each = found.groupBy(query, "unit", "_c").agg(F.max("tf").alias("tf"), F.count("*").alias("mult"))
+        df = found.select("unit", "_c").distinct().groupBy("unit").agg(F.count("*").alias("df"))
+        hits = hits.unionByName(each.join(df, "unit").select(query, f"_c.{key}", "_c.len", "tf", "df", "mult"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, "unit").join(sizes, key).crossJoin(F.broadcast(stats))  # one row
+    scored = hits.crossJoin(F.broadcast(corpus_stats(tokens.select(F.size("_t").alias("len")))))  # one row
     scored = scored.groupBy(query, key).agg(F.round(F.sum(F.col("mult") * weight * share), PLACES).alias("score"))
     return top_k(scored, k, query, key)
 
@@ -191,9 +223,20 @@ def fuse(rankings: list[DataFrame], k: int = TOP_K, constant: int = RRF_K, query
 
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_K, stemmed: bool = True, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """Dense and lexical hits, at least CANDIDATES of each, fused. queries: query, text and embedding."""
-    many = max(CANDIDATES, k)
-    dense = dense_top_k(queries.filter("embedding is not null"), vectors, many, query=query, item=key)
-    return fuse([dense, bm25_top_k(queries, chunks, many, stemmed, query, key)], k, query=query, item=key)
+    return runs(queries, chunks, vectors, ("hybrid",), k, stemmed, query, key).drop("retriever")
+
+
+def runs(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, names: tuple[str, ...] = ("lexical", "dense", "hybrid"), k: int = TOP_K, stemmed: bool = True, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """(retriever, query, key, score, rank) of the lexical, the dense and the hybrid run, with fused scores.
+
+    Each arm is searched once for all runs that it serves: its hits are dealt to them, and every run is a fusion of its arms,
+    which keeps the order of a single one."""
+    many, arms = max(CANDIDATES, k), []
+    for arm, hits in (("dense", lambda: dense_top_k(queries.filter("embedding is not null"), vectors, many, query=query, item=key)), ("lexical", lambda: bm25_top_k(queries, chunks, many, stemmed, query, key))):
+        if own := [n for n in names if n in (arm, "hybrid")]:
+            run = F.explode(F.array(*map(F.lit, own))).alias("retriever")
+            arms.append(hits().select(run, query, key, "rank").select(F.struct("retriever", query).alias("_run"), key, "rank"))
+    return fuse(arms, k, query="_run", item=key).select("_run.*", key, "score", "rank")
 
 
 def rerank(candidates: DataFrame, score: Column, k: int = RERANK_TOP_K, query: str = "query_id", item: str = "chunk_id") -> DataFrame:

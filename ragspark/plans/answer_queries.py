@@ -14,6 +14,7 @@ from ragspark.plans.retrieval_queries import ASKED, GRADES, asked
 from ragspark.plans.text_queries import CLEAN_PAGE
 
 LEAST = 60.0
+SQUEEZE_ENDS = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 SOURCES = f"{bm25_sql()}, src AS (SELECT query_id, rank, chunk_id, doc_id, score, text, CASE WHEN lang = 'en' THEN n_chars // 1000 END AS page FROM hits JOIN documents ON doc_id = chunk_id WHERE score >= {LEAST})"
 
 
@@ -45,7 +46,12 @@ def g3_g4_citations(t: Tables) -> DataFrame:
     return out.select("query_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cited", "uncited", "invented")))
 
 
-@query()
+@query(rf"""WITH {SOURCES}, b AS (SELECT query_id, rank, '[Source ' || rank || ' | Page ' || coalesce(page::VARCHAR, 'None') || ' | Chunk ' || chunk_id || ' | Score ' || printf('%.4f', score) || ']' || chr(10) || {CLEAN_PAGE.format("text")} AS block FROM src),
+ r AS (SELECT *, 3500 - coalesce(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b),
+ o AS (SELECT *, sum((length(block) > room)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS over_ FROM r),
+ k AS (SELECT query_id, rank, CASE WHEN over_ = 0 THEN block ELSE regexp_replace(substr(block, 1, room::BIGINT), ' [^ ]*$', '') END AS block FROM o WHERE over_ = 0 OR (over_ = 1 AND length(block) > room AND room > 300)),
+ c AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM k GROUP BY query_id)
+ SELECT item_id AS query_id, coalesce(context, '') AS context, {SQUEEZE_ENDS.format("'" + answers.CONTEXT_HEAD.replace(chr(10), "' || chr(10) || '") + "' || coalesce(context, '') || chr(10) || chr(10) || 'Question:' || chr(10) || " + CLEAN_PAGE.format("text") + " || chr(10) || chr(10) || 'Answer:'")} AS prompt FROM benchmark LEFT JOIN c ON query_id = item_id""")
 def g5_budgeted_prompts(t: Tables) -> DataFrame:
     return answers.budgeted_prompts(questions(t), sources(t)).select("query_id", "context", "prompt")
 
@@ -109,23 +115,24 @@ def j11_strategies(t: Tables) -> DataFrame:
     return answers.strategies(vector_questions(t), {"reader": reader, "retrieval": first})
 
 
-LOGITS = "logits AS (SELECT vec_id AS question_id, label AS chunk_id, i::INT AS token, embedding[i + 1]::DOUBLE AS start_logit, embedding[64 - i]::DOUBLE AS end_logit FROM (SELECT *, unnest(range(0, 64)) AS i FROM embeddings))"
+LOGITS = "logits AS (SELECT vec_id AS question_id, label AS chunk_id, i::INT AS token, i * 12 AS char_start, i * 12 + 11 AS char_end, embedding[i + 1]::DOUBLE AS start_logit, embedding[64 - i]::DOUBLE AS end_logit FROM (SELECT *, unnest(range(0, 64)) AS i FROM embeddings))"
 
 
 def logits(t: Tables) -> DataFrame:
-    """A vector's components as logits of 64 tokens; ends read them backwards."""
+    """A vector's components as logits of 64 tokens of 11 characters and a blank; ends read them backwards."""
     rows = t.embeddings.select(F.col("vec_id").alias("question_id"), F.col("label").alias("chunk_id"), "embedding", F.posexplode("embedding").alias("token", "_s"))
-    return rows.select("question_id", "chunk_id", "token", F.col("_s").cast("double").alias("start_logit"), F.col("embedding")[63 - F.col("token")].cast("double").alias("end_logit"))
+    at = F.col("token") * 12
+    return rows.select("question_id", "chunk_id", "token", at.alias("char_start"), (at + 11).alias("char_end"), F.col("_s").cast("double").alias("start_logit"), F.col("embedding")[63 - F.col("token")].cast("double").alias("end_logit"))
 
 
-@query(f"""WITH {LOGITS}, s AS (SELECT a.question_id, a.chunk_id, a.token AS start_token, b.token AS end_token, round(a.start_logit + b.end_logit, 9) AS span_score FROM logits a JOIN logits b ON a.question_id = b.question_id AND b.token BETWEEN a.token AND a.token + 39)
+@query(f"""WITH {LOGITS}, s AS (SELECT a.question_id, a.chunk_id, a.token AS start_token, b.token AS end_token, round(a.start_logit + b.end_logit, 9) AS span_score FROM logits a JOIN logits b ON a.question_id = b.question_id AND b.token BETWEEN a.token AND a.token + 39 AND b.char_end - a.char_start BETWEEN 2 AND 400)
  SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY span_score DESC, start_token, end_token) AS r FROM s) WHERE r = 1""")
 def w8_best_spans(t: Tables) -> DataFrame:
     return answers.best_spans(logits(t))
 
 
 @query(f"""WITH {LOGITS}, a AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY start_logit DESC, token) AS r FROM logits), b AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY end_logit DESC, token) AS r FROM logits),
- s AS (SELECT a.question_id, a.token AS start_token, b.token AS end_token, a.start_logit + b.end_logit AS x FROM a JOIN b ON a.question_id = b.question_id AND a.r <= 5 AND b.r <= 5 AND b.token BETWEEN a.token AND a.token + 39),
+ s AS (SELECT a.question_id, a.token AS start_token, b.token AS end_token, a.start_logit + b.end_logit AS x FROM a JOIN b ON a.question_id = b.question_id AND a.r <= 5 AND b.r <= 5 AND b.token BETWEEN a.token AND a.token + 39 AND b.char_end - a.char_start BETWEEN 2 AND 400),
  e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY question_id)) AS e FROM s) SELECT question_id, start_token, end_token, round(e / sum(e) OVER (PARTITION BY question_id), 9) AS confidence FROM e""")
 def w9_span_confidence(t: Tables) -> DataFrame:
     found = answers.with_confidence(answers.spans(logits(t), n_best=5))
@@ -146,7 +153,7 @@ def p4_scripted(t: Tables) -> DataFrame:
     return ports.scripted(prompts, script, "none").select("query_id.conv_id", "query_id.turn", "completion")
 
 
-@query()
+@query(r"SELECT conv_id, turn, CASE WHEN contains(text, 'o') AND regexp_matches(substr(text, 1, 40), '\S') THEN regexp_replace(regexp_replace(substr(text, 1, 40), '^\s+', ''), '\s+$', '') END AS completion, CASE WHEN NOT contains(text, 'o') THEN 'ValueError: no o' WHEN NOT regexp_matches(substr(text, 1, 40), '\S') THEN 'empty completion' END AS error FROM conversations")
 def p3_completions(t: Tables) -> DataFrame:
     """A model that repeats the question after some reasoning, and fails on questions without the letter o."""
     def load():  # noqa: ANN202

@@ -9,7 +9,7 @@ from ragspark.operators import chunk, evaluate, lifecycle, spans
 from ragspark.plans import inputs
 from ragspark.plans.inputs import SPANS, WINDOWS, WORDS
 from ragspark.plans.registry import Tables, query
-from ragspark.plans.text_queries import PARTS, pages
+from ragspark.plans.text_queries import CLEAN_PAGE, PARTS, SENTENCES, pages
 from ragspark.sources import corpus, store
 
 C2 = f"{WORDS}, c2 AS (SELECT doc_id, start_word::INT AS start_word, w[start_word + 1 : start_word + 180] AS c FROM (SELECT doc_id, w, unnest(range(0, len(w), 140)) AS start_word FROM words))"
@@ -17,7 +17,20 @@ C3 = f"""{WORDS}, c3a AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <=
  c3 AS (SELECT doc_id, ordinal::INT AS ordinal, (ordinal * 140)::INT AS start_word, least(ordinal * 140 + 180, len(w))::INT AS end_word, w[ordinal * 140 + 1 : ordinal * 140 + 180] AS c FROM c3a WHERE least(ordinal * 140 + 180, len(w)) - ordinal * 140 >= 30)"""
 
 
-@query()
+def walk_sql(sizes: tuple[tuple[int, int], ...]) -> str:
+    """Common table expressions that end in cut (config_id, size, overlap, doc_id, ordinal, a, b): one step for each chunk."""
+    skipped = r"({0} + length(substr(text, ({0}) + 1)) - length(regexp_replace(substr(text, ({0}) + 1), '^\s+', '')))"
+    cut = " ".join(f"WHEN contains(win, {b}) THEN low + length(win) - strpos(reverse(win), reverse({b})) + 1" for b in ("chr(10) || chr(10)", "chr(10)", "'. '", "'? '", "'! '", "' '"))
+    return rf"""cfg(config_id, size, overlap) AS (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(sizes))}),
+ step AS (SELECT config_id, size, overlap, doc_id, -1 AS ordinal, NULL::BIGINT AS a, NULL::BIGINT AS b, {skipped.format("0")} AS pos FROM documents, cfg
+  UNION ALL SELECT config_id, size, overlap, doc_id, ordinal + 1, pos, kept, CASE WHEN pos + size >= length(text) THEN length(text) ELSE {skipped.format("CASE WHEN kept - overlap > pos THEN kept - overlap ELSE kept END")} END FROM
+   (SELECT *, pos + length(regexp_replace(substr(text, pos + 1, stop - pos), '\s+$', '')) AS kept FROM
+    (SELECT *, CASE WHEN pos + size >= length(text) THEN length(text) {cut} ELSE pos + size END AS stop FROM
+     (SELECT *, pos + size * 6 // 10 AS low, substr(text, pos + size * 6 // 10 + 1, size - size * 6 // 10) AS win FROM step JOIN documents USING (doc_id) WHERE pos < length(text))))),
+ cut AS (SELECT * FROM step WHERE ordinal >= 0)"""
+
+
+@query(f"WITH RECURSIVE {walk_sql(((1000, 200),))} SELECT doc_id, ordinal::INT AS ordinal, substr(text, a + 1, b - a) AS text, a::INT AS source_start, b::INT AS source_end FROM cut JOIN documents USING (doc_id)")
 def c1_char_chunks(t: Tables) -> DataFrame:
     return chunk.char_chunks(t.documents)
 
@@ -32,7 +45,18 @@ def c3_word_chunks_to_end(t: Tables) -> DataFrame:
     return chunk.word_chunks_to_end(t.documents, key="doc_id")
 
 
-@query()
+C4 = rf"""{SENTENCES}, pieces AS (SELECT doc_id, p, w, unnest(range(0, len(w), 250)) AS x FROM (SELECT doc_id, p, list_filter(regexp_split_to_array(s[p], '\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS p FROM sentences))),
+ units AS MATERIALIZED (SELECT doc_id, list(array_to_string(w[x + 1 : x + 250], ' ') ORDER BY p, x) AS u, list(len(w[x + 1 : x + 250]) ORDER BY p, x) AS n FROM pieces GROUP BY doc_id),
+ step AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS first, 0::BIGINT AS held, NULL::BIGINT AS a FROM units
+  UNION ALL SELECT doc_id, i + 1, begin, coalesce(list_sum(n[begin + 1 : i]), 0)::BIGINT + n[i + 1], CASE WHEN begin > first OR full_ THEN first END FROM
+   (SELECT *, CASE WHEN full_ THEN list_filter(range(greatest(first, i - 2), i + 1), lambda f: coalesce(list_sum(n[f + 1 : i]), 0) + n[i + 1] <= 250)[1] ELSE first END AS begin FROM
+    (SELECT step.*, n, i > first AND held + n[i + 1] > 250 AS full_ FROM step JOIN units USING (doc_id) WHERE i < len(n)))),
+ packs AS (SELECT doc_id, a, i - 1 AS b FROM step WHERE a IS NOT NULL UNION ALL SELECT doc_id, first, i FROM step JOIN units USING (doc_id) WHERE i = len(n)),
+ c4 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b)::INT - 1 AS ordinal, (b - a)::INT AS num_sentences, array_to_string(u[a + 1 : b], ' ') AS t FROM packs JOIN units USING (doc_id)),
+ c4c AS (SELECT doc_id, ordinal, num_sentences, {CLEAN_PAGE.format("t")} AS chunk_text FROM c4)"""
+
+
+@query(rf"WITH RECURSIVE {C4} SELECT doc_id, ordinal, num_sentences, chunk_text, len(list_filter(regexp_split_to_array(chunk_text, '\s+'), lambda x: x <> ''))::INT AS word_count, length(chunk_text)::INT AS character_count, substr(chunk_text, 1, 300) AS preview FROM c4c")
 def c4_sentence_chunks(t: Tables) -> DataFrame:
     return chunk.sentence_chunks(t.documents, key="doc_id")
 
@@ -55,7 +79,7 @@ def c6_provenance(t: Tables) -> DataFrame:
     return chunk.with_provenance(inputs.windows(t), segments.withColumn("page", F.col("page").cast("long"))).select("chunk_id", "doc_id", "extraction", "page")
 
 
-@query()
+@query(f"WITH RECURSIVE {walk_sql(((500, 100), (1000, 200), (2000, 400)))} SELECT config_id, size AS chunk_size, overlap, count(*) AS n_chunks, sum(b - a)::BIGINT AS n_chars FROM cut GROUP BY ALL")
 def c7_size_sweep(t: Tables) -> DataFrame:
     swept = chunk.swept(t.documents, [(500, 100), (1000, 200), (2000, 400)])
     return swept.groupBy("config_id", "chunk_size", "overlap").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))

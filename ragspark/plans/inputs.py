@@ -43,14 +43,17 @@ def spans(t: Tables) -> DataFrame:
     meets every document; a substring test decides. Words at the passage's ends may be cut, so its second to fifth count."""
     w = tx.words(F.col("text"))
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("quote"), w.alias("_w")).withColumn("_long", F.size("_w") >= 6)
-    short = asked.filter("not _long").select("query_id", "quote")
+    short = asked.filter("not _long and quote <> ''").select("query_id", "quote")
     asked = asked.filter("_long").select("query_id", "quote", F.xxhash64(F.array_join(F.slice("_w", 2, 4), " ")).alias("_g"))
     later = F.arrays_zip(w.alias("a"), *(F.slice(w, k + 1, F.greatest(F.size(w), F.lit(1))).alias("bcd"[k - 1]) for k in (1, 2, 3)))
     grams = F.transform(F.filter(later, lambda g: g["d"].isNotNull()), lambda g: F.xxhash64(F.concat_ws(" ", g["a"], g["b"], g["c"], g["d"])))
     found = t.documents.select("doc_id", F.explode(F.array_distinct(grams)).alias("_g"))
     met = found.join(asked, "_g").select("doc_id", "query_id", "quote").distinct()
-    if not short.isEmpty():  # passages of under six words have no inner words to go by
-        met = met.unionByName(t.documents.select("doc_id", "text").join(short, F.contains("text", "quote")).select("doc_id", "query_id", "quote"))
+    q = short.agg(F.min(F.length("quote"))).first()[0]
+    if q:  # passages of under six words have no inner words to go by, but as many characters as the shortest of them
+        begins = F.transform(F.sequence(F.lit(1), F.length("text") - q + 1), lambda i: F.substring("text", i, F.lit(q)))
+        places = t.documents.filter(F.length("text") >= q).select("doc_id", F.explode(F.array_distinct(begins)).alias("_b"))
+        met = met.unionByName(places.join(short.withColumn("_b", F.substring("quote", 1, q)), "_b").select("doc_id", "query_id", "quote"))
     at = F.instr("text", F.col("quote"))
     rows = met.join(t.documents.select("doc_id", "text"), "doc_id").withColumn("_at", at).filter("_at > 0")
     grade = t.labels.select("doc_id", (1 + F.coalesce("quality", F.lit(0))).alias("grade"))

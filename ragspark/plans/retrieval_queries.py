@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
@@ -38,9 +38,11 @@ for _f, _m in ((r1_dense_top_k, "l2_cosine"), (r3_cosine_top_k, "cosine"), (r4_l
     query(f"WITH {dense_sql(_m, 10, ascending=_m == 'l2')} {HITS}")(_f)
 
 
-@query("SELECT vec_id, label, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / (list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) + 1e-10), 6) AS self_cosine FROM embeddings")
+@query("SELECT a.vec_id, b.vec_id AS other_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-10), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def r2_cosine(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", "label", F.round(retrieve.cosine(F.col("embedding"), F.col("embedding")), 6).alias("self_cosine"))
+    """Each vector with the next one."""
+    after = t.embeddings.select(F.col("vec_id").alias("other_id"), (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_b"))
+    return t.embeddings.select("vec_id", "embedding").join(after, "vec_id").select("vec_id", "other_id", F.round(retrieve.cosine(F.col("embedding"), F.col("_b")), 6).alias("cosine"))
 
 
 @query(f"WITH {dense_sql('inner', 10)} SELECT query_id, chunk_id, score, rank FROM hits WHERE score >= 0.35")
@@ -69,7 +71,18 @@ def r9_bm25_stemmed(t: Tables) -> DataFrame:
     return retrieve.bm25_top_k(inputs.passages(t), inputs.as_chunks(t))
 
 
-@query()
+PHRASES = rf"""docs AS (SELECT doc_id AS chunk_id, {TOKENS.format("text")} AS d FROM documents), st AS (SELECT count(*) AS n, avg(len(d)) AS avg_len FROM docs),
+ tok AS (SELECT item_id AS query_id, {TOKENS.format("q")} AS t FROM (SELECT item_id, unnest(regexp_extract_all(regexp_replace(text, '^(\S+) (\S+)', '\1_\2'), '[\p{{L}}\p{{N}}_]+')) AS q FROM benchmark)),
+ bag AS (SELECT query_id, t, count(*) AS mult FROM tok WHERE len(t) > 0 GROUP BY ALL), units AS (SELECT DISTINCT t FROM bag),
+ places AS (SELECT chunk_id, len(d) AS len, d, unnest(d) AS w, generate_subscripts(d, 1) AS pos FROM docs),
+ tf AS (SELECT t, chunk_id, any_value(p.len) AS len, count(*) AS tf FROM units JOIN places p ON t[1] = w AND (len(t) = 1 OR d[pos : pos + len(t) - 1] = t) GROUP BY t, chunk_id),
+ df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+ sc AS (SELECT query_id, chunk_id, round(sum(mult * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)))), 9) AS score
+  FROM bag JOIN tf USING (t) JOIN df USING (t), st GROUP BY ALL),
+ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM sc) WHERE rank <= 5)"""
+
+
+@query(f"WITH {PHRASES} {HITS}")
 def r10_phrases(t: Tables) -> DataFrame:
     """Passages whose first two words are joined by an underscore, which makes them a phrase."""
     joined = t.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"^(\S+) (\S+)", "$1_$2").alias("text"))
@@ -78,15 +91,12 @@ def r10_phrases(t: Tables) -> DataFrame:
 
 @query(rf"WITH tok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY term")
 def r11_term_statistics(t: Tables) -> DataFrame:
-    counts = retrieve.term_counts(retrieve.postings(inputs.as_chunks(t), stemmed=False))
-    return retrieve.term_stats(counts).join(counts.groupBy("term").agg(F.sum("tf").alias("tf")), "term")
+    return retrieve.term_stats(inputs.as_chunks(t), stemmed=False)
 
 
 @query(rf"WITH tok AS (SELECT doc_id, len({TOKENS.format('text')}) AS len FROM documents) SELECT count(*) AS n, round(avg(len), 6) AS avg_len FROM tok")
 def r11_corpus_statistics(t: Tables) -> DataFrame:
-    chunks = inputs.as_chunks(t)
-    sizes = retrieve.lengths(chunks, retrieve.term_counts(retrieve.postings(chunks, stemmed=False)))
-    return retrieve.corpus_stats(sizes).select("n", F.round("avg_len", 6).alias("avg_len"))
+    return retrieve.corpus_stats(retrieve.lengths(inputs.as_chunks(t))).select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
 HALF = "SELECT item_id AS query_id, substr(text, 1, 80) AS text FROM benchmark"
@@ -96,17 +106,20 @@ HALF = "SELECT item_id AS query_id, substr(text, 1, 80) AS text FROM benchmark"
 def r12_rank_fusion(t: Tables) -> DataFrame:
     """Rankings by whole passages and by their beginnings."""
     chunks = inputs.as_chunks(t)
-    index = retrieve.postings(chunks, stemmed=False)
     half = inputs.passages(t).withColumn("text", F.substring("text", 1, 80))
-    return retrieve.fuse([retrieve.bm25_top_k(q, chunks, 40, stemmed=False, index=index) for q in (inputs.passages(t), half)])
+    return retrieve.fuse([retrieve.bm25_top_k(q, chunks, 40, stemmed=False) for q in (inputs.passages(t), half)])
 
 
 HYBRID = f"""{bm25_sql(k=40, prefix='l')}, {dense_sql('l2_cosine', 40, queries='SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id', prefix='d')}, {fuse_sql(['lhits', 'dhits'], 5)}"""
 
 
+def with_vectors(t: Tables) -> DataFrame:
+    """Passages with the vectors of their numbers."""
+    return inputs.passages(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
 def hybrid_hits(t: Tables) -> DataFrame:
-    asked = inputs.passages(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return retrieve.hybrid(asked, inputs.as_chunks(t), inputs.vectors(t), stemmed=False)
+    return retrieve.hybrid(with_vectors(t), inputs.as_chunks(t), inputs.vectors(t), stemmed=False)
 
 
 @query(f"WITH {HYBRID} SELECT query_id, chunk_id, score, rank FROM fhits")
@@ -115,10 +128,22 @@ def r13_hybrid(t: Tables) -> DataFrame:
     return hybrid_hits(t)
 
 
-@query("SELECT item_id AS query_id, 0 AS n_faults FROM benchmark")
+FAULTY = """bad AS (SELECT query_id, CASE WHEN kind = 4 AND rank = 2 THEN first ELSE chunk_id END AS chunk_id, CASE WHEN kind = 1 THEN -score ELSE score END AS score, CASE WHEN kind = 2 AND rank > 1 THEN rank + 1 ELSE rank END AS rank FROM
+  (SELECT *, query_id // 20 % 5 AS kind, first_value(chunk_id) OVER (PARTITION BY query_id ORDER BY rank) AS first FROM hits) WHERE kind = 3 OR rank <= 10)"""
+
+
+@query(f"""WITH {dense_sql('inner', 12)}, {FAULTY}, l AS (SELECT *, lag(score) OVER w AS above, lag(chunk_id) OVER w AS id, row_number() OVER w AS pos FROM bad WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+ SELECT query_id, fault FROM (SELECT query_id, CASE WHEN score > above THEN 'scores ascend' WHEN score = above AND chunk_id < id THEN 'ties are out of order' WHEN rank <> pos THEN 'ranks have gaps' WHEN pos > 10 THEN 'too many hits' END AS fault FROM l) WHERE fault IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT query_id, 'an item stands twice' FROM (SELECT query_id FROM bad GROUP BY query_id, chunk_id HAVING count(*) > 1) GROUP BY query_id""")
 def r14_contract_audit(t: Tables) -> DataFrame:
-    faults = retrieve.contract_faults(hybrid_hits(t), 5).groupBy("query_id").agg(F.count("*").cast("int").alias("n_faults"))
-    return inputs.passages(t).select("query_id").join(faults, "query_id", "left").fillna(0, ["n_faults"])
+    """Rankings of which four in five have a fault: ascending scores, a gap, hits too many, an item twice."""
+    kind, first = F.floor(F.col("query_id") / 20) % 5, F.first("chunk_id").over(Window.partitionBy("query_id").orderBy("rank"))
+    hits = _dense("inner", 12)(t).withColumns({"kind": kind, "first": first}).filter("kind = 3 or rank <= 10")
+    bad = hits.select(
+        "query_id", F.when((F.col("kind") == 4) & (F.col("rank") == 2), F.col("first")).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(F.col("kind") == 1, -F.col("score")).otherwise(F.col("score")).alias("score"),
+        F.when((F.col("kind") == 2) & (F.col("rank") > 1), F.col("rank") + 1).otherwise(F.col("rank")).alias("rank"),
+    )
+    return retrieve.contract_faults(bad, 10)
 
 
 @query(f"WITH {dense_sql('inner', 10)}, t AS (SELECT query_id, max(score) AS top_score FROM hits WHERE chunk_id <> query_id GROUP BY query_id) SELECT vec_id AS query_id, top_score, CASE WHEN top_score IS NULL THEN 'empty' WHEN top_score < 0.45 THEN 'low' ELSE 'ok' END AS confidence FROM embeddings LEFT JOIN t ON query_id = vec_id WHERE vec_id % 20 = 0")
@@ -153,9 +178,7 @@ def r18_rerank(t: Tables) -> DataFrame:
 @query(f"WITH {dense_sql('inner', 10, prefix='a')}, {dense_sql('inner', 10, prefix='b', where='q.label = v.label')} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.rank, b.rank) AS rank, a.chunk_id AS left_id, a.score AS left_score, b.chunk_id AS right_id, b.score AS right_score, coalesce(a.chunk_id = b.chunk_id, false) AS same_chunk FROM ahits a FULL OUTER JOIN bhits b ON a.query_id = b.query_id AND a.rank = b.rank")
 def j10_side_by_side(t: Tables) -> DataFrame:
     """All vectors against those of the query's class."""
-    other = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("_b"))
-    own = inputs.vector_queries(t).select("query_id", F.col("label").alias("_a"))
-    within = retrieve.top_k(_dense("inner", 1 << 20)(t).drop("rank").join(own, "query_id").join(other, "chunk_id").filter("_a = _b").select("query_id", "chunk_id", "score"), 10)
+    within = retrieve.dense_top_k(inputs.vector_queries(t), inputs.vectors(t), 10, "inner", within="label")
     return retrieve.side_by_side(_dense("inner")(t), within)
 
 
@@ -167,9 +190,13 @@ def grades(t: Tables) -> DataFrame:
     return inputs.spans(t).select("query_id", F.col("doc_id").alias("chunk_id"), "grade")
 
 
+def _kinds() -> tuple[Column, Column]:
+    return F.when(F.col("item_id") % 2 == 0, "exact_term").otherwise("conceptual").alias("query_type"), F.when(F.length("text") > 200, "long").otherwise("short").alias("source_type")
+
+
 def asked(t: Tables) -> DataFrame:
     some = grades(t).select("query_id").distinct().withColumn("answerable", F.lit(True))
-    rows = t.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "exact_term").otherwise("conceptual").alias("query_type"), F.when(F.length("text") > 200, "long").otherwise("short").alias("source_type"))
+    rows = t.benchmark.select(F.col("item_id").alias("query_id"), *_kinds())
     return rows.join(some, "query_id", "left").fillna(False, ["answerable"])
 
 
@@ -185,10 +212,10 @@ def scores_sql(hits: str, name: str) -> str:
 
 def run_scores(t: Tables) -> DataFrame:
     """Scores of the lexical and the hybrid run, by query."""
-    q, g = asked(t), grades(t)
-    lexical = retrieve.bm25_top_k(inputs.passages(t), inputs.as_chunks(t), stemmed=False)
-    out = [evaluate.score_queries(q, hits, g, 5).withColumn("retriever", F.lit(name)) for name, hits in (("lexical", lexical), ("hybrid", hybrid_hits(t)))]
-    return out[0].unionByName(out[1])
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), *_kinds())
+    names = ("lexical", "hybrid")
+    hits = retrieve.runs(with_vectors(t), inputs.as_chunks(t), inputs.vectors(t), names, stemmed=False)
+    return evaluate.score_runs(q, hits, grades(t), 5, names).withColumn("answerable", F.col("n_relevant") > 0)
 
 
 RUNS = f"{bm25_sql()}, {HYBRID}, {GRADES}, {ASKED}, {scores_sql('hits', 'lexical')}, {scores_sql('fhits', 'hybrid')}, runs AS (SELECT * FROM lexicals UNION ALL SELECT * FROM hybrids)"

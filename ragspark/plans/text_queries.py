@@ -50,9 +50,12 @@ def f6_is_reasonable_answer(t: Tables) -> DataFrame:
     return pages(t).select("doc_id", F.col("page").cast("long").alias("page"), tx.is_reasonable_answer(F.col("text")).alias("reasonable"))
 
 
-@query(rf"""WITH c AS (SELECT doc_id, {CLEAN_PAGE.format("text")} AS t FROM documents),
- s AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?]) +([A-Z0-9"(\[])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: x <> '') AS s FROM c)
- SELECT doc_id, len(s) AS n_sentences, array_to_string(s, '|') AS sentences FROM s""")
+#: Ends of sentences are marked by one control character, those after abbreviations unmarked again.
+SENTENCES = rf"""marked AS (SELECT doc_id, regexp_replace(regexp_replace({CLEAN_PAGE.format("text")}, '([.!?]) +([A-Z0-9"(\[])', '\1' || chr(30) || '\2', 'g'), '(e\.g\.|i\.e\.|Fig\.|fig\.|Eq\.|eq\.|Dr\.|Mr\.|Ms\.|Prof\.|vs\.|et al\.)' || chr(30), '\1 ', 'g') AS t FROM documents),
+ sentences AS (SELECT doc_id, list_filter(string_split(t, chr(30)), lambda x: x <> '') AS s FROM marked)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, len(s) AS n_sentences, array_to_string(s, '|') AS sentences FROM sentences")
 def f7_sentences(t: Tables) -> DataFrame:
     s = t.documents.select("doc_id", tx.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join("s", "|").alias("sentences"))
