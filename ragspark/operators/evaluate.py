@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
 from ragspark.functions.text import REFUSAL
+from ragspark.operators import spans
 
 
 def judged(hits: DataFrame, grades: DataFrame, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
@@ -42,6 +43,12 @@ def score_runs(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int, r
     return rows.drop("_run")
 
 
+def run(queries: DataFrame, hits: DataFrame, labels: DataFrame, docs: DataFrame, chunks: DataFrame, k: int, retrievers: tuple[str, ...]) -> DataFrame:
+    """Scores of several retrievers' hits against labelled spans. Labels that don't match the texts are an error: nothing is
+    scored against broken anchors."""
+    return score_runs(queries, hits, spans.grades(spans.resolve(spans.require_sound(labels, docs), chunks)), k, retrievers)
+
+
 def summary(scores: DataFrame, by: tuple[str, ...] = ("query_type", "source_type"), retriever: str = "retriever") -> DataFrame:
     """Means over all queries of a retriever, and by each slice, in one pass: (retriever, slice, value, n_queries, ...)."""
     grouped = scores.groupingSets([[F.col(retriever)], *([F.col(retriever), F.col(c)] for c in by)], F.col(retriever), *map(F.col, by))
@@ -63,8 +70,8 @@ def by_extraction(hits: DataFrame, grades: DataFrame, chunks: DataFrame, k: int,
 def essential_recall(resolved: DataFrame, hits: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """By query, the share of spans of grade 2 with a resolved chunk within k."""
     top = hits.filter(F.col("rank") <= k).select(query, item, F.lit(1).alias("_hit"))
-    spans = resolved.filter("grade = 2").join(top, [query, item], "left").groupBy(query, "doc_id", "char_start", "char_end").agg(F.max(F.coalesce("_hit", F.lit(0))).alias("_hit"))
-    return spans.groupBy(query).agg(F.count("*").alias("n_spans"), F.avg("_hit").alias("essential_recall"))
+    found = resolved.filter("grade = 2").join(top, [query, item], "left").groupBy(query, "doc_id", "char_start", "char_end").agg(F.max(F.coalesce("_hit", F.lit(0))).alias("_hit"))
+    return found.groupBy(query).agg(F.count("*").alias("n_spans"), F.avg("_hit").alias("essential_recall"))
 
 
 def false_answer_rate(answers: DataFrame, answer: str = "answer") -> DataFrame:
@@ -129,8 +136,8 @@ def claim_report(claims: DataFrame, citations: DataFrame, must_cite: DataFrame)
     coverage = claims.groupBy("id").agg(F.count("*").alias("n_claims"), F.avg(F.col("present").cast("int")).alias("claim_coverage"))
     m = must_cite.select("id", "doc_id", F.col("char_start").alias("_a"), F.col("char_end").alias("_b"))
     met = m.join(citations, ["id", "doc_id"], "left").withColumn("_hit", F.coalesce((F.col("char_start") < F.col("_b")) & (F.col("char_end") > F.col("_a")), F.lit(False)))
-    spans = met.groupBy("id", "doc_id", "_a", "_b").agg(F.max("_hit").alias("_hit")).groupBy("id").agg(F.avg(F.col("_hit").cast("int")).alias("citation_accuracy"))
-    return coverage.join(spans, "id", "full_outer")
+    cited = met.groupBy("id", "doc_id", "_a", "_b").agg(F.max("_hit").alias("_hit")).groupBy("id").agg(F.avg(F.col("_hit").cast("int")).alias("citation_accuracy"))
+    return coverage.join(cited, "id", "full_outer")
 
 
 def corpus_summary(docs: DataFrame, segments: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

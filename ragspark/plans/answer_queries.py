@@ -11,7 +11,10 @@ from ragspark.plans import inputs
 from ragspark.plans.inputs import bm25_sql, dense_sql
 from ragspark.plans.registry import Tables, query
 from ragspark.plans.retrieval_queries import ASKED, GRADES, asked
+from ragspark.plans.chunk_queries import walk_sql
 from ragspark.plans.text_queries import CLEAN_PAGE
+from ragspark.sources import corpus, scratch, store
+from ragspark.streaming import ingest
 
 LEAST = 60.0
 SQUEEZE_ENDS = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
@@ -207,23 +210,50 @@ def l5_l6_lookup(t: Tables) -> DataFrame:
 
 @query(f"WITH {FOLD} SELECT doc_id, status, error, n_pages, n_chunks FROM folded")
 def x3_live_status(t: Tables) -> DataFrame:
-    """The fold as a stream over the table's files, run until they are read; a document's row of most events is its state."""
-    import uuid
-
-    from ragspark.streaming import ingest
-
-    spark, name = t.spark, f"live_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
+    """The fold as a stream over the table's files, run until they are read."""
+    spark, folder = t.spark, scratch.new_path(t.spark, "live")
     schema, path = t.events.schema, f"{t.sf_dir}/events.parquet"
     single = spark.read.format("binaryFile").load(path).select("path").first()[0].rstrip("/").endswith("events.parquet")
     reader = spark.readStream.schema(schema)
     stream = reader.option("pathGlobFilter", "events.parquet").parquet(t.sf_dir) if single else reader.parquet(path)
-    ingest.live_status(as_log(stream), name, f"{folder}/{name}").awaitTermination()
-    return spark.table(name).groupBy("doc_id").agg(F.max_by(F.struct("status", "error", "n_pages", "n_chunks"), "updated_at").alias("s")).select("doc_id", "s.*")
+    ingest.live_status(as_log(stream), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    return ingest.current_status(spark, f"{folder}/states").select("doc_id", "status", "error", "n_pages", "n_chunks")
+
+
+@query(f"WITH RECURSIVE {walk_sql(((1000, 200),))}, first AS (SELECT min(doc_id) AS doc_id FROM documents WHERE lang = 'es' GROUP BY text), n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) SELECT doc_id, 'completed' AS status, coalesce(n, 0)::INT AS n_chunks, coalesce(n, 0) AS n_vectors FROM first LEFT JOIN n USING (doc_id)")
+def x1_x2_ingested(t: Tables) -> DataFrame:
+    """The Spanish documents, ingested as a stream from files, twice over; the second run changes nothing."""
+    spark, folder = t.spark, scratch.new_path(t.spark, "ingest")
+    docs = t.documents.filter("lang = 'es'").select("doc_id", "text")
+    docs.write.parquet(f"{folder}/in")
+    held, embed = store.Store(spark, f"{folder}/store", 8), ports.embedder(ports.hash_model(8), 8, errors=True)
+    for run in ("first", "again"):
+        ingest.ingest_stream(spark.readStream.schema(docs.schema).parquet(f"{folder}/in"), held, embed, f"{folder}/{run}").awaitTermination()
+    n = held.read("vectors").groupBy("doc_id").agg(F.count("*").alias("n_vectors"))
+    return lifecycle.fold(held.read("events")).select("doc_id", "status", "n_chunks").join(n, "doc_id", "left").fillna(0, ["n_vectors"])
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS query, item_id % 2 = 0 AS answerable, (SELECT count(*) FROM benchmark)::INT AS n FROM benchmark")
+def s10_s11_dataset(t: Tables) -> DataFrame:
+    """Passages written as a data set, one JSON object a line, and read again."""
+    path = scratch.new_path(t.spark, "dataset")
+    n = corpus.write_dataset(t.benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), (F.col("item_id") % 2 == 0).alias("answerable")), path)
+    rows, _ = corpus.read_dataset(t.spark, path)
+    return rows.select("id", "query", "answerable", F.lit(n).cast("int").alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, length(text) AS n_chars, 1 AS version, length(text) - length(replace(text, chr(13), '')) + 1 AS n_returns FROM (SELECT doc_id, text || chr(13) || 'x' AS text FROM documents)")
+def s7_s9_frozen(t: Tables) -> DataFrame:
+    """Texts with a carriage return, frozen and read back; a text that had drifted would fail."""
+    path = scratch.new_path(t.spark, "frozen")
+    corpus.freeze(t.documents.select("doc_id", F.concat("text", F.lit("\rx")).alias("text")), path)
+    rows = corpus.read_frozen(t.spark, path)
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("n_chars").cast("long").alias("n_chars"), "version", (F.length("text") - F.length(F.replace("text", F.lit("\r"), F.lit(""))) + 1).cast("long").alias("n_returns"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY source, doc_id")
+def w11_in_order(t: Tables) -> DataFrame:
+    return corpus.in_order(t.documents.select("doc_id", "source"), "source")
 
 
 DATA = f"""{GRADES}, {ASKED}, rows AS (SELECT 'ret-' || (CASE WHEN query_id % 7 = 3 THEN '9' ELSE lpad(query_id::VARCHAR, 4, '0') END) AS id, * FROM asked)"""

@@ -124,9 +124,11 @@ def t10_t11_gates(t: Tables) -> DataFrame:
     return corpus.gate(paths(t)).select("doc_id", "reject_reason")
 
 
-@query("SELECT doc_id, sha256(text) AS text_sha256, length(text) AS n_chars FROM documents")
+@query("SELECT doc_id, sha256(encode(text || chr(0))) AS content_sha256, sha256(text) AS text_sha256, length(text) AS n_chars FROM documents")
 def t6_t7_hashes(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+    """Of texts as files with a last byte 0, and of texts."""
+    content = F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\0")))
+    return t.documents.select("doc_id", F.sha2(content, 256).alias("content_sha256"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY sha256(text)")

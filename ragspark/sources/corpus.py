@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
@@ -116,6 +116,11 @@ def freeze(docs: DataFrame, path: str, text: str = "text", version: int = CORPUS
     docs.filter(F.col(text).isNull()).withColumn("reason", F.lit("no text")).write.mode("overwrite").parquet(f"{path}/rejects")
 
 
+def in_order(docs: DataFrame, kind: str = "source_type", key: str = "doc_id") -> DataFrame:
+    """Documents sorted by their type, then by id: a range-partitioned sort, as all sorts of Spark."""
+    return docs.orderBy(kind, key)
+
+
 def drift(frozen: DataFrame, text: str = "text") -> DataFrame:
     """Rows of a frozen corpus whose text no longer has the hash that it was frozen with."""
     return frozen.filter(~F.sha2(text, 256).eqNullSafe(F.col("text_sha256")))
@@ -138,8 +143,9 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_dataset(rows: DataFrame, path: str) -> int:
     """One JSON object a line; returns how many."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
-    return rows.count()
+    seen = Observation()
+    rows.select(F.to_json(F.struct("*")).alias("value")).observe(seen, F.count("*").alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
 
 
 def first_by_hash(arrivals: DataFrame, stored: DataFrame | None = None, digest: str = "content_hash", order: tuple[str, ...] = ("arrival", "doc_id")) -> DataFrame:

@@ -141,7 +141,7 @@ def test_hybrid_rescues_the_exact_term(spark):
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"))
     rows = lambda d, n: {t: spark.createDataFrame([(d, f"{d}{i}", "word") for i in range(n)], "doc_id string, chunk_id string, text string") for t in store.TABLES}
-    assert s.current() is None
+    assert not s.exists("chunks")
     s.replace(rows("a", 3))
     s.replace(rows("b", 2))
     s.replace(rows("a", 1))

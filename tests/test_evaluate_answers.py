@@ -111,18 +111,47 @@ def test_completions(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    embed = ports.embedder(ports.hash_model(8), 8)
+    def load():
+        model = ports.hash_model(8)()
+
+        def careful(texts):
+            if any("bad" in x for x in texts):
+                raise RuntimeError("bad text")
+            return model(texts)
+
+        return careful
+
+    embed = ports.embedder(load, 8, errors=True)
     s, inbox = Store(spark, str(tmp_path / "s")), str(tmp_path / "in")
-    first = spark.createDataFrame([("a", "one text " * 30), ("b", "two texts " * 200), ("c", "one text " * 30)], "doc_id string, text string")
+    first = spark.createDataFrame([("a", "one text " * 30), ("b", "two texts " * 200), ("c", "one text " * 30), ("d", "a bad text"), ("e", None), ("f", " ")], "doc_id string, text string")
     first.coalesce(1).write.mode("append").parquet(inbox)
     run = lambda: ingest.ingest_stream(spark.readStream.schema(first.schema).parquet(inbox), s, embed, str(tmp_path / "cp")).awaitTermination()
     run()
     docs = {r[0] for r in s.read("chunks").select("doc_id").distinct().collect()}
     assert docs == {"a", "b"}
-    n, version = s.read("chunks").count(), s.version()
-    ingest.ingest_batch(first, s, embed)
-    assert s.read("chunks").count() == n and s.version() == version
+    state = lambda: {r["doc_id"]: (r["status"], r["error"], r["n_chunks"]) for r in lifecycle.fold(s.read("events")).collect()}
+    assert state() == {"a": ("completed", None, 1), "b": ("completed", None, 3), "d": ("failed", "RuntimeError: bad text", None), "e": ("failed", "ValueError: no text", None), "f": ("completed", None, 0)}
+    before = {t: sorted(map(str, s.read(t).collect())) for t in ("chunks", "postings", "vectors")}
+    ingest.ingest_batch(first.filter("doc_id in ('a', 'b', 'c')"), s, embed)
+    assert {t: sorted(map(str, s.read(t).collect())) for t in before} == before
     spark.createDataFrame([("b", "new words")], first.schema).coalesce(1).write.mode("append").parquet(inbox)
     run()
-    assert [r["text"] for r in s.read("chunks").filter("doc_id = 'b'").collect()] == ["new words"]
-    assert s.read("vectors").count() == s.read("chunks").count()
+    assert [r["text"] for r in s.read("chunks").filter("doc_id = 'b'").collect()] == ["new words"] and state()["b"] == ("completed", None, 1)
+    assert s.read("vectors").count() == s.read("chunks").count() and {r[0] for r in s.read("postings").select("doc_id").distinct().collect()} == {"a", "b"}
+    assert s.delete(spark.createDataFrame([("b",)], "doc_id string")) == 1 and s.read("vectors").count() == s.read("chunks").count() == 1
+
+
+def test_nothing_is_scored_against_broken_anchors(spark):
+    docs = spark.createDataFrame([("d", "some text of a document")], "doc_id string, text string")
+    chunks = spark.createDataFrame([(7, "d", 0, 23)], "chunk_id int, doc_id string, source_start int, source_end int")
+    label = lambda quote: spark.createDataFrame([(1, "d", 5, 9, quote, 2)], "query_id int, doc_id string, char_start int, char_end int, quote string, grade int")
+    q, hits = spark.createDataFrame([(1,)], "query_id int"), spark.createDataFrame([("a", 1, 7, 1)], "retriever string, query_id int, chunk_id int, rank int")
+    assert {r["retriever"]: r["recall"] for r in evaluate.run(q, hits, label("text"), docs, chunks, 5, ("a", "b")).collect()} == {"a": 1.0, "b": 0.0}
+    with pytest.raises(ValueError, match="don't match"):
+        evaluate.run(q, hits, label("other"), docs, chunks, 5, ("a", "b"))
+
+
+def test_spans_have_so_many_characters(spark):
+    logits = spark.createDataFrame([(1, 1, i, float(i == 0), float(i == 5), i * 10, i * 10 + 9) for i in range(9)], "question_id int, chunk_id int, token int, start_logit double, end_logit double, char_start int, char_end int")
+    assert {(r["start_token"], r["end_token"]) for r in answers.spans(logits, chars=(2, 9)).collect()} == {(i, i) for i in range(9)}
+    assert answers.spans(logits.drop("char_start"), chars=(2, 9)).count() == 45
