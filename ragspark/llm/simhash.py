@@ -311,19 +311,24 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, radius: int | None = None,
     return dealt.groupBy("tree", "leaf", "slice").applyInArrow(search, "a long, b long").distinct()
 
 
+def _for_each_salt(rows: DataFrame) -> DataFrame:
+    """rows for each part of the other side. They are merged, not sent out: Spark would judge their size before they are copied."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).hint("merge")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for each node of the pairs (a, b): the smallest node reachable, by rounds of large and small stars.
 
     A round's tables lie in the shared folder. A node with very many partners is summed before the shuffle, and its
     pairs are dealt into SALTS parts where they meet its minimum."""
     edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    salt, salts = F.pmod(F.xxhash64("v"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", salts)
+        lowest = _for_each_salt(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").withColumn("salt", salt).join(lowest, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", salts)
+        lowest = _for_each_salt(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.withColumn("salt", salt).join(lowest, ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.filter("u <> v").distinct(), "edges", spent=[edges])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -336,9 +341,11 @@ def _with_components(prints: DataFrame, key: str, bits: int) -> DataFrame:
     """(key, fp, component) for each row of the written table prints (key, fp, node)."""
     least = written(prints.groupBy("node", "fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "distinct")
     linked = components(links(least.select("node", "fp"), bits)).withColumnRenamed("node", "linked")
-    grouped = least.join(linked, least["node"] == linked["linked"], "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    moved = written(grouped.join(lowest, "root").select("node", "copies", "component"), "components")
+    alone = least.join(linked, least["node"] == linked["linked"], "left_anti").select("node", "copies", F.col("least").alias("component"))
+    grouped = least.join(linked, least["node"] == linked["linked"]).select("node", "least", "copies", "root")
+    lowest = _for_each_salt(grouped.groupBy("root").agg(F.min("least").alias("component")))
+    moved = grouped.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(lowest, ["root", "salt"]).select("node", "copies", "component")
+    moved = written(moved.unionByName(alone), "components")
     # a fingerprint of many rows is not dealt out by its value; of such there is one in HOT rows at most
     hot = F.broadcast(moved.filter(F.col("copies") >= HOT).select("node", "component"))
     rest = prints.join(hot.select("node"), "node", "left_anti").join(moved.filter(F.col("copies") < HOT).select("node", "component"), "node")
