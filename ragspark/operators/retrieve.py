@@ -146,7 +146,8 @@ def term_stats(chunks: DataFrame, stemmed: bool = True, text: str = "text") -> D
         held = chunks.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         every = chunks.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
         return held.join(every, "term")
-    rows = with_stems(chunks.select(F.monotonically_increasing_id().alias("_row"), F.explode(tokens).alias("term")).groupBy("_row", "term").agg(F.count("*").alias("n")))
+    numbered = chunks.select(F.monotonically_increasing_id().alias("_row"), tokens.alias("_t"))  # numbered before they are exploded
+    rows = with_stems(numbered.select("_row", F.explode("_t").alias("term")).groupBy("_row", "term").agg(F.count("*").alias("n")))
     return rows.groupBy("_row", "term").agg(F.sum("n").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 

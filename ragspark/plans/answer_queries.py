@@ -66,12 +66,12 @@ def g6_strict_prompts(t: Tables) -> DataFrame:
     return answers.strict_prompts(questions(t), sources(t)).select("query_id", "context")
 
 
-CANDIDATES = f"{dense_sql('inner', 10)}, cand AS (SELECT query_id AS question, chunk_id, rank AS retrieval_rank, score AS retrieval_score, round(v.embedding[1]::DOUBLE * 50, 6) AS reader_span_score, CASE WHEN (v.label + query_id // 20) % 3 > 0 THEN 'valid_answer' ELSE 'no_valid_span' END AS reader_status, 'answer ' || chunk_id AS answer FROM hits JOIN embeddings v ON v.vec_id = chunk_id WHERE query_id // 20 % 5 < 4)"
+CANDIDATES = f"{dense_sql('inner', 10)}, cand AS (SELECT query_id AS question, chunk_id, rank AS retrieval_rank, score AS retrieval_score, round(v.embedding[1]::DOUBLE * 50, 6) AS reader_span_score, CASE WHEN (v.label + query_id // 20) % 3 > 0 THEN 'valid_answer' ELSE 'no_valid_span' END AS reader_status, 'answer ' || chunk_id AS answer FROM hits JOIN embeddings v ON v.vec_id = chunk_id WHERE chunk_id <> query_id AND score >= 0.35)"
 
 
 def candidates(t: Tables) -> DataFrame:
-    """Hits of four in five vector queries, with a component as the reader's score."""
-    hits = retrieve.dense_top_k(inputs.vector_queries(t), inputs.vectors(t), 10, "inner").filter(F.floor(F.col("query_id") / 20) % 5 < 4)
+    """Other vectors that are near enough to a query, with a component as the reader's score; some queries have none."""
+    hits = retrieve.dense_top_k(inputs.vector_queries(t), inputs.vectors(t), 10, "inner").filter("chunk_id <> query_id and score >= 0.35")
     rows = hits.join(inputs.vectors(t), "chunk_id")
     return rows.select(
         F.col("query_id").alias("question"), "chunk_id", F.col("rank").alias("retrieval_rank"), F.col("score").alias("retrieval_score"), F.round(F.col("embedding")[0].cast("double") * 50, 6).alias("reader_span_score"),
@@ -92,9 +92,9 @@ def w3_w4_blended(t: Tables) -> DataFrame:
     return answers.blended(candidates(t)).select("question", "chunk_id", "final_score", "final_rank")
 
 
-@query(f"WITH {CANDIDATES}, n AS (SELECT question, count(*) AS n, count(*) FILTER (reader_status = 'valid_answer') AS v FROM cand WHERE retrieval_score >= 0.35 GROUP BY question) SELECT q.question, CASE WHEN n IS NULL THEN 'retrieval_failed' WHEN v = 0 THEN 'reader_failed' ELSE 'valid_answer' END AS status FROM ({ALL_QUESTIONS}) q LEFT JOIN n ON n.question = q.question")
+@query(f"WITH {CANDIDATES}, n AS (SELECT question, count(*) AS n, count(*) FILTER (reader_status = 'valid_answer') AS v FROM cand WHERE retrieval_score >= 0.4 GROUP BY question) SELECT q.question, CASE WHEN n IS NULL THEN 'retrieval_failed' WHEN v = 0 THEN 'reader_failed' ELSE 'valid_answer' END AS status FROM ({ALL_QUESTIONS}) q LEFT JOIN n ON n.question = q.question")
 def w5_outcomes(t: Tables) -> DataFrame:
-    return answers.outcomes(vector_questions(t), candidates(t), 0.35)
+    return answers.outcomes(vector_questions(t), candidates(t), 0.4)
 
 
 BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY reader_span_score DESC, chunk_id)::INT AS answer_rank FROM cand WHERE reader_status = 'valid_answer') WHERE answer_rank <= 5)"
@@ -110,11 +110,11 @@ def w7_fallback(t: Tables) -> DataFrame:
     return answers.with_fallback(vector_questions(t), candidates(t))
 
 
-@query(f"WITH {CANDIDATES}, {BEST}, a AS (SELECT * FROM best WHERE answer_rank = 1), b AS (SELECT * FROM cand WHERE retrieval_rank = 1) SELECT q.question, a.answer AS reader_answer, a.reader_span_score AS reader_score, b.answer AS retrieval_answer, b.retrieval_score AS retrieval_score FROM ({ALL_QUESTIONS}) q LEFT JOIN a ON a.question = q.question LEFT JOIN b ON b.question = q.question")
+@query(f"WITH {CANDIDATES}, {BEST}, a AS (SELECT * FROM best WHERE answer_rank = 1), b AS (SELECT * FROM cand WHERE retrieval_rank = 2) SELECT q.question, a.answer AS reader_answer, a.reader_span_score AS reader_score, b.answer AS retrieval_answer, b.retrieval_score AS retrieval_score FROM ({ALL_QUESTIONS}) q LEFT JOIN a ON a.question = q.question LEFT JOIN b ON b.question = q.question")
 def j11_strategies(t: Tables) -> DataFrame:
     c = candidates(t)
     reader = answers.best_candidates(c, 1).select("question", "answer", F.col("reader_span_score").alias("score"))
-    first = c.filter("retrieval_rank = 1").select("question", "answer", F.col("retrieval_score").alias("score"))
+    first = c.filter("retrieval_rank = 2")  # the first is the query itself.select("question", "answer", F.col("retrieval_score").alias("score"))
     return answers.strategies(vector_questions(t), {"reader": reader, "retrieval": first})
 
 
