@@ -114,7 +114,7 @@ def w7_fallback(t: Tables) -> DataFrame:
 def j11_strategies(t: Tables) -> DataFrame:
     c = candidates(t)
     reader = answers.best_candidates(c, 1).select("question", "answer", F.col("reader_span_score").alias("score"))
-    first = c.filter("retrieval_rank = 2")  # the first is the query itself.select("question", "answer", F.col("retrieval_score").alias("score"))
+    first = c.filter("retrieval_rank = 2").select("question", "answer", F.col("retrieval_score").alias("score"))  # the first is the query itself
     return answers.strategies(vector_questions(t), {"reader": reader, "retrieval": first})
 
 
