@@ -32,7 +32,7 @@ from ragspark.llm.shared import free, portions
 WINDOW = 2048
 END = 1
 #: Pieces of one length that are numbered in one task, about.
-RANKED = 20_000
+RANKED = 2_000
 
 
 @lru_cache(maxsize=1)
