@@ -123,11 +123,6 @@ def postings(chunks: DataFrame, stemmed: bool = True, key: str = "chunk_id", tex
     return with_stems(rows) if stemmed else rows
 
 
-def term_counts(positions: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, term, tf)"""
-    return positions.groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
 def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(key, len) of every chunk, those without terms too: the size of a chunk's own list of terms, so nothing is shuffled."""
     return chunks.select(key, F.size(tx.index_tokens(F.col(text))).alias("len"))
@@ -143,9 +138,9 @@ def term_stats(chunks: DataFrame, stemmed: bool = True, text: str = "text") -> D
     grows with the vocabulary; only that is stemmed. A chunk counts once for each stem, whatever the words that have it."""
     tokens = tx.index_tokens(F.col(text))
     if not stemmed:
-        held = chunks.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        every = chunks.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-        return held.join(every, "term")
+        held = chunks.select(F.explode_outer(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        every = chunks.select(F.explode_outer(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+        return held.join(every, "term")  # without the null of chunks that have no words
     numbered = chunks.select(F.monotonically_increasing_id().alias("_row"), tokens.alias("_t"))  # numbered before they are exploded
     rows = with_stems(numbered.select("_row", F.explode("_t").alias("term")).groupBy("_row", "term").agg(F.count("*").alias("n")))
     return rows.groupBy("_row", "term").agg(F.sum("n").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
@@ -191,15 +186,16 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     bag = query_terms(queries, stemmed, query, query_text)
     tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
     wanted = _surface(chunks, bag, text) if stemmed else bag.select("term").distinct().withColumn("word", F.col("term"))
-    met = tokens.select(key, F.size("_t").alias("len"), F.explode("_t").alias("word")).join(wanted, "word")
+    # outer: else Spark filters chunks by their number of words first, and so finds the words twice; the join drops the nulls
+    met = tokens.select(key, F.size("_t").alias("len"), F.explode_outer("_t").alias("word")).join(wanted, "word")
     counts = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # of the same counts, so they are made once
     hits = counts.join(bag.join(df, "term"), "term").select(query, key, "len", "tf", "df", "mult")
     phrases = query_phrases(queries, stemmed, query, query_text)
     if not phrases.isEmpty():  # few queries have any, and then places of words are needed too
         named = phrases.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda w: w["term"]), " ").alias("unit"))
         words = _surface(chunks, phrases, text) if stemmed else phrases.select("term").distinct().withColumn("word", F.col("term"))
-        places = tokens.select(key, F.size("_t").alias("len"), F.posexplode("_t").alias("pos", "word")).join(words, "word")
+        places = tokens.select(key, F.size("_t").alias("len"), F.posexplode_outer("_t").alias("pos", "word")).join(words, "word")
         found = phrase_counts(places.select(F.struct(key, "len").alias("_c"), "pos", "term"), phrases, query, "_c").join(named, [query, "phrase"])
         each = found.groupBy(query, "unit", "_c").agg(F.max("tf").alias("tf"), F.count("*").alias("mult"))
         df = found.select("unit", "_c").distinct().groupBy("unit").agg(F.count("*").alias("df"))

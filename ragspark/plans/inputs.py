@@ -47,7 +47,7 @@ def spans(t: Tables) -> DataFrame:
     asked = asked.filter("_long").select("query_id", "quote", F.xxhash64(F.array_join(F.slice("_w", 2, 4), " ")).alias("_g"))
     later = F.arrays_zip(w.alias("a"), *(F.slice(w, k + 1, F.greatest(F.size(w), F.lit(1))).alias("bcd"[k - 1]) for k in (1, 2, 3)))
     grams = F.transform(F.filter(later, lambda g: g["d"].isNotNull()), lambda g: F.xxhash64(F.concat_ws(" ", g["a"], g["b"], g["c"], g["d"])))
-    found = t.documents.select("doc_id", F.explode(F.array_distinct(grams)).alias("_g"))
+    found = t.documents.select("doc_id", F.explode_outer(F.array_distinct(grams)).alias("_g"))  # outer: else grams are made twice, to filter by their number
     met = found.join(asked, "_g").select("doc_id", "query_id", "quote").distinct()
     q = short.agg(F.min(F.length("quote"))).first()[0]
     if q:  # passages of under six words have no inner words to go by, but as many characters as the shortest of them
