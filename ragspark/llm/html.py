@@ -8,8 +8,9 @@ outside; a word scores 1 where its block is a kind that stands inside at least a
 Within the run, elements that are never article text are left out: those of SKIPPED, and those whose class, id or role
 holds a word of ASIDE. Their words score nothing. Wrappers are marked with such words too (has-sidebar, comment-open), so marks
 never leave out an element of ROOTS or html by itself, nor one that holds a main or an article without marks, nor one with
-over half of the page's words, unless an article or main without marks stands outside it. An element whose class is as a whole
-a word of ASIDE, as in "comments", is left out though it holds most words, where words without marks stand outside it.
+over half of the page's words, unless an article or main without marks stands outside it. Readers can write more than the
+author: an element that is marked as a whole with a word of COMMENTS is left out though it holds most words, where at least
+LEAST_PLAIN words without marks stand outside it.
 
 Attributes are read as HTML has them: quotes count only right after an equals sign, so a stray one swallows nothing.
 
@@ -43,6 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title noscript template iframe".split())
 ASIDE = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 KNOWN = BLOCKS | SKIPPED | VOID | INLINE
+COMMENTS, LEAST_PLAIN = frozenset(("comment", "comments", "disqus")), 10
 ENDS_P = BLOCKS - {"body", "html", "head", "title", "caption", "option", "optgroup", "legend"}
 #: An end tag of SHALLOW closes nothing that lies outside the innermost of ROOTS.
 ROOTS, SHALLOW = frozenset(("article", "main", "body")), frozenset(("p", "div", "span", "b", "i", "a"))
@@ -100,7 +102,7 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
         words, roots, plain_words = words + n, roots + plain, plain_words + (0 if inner else n)
     for i in inner:
         opened[i][1:4] = len(rows), words - opened[i][2], roots - opened[i][3]
-    left = {b: e for b, e, n, held, strength in opened if not held and (2 * n <= words or roots or strength == 2 and plain_words)}
+    left = {b: e for b, e, n, held, strength in opened if not held and (2 * n <= words or roots or strength == 2 and plain_words >= LEAST_PLAIN)}
     end = 0
     for k, (feature, block, skipped, text, *_) in enumerate(rows):
         end = max(end, left.get(k, 0))
@@ -108,7 +110,7 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
 
 
 def _parts(page: str) -> Iterator[tuple[str, str, bool, str, int, bool, int]]:
-    """parts, by SKIPPED alone; whether marks of ASIDE could leave the element out (2: a whole class or role is one); whether it
+    """parts, by SKIPPED alone; whether marks of ASIDE could leave the element out (2: a whole one is a word of COMMENTS); whether it
     is a main or an article without marks; how many such marked elements have ended before."""
     stack: list[tuple[str, bool, bool]] = []
     blocks = [("", -1)]  # names and places in the stack
@@ -138,7 +140,7 @@ def _parts(page: str) -> Iterator[tuple[str, str, bool, str, int, bool, int]]:
             skip = name in SKIPPED or bool(stack) and stack[-1][1]
             aside = bool(more) and not ASIDE.isdisjoint(re.split(r"[^a-z]+", more))
             marked = aside and not skip and name not in ROOTS and name not in VOID and name != "html"
-            strength = marked and 2 - ASIDE.isdisjoint(more.split())
+            strength = marked and 2 - COMMENTS.isdisjoint(more.split())
             yield name, name if name in BLOCKS else blocks[-1][0], skip, "", int(strength), name in ("article", "main") and not aside and not skip, ended
             if name not in VOID:
                 stack.append((name, skip, marked))

@@ -115,8 +115,11 @@ def test_attributes_as_html_has_them():
         f"<body class='right-sidebar single'>{article}</body>", f"<body><div class='content-with-sidebar'>{article}</div></body>", f"<body><main class='social-science'>{article}</main></body>",
         f'<body><p class="a"">{article}</body>', f"<body><p title=it's>{article}</body>", f'<body><div data-id="share" title="class=ad">{article}</div></body>',
         f"<body><div class='comments'><p>{'reader says hello ' * 30}</p></div><div class=post>{article}</div></body>", f"<body><div class='widget'>{article}</div></body>",
+        f"<body><div id='disqus'><p>{'reader says hello ' * 30}</p></div><div>{article}</div></body>",
     ):
         assert html.extract(page, html.DEFAULT) == text, page
+    # a plain title outside does not make a widget of what holds most words
+    assert html.extract(f"<body><p>Site</p><div class='widget'>{article}</div></body>", html.DEFAULT).endswith(text)
     quoted = html.extract('<p class="a"">He said "hello" to all</p><p title=it\'s>and it\'s fine</p>', html.DEFAULT)
     assert quoted == 'He said "hello" to all\nand it\'s fine'
     assert set(html.count("<article><p>a b</p><x-1>c</x-1></article><odd><p>d</p></odd>")[0]) == {"p", "/p", "#p", "#article", ""}
