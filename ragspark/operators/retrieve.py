@@ -181,8 +181,9 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     token counts again; a chunk qualifies by any term; a query without terms has no hits.
 
     Chunks' words meet the queries' terms before anything is shuffled (stems: the words that have them, found in the
-    vocabulary), and are counted by chunk within the task that read it. How common a term is goes with the queries' bag, and a
-    chunk's length with its words, so scores need no further join."""
+    vocabulary), and are counted by chunk within the task that read it, with the chunk's length. A term's part of a score is a
+    product of what the query and what the chunk tells of it, which both are worked out before they meet; as the chunks are dealt
+    by their key then, sums by query and chunk need no further shuffle."""
     bag = query_terms(queries, stemmed, query, query_text)
     tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
     wanted = _surface(chunks, bag, text) if stemmed else bag.select("term").distinct().withColumn("word", F.col("term"))
@@ -190,7 +191,13 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     met = tokens.select(key, F.size("_t").alias("len"), F.explode_outer("_t").alias("word")).join(wanted, "word")
     counts = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # of the same counts, so they are made once
-    hits = counts.join(bag.join(df, "term"), "term").select(query, key, "len", "tf", "df", "mult")
+    stats = F.broadcast(corpus_stats(tokens.select(F.size("_t").alias("len"))))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("mult") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    asked = bag.join(df, "term").crossJoin(stats).select(query, "term", weight.alias("_w"))
+    held = counts.crossJoin(stats).select(key, "term", share.alias("_s")).repartition(key)
+    parts = held.join(asked, "term").select(query, key, (F.col("_w") * F.col("_s")).alias("_p"))
     phrases = query_phrases(queries, stemmed, query, query_text)
     if not phrases.isEmpty():  # few queries have any, and then places of words are needed too
         named = phrases.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda w: w["term"]), " ").alias("unit"))
@@ -199,12 +206,8 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
         found = phrase_counts(places.select(F.struct(key, "len").alias("_c"), "pos", "term"), phrases, query, "_c").join(named, [query, "phrase"])
         each = found.groupBy(query, "unit", "_c").agg(F.max("tf").alias("tf"), F.count("*").alias("mult"))
         df = found.select("unit", "_c").distinct().groupBy("unit").agg(F.count("*").alias("df"))
-        hits = hits.unionByName(each.join(df, "unit").select(query, f"_c.{key}", "_c.len", "tf", "df", "mult"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.crossJoin(F.broadcast(corpus_stats(tokens.select(F.size("_t").alias("len")))))  # one row
-    scored = scored.groupBy(query, key).agg(F.round(F.sum(F.col("mult") * weight * share), PLACES).alias("score"))
+        parts = parts.unionByName(each.join(df, "unit").crossJoin(stats).select(query, f"_c.{key}", "_c.len", "tf", "df", "mult", "n", "avg_len").select(query, key, (weight * share).alias("_p")))
+    scored = parts.groupBy(query, key).agg(F.round(F.sum("_p"), PLACES).alias("score"))
     return top_k(scored, k, query, key)
 
 
