@@ -4,7 +4,7 @@ A text's subwords are its runs of 1 to 4 characters, lower-cased, white space as
 have a border inside. Each is hashed into one of BUCKETS embeddings; their average goes through a linear layer and a
 softmax. Embeddings and layer are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows
 (SAMPLE in all, alike for each language, chosen by a hash of key and text, so copies of one text are chosen each by itself; equal
-texts of one language then count once). A held part of the sample gives the softmax its temperature and
+texts of one language then count once; twice SAMPLE at most, the first by their texts' hashes). A held part of the sample gives the softmax its temperature and
 the score below which a prediction is rejected: the score that ALLOWED of the rightly labelled held texts fall below, at most
 CAUTIOUS. Counting subwords of whole texts, in training and prediction, is done by Spark tasks.
 
@@ -131,6 +131,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     names = sorted(sizes)
     share = F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, sample / len(names) / sizes[k]))))
     chosen = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)) < F.element_at(share, F.col("label")) * (1 << 40)).select("label", "text").distinct()
+    # the shares bound the sample in the mean, the limit in any case
+    chosen = chosen.orderBy(F.xxhash64("text"), "label", "text").limit(2 * sample)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,82 +146,6 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return train(pairs, got["label"].map(names.index).to_numpy(np.int64), names)
 
 
-def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, calibrated score, rejected)"""
-        if not self.names or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0, True
-        counts = subwords(text)
-        p = softmax((counts @ self.scores / counts.sum() + self.bias) / self.heat)
-        best = int(p.argmax())
-        return self.names[best], float(p[best]), bool(p[best] < self.least)
-
-
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: list[str]) -> Model:
-    """rows: (buckets, counts) of each text; labels: places in names."""
-    if not len(rows):
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    random = np.random.default_rng(7)
-    order = random.permutation(len(rows))
-    held, fitted = order[: len(rows) // 5], order[len(rows) // 5 :]
-
-    def dense(some: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(some), BUCKETS), np.float32)
-        for i, k in enumerate(some):
-            x[i, rows[k][0]] = rows[k][1] / rows[k][1].sum()
-        return x
-
-    embedding = random.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-    layer, bias = np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
-    steps, step = EPOCHS * -(-len(fitted) // BATCH), 0
-    for _ in range(EPOCHS):
-        random.shuffle(fitted)
-        for at in range(0, len(fitted), BATCH):
-            some = fitted[at : at + BATCH]
-            x, rate = dense(some), RATE * (1 - step / steps)
-            hidden = x @ embedding
-            error = softmax(hidden @ layer + bias)
-            error[np.arange(len(some)), labels[some]] -= 1
-            error /= len(some)
-            # an average over thousands of buckets moves each little, so embeddings take a rate that is as much larger
-            back = x.T @ (error @ layer.T)
-            layer -= rate * 20 * (hidden.T @ error)
-            bias -= rate * error.sum(axis=0)
-            embedding -= rate * 200 * back
-            step += 1
-    scores = embedding @ layer
-    some = held if len(held) else fitted
-    raw = np.concatenate([dense(some[i : i + 256]) @ scores + bias for i in range(0, len(some), 256)]).astype(np.float64)
-    truth = labels[some]
-    loss = lambda t: -np.log(softmax(raw / t)[np.arange(len(some)), truth] + 1e-12).mean()
-    heat = float(min(np.geomspace(0.25, 8, 31), key=loss))
-    p = softmax(raw / heat)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    least = min(CAUTIOUS, float(right[int(ALLOWED * len(right))])) if len(right) else CAUTIOUS
-    return Model(names, scores.astype(np.float64), bias.astype(np.float64), heat, least)
-
-
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """The model of labelled rows. Only text and label are read."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("label is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # a row for each language
-    if not sizes:
-        return train([], np.zeros(0, np.int64), [])
-    names = sorted(sizes)
-    share = F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, sample / len(names) / sizes[k]))))
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= F.element_at(share, F.col("label")) * (1 << 30))
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [subwords(x) for x in batch["text"]]
-            at = [np.nonzero(c)[0] for c in found]
-            yield pd.DataFrame({"label": batch["label"], "buckets": [a.astype("<u2").tobytes() for a in at], "counts": [np.minimum(c[a], 1 << 30).astype("<u4").tobytes() for c, a in zip(found, at, strict=True)]})
-
-    got = chosen.mapInPandas(features, "label string, buckets binary, counts binary").orderBy("label", "buckets", "counts").toPandas()
-    got = got[got["buckets"].map(len) > 0]
-    pairs = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float32)) for b, c in zip(got["buckets"], got["counts"], strict=True)]
-    return train(pairs, got["label"].map(names.index).to_numpy(np.int64), names)
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """docs with the language, its calibrated score and whether it is rejected. Columns of those names are replaced."""
     kept = docs.drop(*out)

@@ -19,8 +19,8 @@ other columns of the documents are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial, reduce
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,22 +115,25 @@ def pack(rows: DataFrame, number: str, length: str = "length", window: int = WIN
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in left.schema)}, sequence_id long, offset long, `{again}` boolean"
     names = left.columns
 
-    def run(table: pa.Table, last: bool) -> pa.Table:
-        sizes, numbers = table[length].to_numpy(), table[number].to_numpy()
-        order = arrivals(sizes, numbers, window, last)
-        sequence, offset, gaps = place(sizes[order], window, last)
-        first = np.zeros(len(gaps), np.int64)
-        first[sequence[offset == 0]] = numbers[order][offset == 0]
-        columns = [pa.array(first[sequence]), pa.array(offset), pa.array(reopened(sequence, gaps, shard // 8, window))]
-        table = table.select(names).take(pa.array(order))
-        for name, column in zip(("sequence_id", "offset", again), columns, strict=True):
-            table = table.append_column(name, column)
-        return table
+    def placing(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            sizes, numbers = table[length].to_numpy(), table[number].to_numpy()
+            order = arrivals(sizes, numbers, window, last)
+            sequence, offset, gaps = place(sizes[order], window, last)
+            first = np.zeros(len(gaps), np.int64)
+            first[sequence[offset == 0]] = numbers[order][offset == 0]
+            columns = [pa.array(first[sequence]), pa.array(offset), pa.array(reopened(sequence, gaps, shard // 8, window))]
+            table = table.select(names).take(pa.array(order))
+            for name, column in zip(("sequence_id", "offset", again), columns, strict=True):
+                table = table.append_column(name, column)
+            return table
+
+        return run
 
     while True:
         shards = max(1, -(-left.count() // shard))
         dealt = left.withColumn(group, F.pmod(F.xxhash64(number), F.lit(shards)).cast("int"))
-        placed = dealt.groupBy(group).applyInArrow(partial(run, last=shards == 1), schema)
+        placed = dealt.groupBy(group).applyInArrow(placing(shards == 1), schema)
         if shards == 1:
             parts.append(placed)
             break
