@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import portions, written
+from ragspark.llm.shared import only, portions, written
 
 K = 10
 #: Fixed value: what separates terms.
@@ -47,8 +47,6 @@ LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128)
 BITS_EACH, HASHES, WIDEST, ROWS, BLOCK_BITS = 8, 4, 1 << 22, 1024, 1 << 24
 #: Items of a group, and blocks of one.
 ITEMS, BLOCKS = 1024, 16
-#: Bits of the bitmap that keeps texts without a candidate away.
-ID_BITS = 1 << 24
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -302,17 +300,6 @@ def candidates(index: DataFrame, asked: DataFrame, n: int, total: int, k: int |
     return found.filter("id is not null")
 
 
-def with_candidates(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of documents whose hashed id is that of a candidate. The bitmap of hashes is of fixed size, so it is sent to
-    all tasks, and no other text is shuffled."""
-    at = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
-    spread = lambda rows: rows.withColumns({"_chunk": F.floor(at / 32768).cast("int"), "_bit": (at % 32768).cast("int")})
-    bits = spread(pairs.select("id")).groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    rows = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")).join(F.broadcast(bits), "_chunk")
-    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-    return rows.filter(F.getbit(byte, F.col("_bit") % 8) == 1).select("id", "text")
-
-
 def rescored(docs: DataFrame, pairs: DataFrame, asked: DataFrame, n: int, total: int, key: str, text: str) -> DataFrame:
     """(item, id, score) above 0 of pairs (item, id), exactly, from the documents' whole texts."""
     pairs = written(pairs.select("item", "id").distinct(), "pairs")
@@ -320,7 +307,8 @@ def rescored(docs: DataFrame, pairs: DataFrame, asked: DataFrame, n: int, total:
     buckets = 1 + pairs.count() // 4096
     bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(buckets)).cast("int").alias("bucket")
     left = pairs.join(each.select("item", "terms", "turn"), "item").select("item", "id", "terms", "turn", bucket)
-    right = with_candidates(docs, pairs, key, text).select("id", "text", bucket, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
+    right = only(texts, pairs.select("id"), "id").select("id", "text", bucket, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
 
     def meet(wanted: pa.Table, texts: pa.Table) -> pa.Table:
         by_id: dict = {}

@@ -36,6 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Bits of the bitmap of `only`.
+HASH_BITS = 1 << 24
+
+
+def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key is not among the wanted ones: those stay whose hash is one of theirs. The bitmap
+    of hashes is of fixed size, so it is sent to all tasks, and rows that nobody wants are never shuffled. A null key is one like any."""
+    at = F.pmod(F.xxhash64(key), F.lit(HASH_BITS))
+    chunk, bit, bits = (free(c, rows.columns) for c in ("_chunk", "_bit", "_bits"))
+    spread = lambda some: some.withColumns({chunk: F.floor(at / 32768).cast("int"), bit: (at % 32768).cast("int")})
+    table = spread(wanted.select(key)).groupBy(chunk).agg(F.bitmap_construct_agg(bit).alias(bits))
+    met = spread(rows).join(F.broadcast(table), chunk)
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, `{bit}` div 8 + 1, 1)")), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, F.col(bit) % 8) == 1).select(*rows.columns)
+
+
 def free(name: str, taken: Iterable[str]) -> str:
     """This name, with underscores before it until none of the taken columns has it in any case."""
     lower = {c.lower() for c in taken}

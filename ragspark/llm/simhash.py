@@ -6,11 +6,15 @@ if it is set in over half of the shingles' hashes: XXH64 for the 64 bits of a sh
 a long one eight mixtures of it, with every distinct shingle counted once.
 
 Two rules are offered. `near_duplicates` links short fingerprints at `max_bits` or fewer differing bits, exactly.
-`similar_documents` links long ones where their differing bits tell of a Jaccard similarity of the shingle sets of
-`similarity` or more: two sets of similarity J have an angle of arccos(2J / (1 + J)), of which the share of differing bits is
-an estimate. The bound on the bits has room for the estimate's error (ROOM standard deviations), so that a pair right at the
-similarity is linked too. No two fingerprints are linked that differ in more bits; one pair in some dozens that differs in
-fewer is missed (see PIECES).
+`similar_documents` links texts whose sets of shingles have a Jaccard similarity of `similarity` or more. Long fingerprints
+find the candidates: two sets of similarity J have an angle of arccos(2J / (1 + J)), of which the share of differing bits is
+an estimate. The bound on the bits has room for the estimate's error (ROOM standard deviations). Candidates are then verified
+on the whole sets, so no two texts are linked that are less similar; one pair in some dozens that is similar enough is missed,
+unless a chain of others connects it (see PIECES).
+
+Verification: groups that candidates connect are dealt into parts of about PART sets. In a part a group grows from a text to all that
+are similar enough to one of it, so texts that are found take part in no further comparison. A group of several parts has some
+texts (PIVOTS) in all of them; those that its largest verified group then doesn't hold meet all the others, block by block.
 
 Search: fingerprints are cut into pieces on which partners differ by very few bits, and each piece is an index of its own.
 A short one has two halves: at 3 or fewer bits in all, one half has at most 1 (in general max_bits // 2). A long one has
@@ -32,17 +36,17 @@ rows and copies share a fingerprint, which is compared once. A null key forms no
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragspark.llm.shared import free, share_of, written
+from ragspark.llm.shared import free, only, portions, share_of, written
 
 SEED = 42
 WORDS_EACH, SIMILARITY = 5, 0.8
@@ -50,7 +54,7 @@ WORDS_EACH, SIMILARITY = 5, 0.8
 SHORT_WORDS, MAX_BITS = 3, 3
 #: Long fingerprints: 64-bit words, pieces and their bits. At a similarity of 0.8, 15 bits in 100 differ; a piece then differs by at
 #: most 1 with probability 0.17, and at least one of the pieces does with 0.99.
-LONG_WORDS, PIECES, PIECE_BITS, PIECE_RADIUS, ROOM = 8, 24, 20, 1, 1.65
+LONG_WORDS, PIECES, PIECE_BITS, PIECE_RADIUS, ROOM = 8, 24, 20, 1, 2.3
 #: Distinct fingerprints that trees are fitted on: so many, or this share of them if that is more.
 SAMPLE, SHARE = 40_000, 1 / 500
 #: Rows that a shard of short and of long fingerprints is meant to hold, and the rows of a slice of a shard that holds far more.
@@ -61,6 +65,8 @@ DEEPEST = 16
 LEAF = 512
 #: Shingles that are hashed at once.
 AT_ONCE = 50_000
+#: Sets that are verified in one task, and texts of a larger group that are in all of its parts.
+PART, PIVOTS = 1_000, 16
 #: Rows of one fingerprint from which on it is joined by itself, and parts into which the rows of a node are dealt.
 HOT, SALTS = 10_000, 16
 
@@ -104,12 +110,16 @@ _ODD = np.arange(1, 2 * LONG_WORDS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F
 _OFFSET = np.arange(1, LONG_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 
-def long_fingerprint(text: str, words_each: int = WORDS_EACH) -> bytes:
-    """LONG_WORDS words of 64 bits, little-endian, of the set of the text's shingles."""
+def shingle_set(text: str, words_each: int = WORDS_EACH) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
     parts = [*shingle_hashes(text, words_each)]
-    if not parts:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def long_fingerprint(distinct: np.ndarray) -> bytes:
+    """LONG_WORDS words of 64 bits, little-endian, of a set of shingles."""
+    if not len(distinct):
         return bytes(8 * LONG_WORDS)
-    distinct = np.unique(np.concatenate(parts))
     counts = np.zeros(64 * LONG_WORDS, np.int64)
     for at in range(0, len(distinct), 4096):
         x = (distinct[at : at + 4096, None] ^ _OFFSET) * _ODD
@@ -118,24 +128,36 @@ def long_fingerprint(text: str, words_each: int = WORDS_EACH) -> bytes:
     return np.packbits(2 * counts > len(distinct)).view(">u8").astype("<u8").tobytes()
 
 
-def _with_prints(docs: DataFrame, text: str, keep: tuple[str, ...], out: str, kind: str, column: Callable[[list[str]], pa.Array]) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words_each: int = SHORT_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, and fp: the fingerprint as a signed long."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = column([x.as_py() or "" for x in batch.column(batch.num_columns - 1)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*keep, out])
+            values = [fingerprint(x.as_py() or "", words_each) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(values, np.uint64).view(np.int64))], names=[*keep, "fp"])
 
-    chosen = docs.select(*keep, F.col(text).alias(free("text", keep)))
-    return chosen.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T._parse_datatype_string(kind))]))
+    return _texts(docs, text, keep).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())]))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words_each: int = SHORT_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, and fp: the fingerprint as a signed long."""
-    return _with_prints(docs, text, keep, "fp", "long", lambda texts: pa.array(np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64)))
+def long_fingerprints(docs: DataFrame, text: str = "text", words_each: int = WORDS_EACH, keep: tuple[str, ...] = ("doc_id",), sets: bool = False) -> DataFrame:
+    """The columns to keep; node, a hash of the set of the text's shingles; fp, its long fingerprint (binary); and with sets the
+    set itself (binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, batch.schema.names[-1]):
+                every = [shingle_set(x.as_py() or "", words_each) for x in part.column(part.num_columns - 1)]
+                nodes = pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in every], np.uint64).view(np.int64))
+                columns = [*part.columns[:-1], nodes, pa.array([long_fingerprint(x) for x in every], pa.binary())]
+                columns += [pa.array([x.tobytes() for x in every], pa.binary())] if sets else []
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "node", "fp", "set"][: len(columns)])
 
+    fields = [T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("set", T.BinaryType())]
+    return _texts(docs, text, keep).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *fields[: 2 + sets]]))
 
-def long_fingerprints(docs: DataFrame, text: str = "text", words_each: int = WORDS_EACH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, and fp: the long fingerprint (binary)."""
-    return _with_prints(docs, text, keep, "fp", "binary", lambda texts: pa.array([long_fingerprint(x, words_each) for x in texts], pa.binary()))
+
+def _texts(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(free("text", keep)))
 
 
 def halves(prints: np.ndarray) -> list[np.ndarray]:
@@ -337,10 +359,103 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def _with_components(prints: DataFrame, key: str, bits: int) -> DataFrame:
-    """(key, fp, component) for each row of the written table prints (key, fp, node)."""
-    least = written(prints.groupBy("node", "fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "distinct")
-    linked = components(links(least.select("node", "fp"), bits)).withColumnRenamed("node", "linked")
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of sorted hashes have this Jaccard similarity or more; empty ones are alike."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    if not len(a):
+        return True
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def grown(prints: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float) -> np.ndarray:
+    """For each text the first one of its group: texts that a chain of pairs connects, each with at most so many differing bits
+    and of this similarity. Who has been found is compared with none again."""
+    first, left = np.full(len(sets), -1), np.arange(len(sets))
+    while len(left):
+        seed, left, waiting = left[0], left[1:], [left[0]]
+        first[seed] = seed
+        while waiting and len(left):
+            own = waiting.pop()
+            near = np.bitwise_count(prints[left] ^ prints[own]).sum(axis=1, dtype=np.int64) <= bits
+            found = np.zeros(len(left), bool)
+            found[near] = [similar(sets[own], sets[k], similarity) for k in left[near]]
+            first[left[found]] = seed
+            waiting += left[found].tolist()
+            left = left[~found]
+    return first
+
+
+def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    prints = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(table.num_rows, -1)
+    return table["node"].to_numpy(), prints, [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+
+
+def verified(members: DataFrame, bits: int, similarity: float, part: int = PART) -> DataFrame:
+    """Links (a, b) of texts that a chain of similar pairs connects. members: a written table (root, node, fp, set), where root
+    is that of the group by candidates."""
+
+    def grow(table: pa.Table) -> pa.Table:
+        nodes, prints, sets = _members(table.sort_by("node"))
+        nodes, at = np.unique(nodes, return_index=True)  # pivots are members too
+        first = grown(prints[at], [sets[k] for k in at], bits, similarity)
+        linked = np.flatnonzero(first != np.arange(len(nodes)))
+        return pa.table([pa.array(nodes[linked]), pa.array(nodes[first[linked]])], names=["a", "b"])
+
+    sizes = members.groupBy("root").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    sizes = written(sizes, "sizes")
+    dealt = members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = written(dealt.filter("parts > 1").select(*members.columns, "parts", "part"), "large")
+    few = F.row_number().over(Window.partitionBy("root", "part").orderBy(F.xxhash64("node", F.lit(1))))
+    pivots = large.withColumn("_place", few).filter(F.col("_place") <= PIVOTS)  # of each part first, so that no task sorts a group
+    few = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1))))
+    pivots = pivots.withColumn("_place", few).filter(F.col("_place") <= PIVOTS)
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = dealt.select("root", "part", "node", "fp", "set").unionByName(pivots.select("root", "part", "node", "fp", "set"))
+    links_ = written(every.groupBy("root", "part").applyInArrow(grow, "a long, b long"), "verified")
+    if large.isEmpty():
+        return links_
+    # what the largest verified group of a large one does not hold meets all that it has no chain to yet
+    roots = components(links_.join(large.select(F.col("node").alias("a")), "a"))
+    known = large.join(roots.withColumnRenamed("root", "_own"), "node", "left").withColumn("own", F.coalesce("_own", "node")).drop("_own")
+    known = written(known, "known")
+    main = known.groupBy("root", "own").count().groupBy("root").agg(F.max_by("own", F.struct("count", "own")).alias("main"))
+    rest = written(known.join(main, "root").filter("own <> main").drop("main"), "rest")
+    blocks = rest.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("blocks"))
+    left = rest.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = known.join(blocks, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = [], []
+        if some.num_rows and others.num_rows:
+            (nodes, prints, sets), (to, others_prints, others_sets) = _members(some), _members(others)
+            own, theirs = some["own"].to_numpy(), others["own"].to_numpy()
+            for k in range(len(nodes)):
+                near = (np.bitwise_count(others_prints ^ prints[k]).sum(axis=1, dtype=np.int64) <= bits) & (theirs != own[k])
+                done: set[int] = set()  # one link to each group is enough
+                for m in np.flatnonzero(near):
+                    if theirs[m] not in done and similar(sets[k], others_sets[m], similarity):
+                        done.add(theirs[m])
+                        a.append(nodes[k])
+                        b.append(to[m])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = ("root", "block", "part", "node", "fp", "set", "own")
+    met = left.select(*columns).groupBy("root", "block", "part").cogroup(right.select(*columns).groupBy("root", "block", "part")).applyInArrow(meet, "a long, b long")
+    return links_.unionByName(met)
+
+
+def _distinct(prints: DataFrame, key: str) -> DataFrame:
+    """A written table (node, fp, least, copies): each node with its smallest key and its number of rows."""
+    return written(prints.groupBy("node", "fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "distinct")
+
+
+def _with_components(prints: DataFrame, key: str, least: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, fp, component) for each row of the written table prints (key, fp, node). found: links of the nodes of least."""
+    linked = components(found).withColumnRenamed("node", "linked")
     alone = least.join(linked, least["node"] == linked["linked"], "left_anti").select("node", "copies", F.col("least").alias("component"))
     grouped = least.join(linked, least["node"] == linked["linked"]).select("node", "least", "copies", "root")
     lowest = _for_each_salt(grouped.groupBy("root").agg(F.min("least").alias("component")))
@@ -355,12 +470,20 @@ def _with_components(prints: DataFrame, key: str, bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = SHORT_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(key, fp, component): a row for each row of docs; component is the smallest key reachable over links of short
     fingerprints at max_bits or fewer differing bits."""
-    found = fingerprints(docs, text, words_each, (key,))
-    return _with_components(written(found.withColumn("node", F.col("fp")), "fingerprints"), key, max_bits)
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, fp, component): a row for each row of docs; component is the smallest key reachable over links of long
-    fingerprints that tell of this Jaccard similarity of the shingle sets or more."""
-    found = long_fingerprints(docs, text, words_each, (key,))
-    return _with_components(written(found.withColumn("node", F.xxhash64("fp")), "fingerprints"), key, most_bits(similarity))
+    prints = written(fingerprints(docs, text, words_each, (key,)).withColumn("node", F.col("fp")), "fingerprints")
+    least = _distinct(prints, key)
+    return _with_components(prints, key, least, links(least.select("node", "fp"), max_bits))
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
+    """(key, fp, component): a row for each row of docs; component is the smallest key reachable over links of texts whose
+    shingle sets have this Jaccard similarity or more. docs is read twice, so it should be a written table."""
+    prints, bits = written(long_fingerprints(docs, text, words_each, (key,)), "fingerprints"), most_bits(similarity)
+    least = _distinct(prints, key)
+    candidates = written(components(links(least.select("node", "fp"), bits)), "candidates")
+    # one text of each node: the first row of its smallest key
+    wanted = candidates.join(least.select("node", "least"), "node").select("node", "root", F.col("least").alias(key))
+    texts = only(docs.select(key, text), wanted.select(key), key)
+    whole = long_fingerprints(texts, text, words_each, (key,), sets=True)
+    members = whole.join(wanted.select("node", "root"), "node").groupBy("root", "node").agg(F.first("fp").alias("fp"), F.first("set").alias("set"))
+    return _with_components(prints, key, least, verified(written(members, "members"), bits, similarity, part))
