@@ -3,7 +3,10 @@
 A page is a line of tags and of text between tags. Each word of a text scores positive, each tag negative or zero; the
 contiguous run with the greatest sum, found by one linear scan, is the content. Weights come from labelled pages: pages
 with exactly one article or main element, whose inside is content. A tag's weight falls with the log-odds of standing
-outside; a word scores 1 where its block is a kind that stands inside at least as often as outside, and a tenth otherwise.
+outside, and no further than a few words' worth for tags that articles may well hold though the sample's don't: inline ones,
+lists, tables and divisions (see LEAST). A link costs its weight times its share of its block's words, so a menu's links count in full
+and one in a paragraph hardly. A word scores 1 where its block is a kind that stands inside at least as often as outside, and
+a tenth otherwise. Where a page has just one article (or main) without marks that holds words, the run holds all of it.
 
 Within the run, elements that are never article text are left out: those of SKIPPED, and those whose class, id or role
 holds a word of ASIDE. Their words score nothing. Wrappers are marked with such words too (has-sidebar, comment-open), so marks
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 
 from ragspark.llm.shared import share_of
 
-#: Labelled pages that weights are fitted on, about: those with a hash below a bound.
+#: Labelled pages that weights are fitted on, about: those whose columns' hash is below a bound.
 SAMPLE = 4_000
 #: Elements by kind, as HTML defines them, and words that sites use for what is no article text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -49,8 +52,12 @@ ENDS_P = BLOCKS - {"body", "html", "head", "title", "caption", "option", "optgro
 #: An end tag of SHALLOW closes nothing that lies outside the innermost of ROOTS.
 ROOTS, SHALLOW = frozenset(("article", "main", "body")), frozenset(("p", "div", "span", "b", "i", "a"))
 DEFAULT = {"a": -1.0, "/a": -1.0, "li": -1.0, "/li": -1.0, "p": 0.0, "/p": 0.0, "": -0.5}
-#: Scale of a tag's log-odds, and a word's score in a block that stands mostly outside.
-SCALE, OUTSIDE = 3.0, 0.1
+#: Blocks that articles hold as other parts of a page do.
+INNER = frozenset("blockquote caption dd details dir div dl dt figcaption figure hgroup hr legend li ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Scale of a tag's log-odds, a word's score in a block that stands mostly outside, and what is added to each count.
+SCALE, OUTSIDE, PRIOR = 3.0, 0.1, 2.0
+#: The least weights of tags of inline elements, of INNER and of all others.
+LEAST = (-2.0, -4.0, -40.0)
 
 #: A tag that nothing ends runs to the end of the page. Nothing is given back, so a page is read in linear time.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
@@ -84,9 +91,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", html.unescape(page[at:])
 
 
-def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """(feature, block, skipped, text) of each tag and text: the tag's feature, or empty for a text; the innermost block's name;
-    whether it lies in an element that is left out."""
+def parts(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
+    """(feature, block, skipped, text, plain) of each tag and text: the tag's feature, or empty for a text; the innermost block's
+    name; whether it lies in an element that is left out; whether it begins an article or a main without marks."""
     rows = list(_parts(page))
     opened: list[list[int]] = []  # marked elements: first row, end, words within, plain roots within, how strongly marked
     inner: list[int] = []
@@ -104,9 +111,9 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, str]]:
         opened[i][1:4] = len(rows), words - opened[i][2], roots - opened[i][3]
     left = {b: e for b, e, n, held, strength in opened if not held and (2 * n <= words or roots or strength == 2 and plain_words >= LEAST_PLAIN)}
     end = 0
-    for k, (feature, block, skipped, text, *_) in enumerate(rows):
+    for k, (feature, block, skipped, text, _, plain, _) in enumerate(rows):
         end = max(end, left.get(k, 0))
-        yield feature, block, skipped or k < end, text
+        yield feature, block, skipped or k < end, text, plain and k >= end
 
 
 def _parts(page: str) -> Iterator[tuple[str, str, bool, str, int, bool, int]]:
@@ -164,7 +171,7 @@ def count(page: str) -> tuple[Counter, Counter]:
     rows = list(parts(page))
     if sum(r[0] in ("article", "main") for r in rows) != 1:
         return inside, outside
-    for feature, block, _, text in rows:
+    for feature, block, _, text, _ in rows:
         if feature in ("article", "main"):
             at = 1
         elif feature in ("/article", "/main"):
@@ -183,26 +190,65 @@ def weights(inside: Counter, outside: Counter) -> dict[str, float]:
         return DEFAULT
     a, b, out = sum(inside.values()), sum(outside.values()), {"": -0.5}
     for x in (inside.keys() | outside.keys()) - {""}:
-        odds = math.log((inside[x] + 0.5) / (a + 1)) - math.log((outside[x] + 0.5) / (b + 1))
-        out[x] = (1.0 if odds >= 0 else OUTSIDE) if x[0] == "#" else min(0.0, SCALE * odds)
+        odds = math.log((inside[x] + PRIOR) / (a + 2 * PRIOR)) - math.log((outside[x] + PRIOR) / (b + 2 * PRIOR))
+        name = x.removeprefix("/")
+        least = LEAST[0 if name in INLINE else 1 if name in INNER else 2]
+        out[x] = (1.0 if odds >= 0 else OUTSIDE) if x[0] == "#" else max(least, min(0.0, SCALE * odds))
     return out
 
 
+def link_shares(rows: list[tuple[str, str, bool, str, bool]]) -> dict[int, float]:
+    """For each tag of a link the share that links have in the words of its line, the text between two tags of blocks."""
+    out, tags, words, linked, depth = {}, [], 0, 0, 0
+    for k, (feature, _, skipped, text, _) in enumerate([*rows, ("p", "", False, "", False)]):
+        name = feature.removeprefix("/")
+        if name == "a":
+            tags.append(k)
+            depth = int(feature == "a")
+        elif name in BLOCKS:
+            out.update((t, linked / words if words else 1.0) for t in tags)
+            tags, words, linked = [], 0, 0
+        elif not feature and not skipped:
+            n = len(text.split())
+            words, linked = words + n, linked + n * depth
+    return out
+
+
+def sole_article(rows: list[tuple[str, str, bool, str, bool]]) -> tuple[int, int] | None:
+    """First and last row of the one article without marks, or else of the one such main."""
+    for name in ("article", "main"):
+        begins = [k for k, r in enumerate(rows) if r[4] and r[0] == name]
+        if len(begins) == 1:
+            depth = 0
+            for k in range(begins[0], len(rows)):
+                depth += (rows[k][0] == name) - (rows[k][0] == "/" + name)
+                if not depth:
+                    return begins[0], k + 1
+            return begins[0], len(rows)
+        if begins:
+            return None
+    return None
+
+
 def extract(page: str, scores: dict[str, float]) -> str:
     """The text of the best run."""
     rows = list(parts(page))
+    shares = link_shares(rows)
     best, begin, end, total, start, other = 0.0, 0, 0, 0.0, 0, scores.get("", -0.5)
-    for k, (feature, block, skipped, text) in enumerate(rows):
+    for k, (feature, block, skipped, text, _) in enumerate(rows):
         if feature:
-            total += scores.get(feature, 0.0 if feature.strip("/") in ("article", "main") else other)
+            total += scores.get(feature, 0.0 if feature.strip("/") in ("article", "main") else other) * shares.get(k, 1.0)
         elif not skipped:
             total += scores.get(f"#{block}", 1.0) * len(text.split())
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
             best, begin, end = total, start, k + 1
+    if (whole := sole_article(rows)) and any(r[3].split() for r in rows[slice(*whole)] if not r[2]):
+        meets = best and begin < whole[1] and whole[0] < end
+        begin, end = (min(begin, whole[0]), max(end, whole[1])) if meets else whole
     lines, line = [], []
-    for feature, _, skipped, text in rows[begin:end]:
+    for feature, _, skipped, text, _ in rows[begin:end]:
         name = feature.removeprefix("/")
         if name in BLOCKS:
             lines.append("".join(line))
@@ -218,7 +264,8 @@ def fit(pages: DataFrame, page: str = "html", sample: int = SAMPLE) -> dict[str,
     """Weights from labelled pages. The sample's counts are summed by feature before they come to the driver."""
     labelled = pages.filter(F.lower(page).rlike("<(article|main)[ >]"))
     n = labelled.count()
-    chosen = labelled.filter(share_of(sample, n, page))
+    # by all plain columns, so that copies of a page with ids of their own are chosen each by itself
+    chosen = labelled.filter(share_of(sample, n, *(f.name for f in pages.schema if isinstance(f.dataType, T.AtomicType))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()

@@ -4,6 +4,7 @@ and repeated rows, extra columns with clashing names, and empty tables."""
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -291,10 +292,10 @@ def test_best_run_is_the_best():
         items = [str(r.choice(["<i>", "</i>", "<u>", "</u>", " w ", " w w ", " w w w "])) for _ in range(12)]
         page = "<p>" + "".join(items)
         rows = list(html.parts(page))
-        value = [scores.get(f, -0.5) if f else len(t.split()) for f, _, _, t in rows]
+        value = [scores.get(f, -0.5) if f else len(t.split()) for f, _, _, t, _ in rows]
         best = max(sum(value[i:j]) for i in range(len(value)) for j in range(i, len(value) + 1))
         words = len(html.extract(page, scores).split())
-        sums = {sum(len(t.split()) for f, _, _, t in rows[i:j] if not f) for i in range(len(value)) for j in range(i, len(value) + 1) if abs(sum(value[i:j]) - best) < 1e-9}
+        sums = {sum(len(t.split()) for f, _, _, t, _ in rows[i:j] if not f) for i in range(len(value)) for j in range(i, len(value) + 1) if abs(sum(value[i:j]) - best) < 1e-9}
         assert words in sums
 
 
@@ -412,3 +413,43 @@ def test_wrappers_with_marks():
         f"<body><div class='has-sidebar'><div class='no-sidebar'><p class='share'><main>{article}</main>",
     ):
         assert html.extract(page, html.DEFAULT) == text
+
+
+def template_weights():
+    """Weights of pages whose articles hold no link, list, table or division, as the given ones are."""
+    total = [Counter(), Counter()]
+    for i in range(300):
+        page = f'<html><head><title>t</title></head><body><nav><ul>{"<li><a href=x>w</a></li>" * 6}</ul></nav><div class="ad">Buy now {i}.</div><article><h1>Head</h1>{"<p>Some words of the text stand here.</p>" * 5}</article><footer>Imprint</footer></body></html>'
+        for side, found in zip(total, html.count(page)):
+            side.update(found)
+    return html.weights(*total)
+
+
+W20 = " ".join(f"word{i}" for i in range(20))
+ARTICLES = {
+    "a link": (f"<article><p>{W20} <a href=x>linked words here</a> {W20}</p><p>{W20}</p></article>", [f"{W20} linked words here {W20}", W20]),
+    "a list": (f"<article><p>{W20}</p><ul><li>one two three</li><li>four five</li></ul><p>{W20}</p></article>", [W20, "one two three", "four five", W20]),
+    "divisions": (f"<article><div>{W20}</div><div>{W20}</div><div>{W20}</div></article>", [W20] * 3),
+    "no article": (f"<p>{W20} <a href=x>linked</a> end.</p><p>{W20}</p>", [f"{W20} linked end.", W20]),
+    "a table": (f"<article><p>{W20}</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><p>{W20}</p></article>", [W20, "a", "b", "1", "2", W20]),
+    "a quote": (f"<article><p>{W20}</p><blockquote><p>short quote</p></blockquote><p>{W20}</p></article>", [W20, "short quote", W20]),
+    "a caption": (f"<article><p>{W20}</p><figure><img src=x><figcaption>The caption</figcaption></figure><p>{W20}</p></article>", [W20, "The caption", W20]),
+    "many links": ("<article><p>" + " ".join("<a href=x>one two</a> three four five six" for _ in range(20)) + "</p><p><a href=y>see also</a></p></article>", [" ".join("one two three four five six" for _ in range(20)), "see also"]),
+    "a main": (f"<main><h2>Head</h2><ol><li><a href=x>one</a></li></ol><p>{W20}</p></main>", ["Head", "one", W20]),
+    "few words": ("<article><div>Gone.</div></article>", ["Gone."]),
+}
+
+
+@pytest.mark.parametrize("name", ARTICLES)
+def test_articles_stay_whole(name):
+    body, wanted = ARTICLES[name]
+    menu = "<nav><a href=a>Home</a></nav><ul><li><a href=b>One</a></li><li><a href=c>Two</a></li></ul>"
+    page = f"<html><head><title>t</title></head><body>{menu}{body}<ul><li><a href=d>Three</a></li><li><a href=e>Four</a></li></ul><footer>Imprint</footer></body></html>"
+    for scores in (template_weights(), html.DEFAULT):
+        assert html.extract(page, scores).split("\n") == wanted
+
+
+def test_weights_are_bounded():
+    inside, outside = Counter({"p": 10_000_000, "#p": 10**9}), Counter({"a": 10**8, "li": 10**8, "div": 10**7, "head": 10**7, "#li": 10**8})
+    w = html.weights(inside, outside)
+    assert (w["a"], w["li"], w["div"], w["head"]) == (-2, -4, -4, -40) and w["p"] == 0
