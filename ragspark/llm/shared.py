@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,19 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.sources.scratch import shared_folder
+from ragspark.sources.scratch import new_path, remove
 
 
 def written(df: DataFrame, name: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, a lost executor recomputes nothing before it, and
-    every reader sees the same rows. spent: tables of this function that nothing but df reads; they are removed."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    every reader sees the same rows. spent: tables of this function that nothing but df reads; they are removed now, all
+    others when the process ends."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    for table in spent:
-        old = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-    out = spark.read.schema(df.schema).parquet(path)
+    remove(df.sparkSession, *(table._written_at for table in spent))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
