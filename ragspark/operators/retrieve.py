@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
 from ragspark.functions.stem import stem, with_stems
+from ragspark.sources.scratch import written
 
 #: Candidates of each arm, the fusion constant, hits returned, and the parameters of BM25.
 CANDIDATES, RRF_K, TOP_K, RERANK_TOP_K = 40, 60, 5, 4
@@ -16,6 +19,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LOW_CONFIDENCE = 0.15
 #: Scores are rounded to so many places before they are ranked, so that sums in another order don't change ties.
 PLACES = 9
+#: Chunks of a block of lexical search, and queries that meet it at once.
+CHUNKS, QUERIES = 4_096, 4_096
 #: Bytes of vectors or of queries that a task of dense search holds at most, and pairs of both that are worth a task.
 BLOCK_BYTES, PAIRS = 32 << 20, 1 << 24
 
@@ -181,34 +186,94 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     token counts again; a chunk qualifies by any term; a query without terms has no hits.
 
     Chunks' words meet the queries' terms before anything is shuffled (stems: the words that have them, found in the
-    vocabulary), and are counted by chunk within the task that read it, with the chunk's length. A term's part of a score is a
-    product of what the query and what the chunk tells of it, which both are worked out before they meet; as the chunks are dealt
-    by their key then, sums by query and chunk need no further shuffle."""
-    bag = query_terms(queries, stemmed, query, query_text)
+    vocabulary), and are counted by chunk within the task that read it. That one pass writes what the search goes by, and counts
+    the chunks and their words; `best_by_bm25` does the rest."""
+    bag, phrases = query_terms(queries, stemmed, query, query_text), query_phrases(queries, stemmed, query, query_text)
     tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
-    wanted = _surface(chunks, bag, text) if stemmed else bag.select("term").distinct().withColumn("word", F.col("term"))
+    sizes = Observation()
+    seen = tokens.withColumn("len", F.size("_t")).observe(sizes, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
+    units = named_phrases(phrases, query)
+    terms = bag.select("term").unionByName(phrases.select("term")).distinct()
+    wanted = _surface(chunks, terms, text) if stemmed else terms.withColumn("word", F.col("term"))
     # outer: else Spark filters chunks by their number of words first, and so finds the words twice; the join drops the nulls
-    met = tokens.select(key, F.size("_t").alias("len"), F.explode_outer("_t").alias("word")).join(wanted, "word")
-    counts = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # of the same counts, so they are made once
-    stats = F.broadcast(corpus_stats(tokens.select(F.size("_t").alias("len"))))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("mult") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    asked = bag.join(df, "term").crossJoin(stats).select(query, "term", weight.alias("_w"))
-    held = counts.crossJoin(stats).select(key, "term", share.alias("_s")).repartition(key)
-    parts = held.join(asked, "term").select(query, key, (F.col("_w") * F.col("_s")).alias("_p"))
-    phrases = query_phrases(queries, stemmed, query, query_text)
-    if not phrases.isEmpty():  # few queries have any, and then places of words are needed too
-        named = phrases.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda w: w["term"]), " ").alias("unit"))
-        words = _surface(chunks, phrases, text) if stemmed else phrases.select("term").distinct().withColumn("word", F.col("term"))
-        places = tokens.select(key, F.size("_t").alias("len"), F.posexplode_outer("_t").alias("pos", "word")).join(words, "word")
-        found = phrase_counts(places.select(F.struct(key, "len").alias("_c"), "pos", "term"), phrases, query, "_c").join(named, [query, "phrase"])
-        each = found.groupBy(query, "unit", "_c").agg(F.max("tf").alias("tf"), F.count("*").alias("mult"))
-        df = found.select("unit", "_c").distinct().groupBy("unit").agg(F.count("*").alias("df"))
-        parts = parts.unionByName(each.join(df, "unit").crossJoin(stats).select(query, f"_c.{key}", "_c.len", "tf", "df", "mult", "n", "avg_len").select(query, key, (weight * share).alias("_p")))
-    scored = parts.groupBy(query, key).agg(F.round(F.sum("_p"), PLACES).alias("score"))
-    return top_k(scored, k, query, key)
+    met = seen.select(key, "len", F.posexplode_outer("_t").alias("pos", "word")).join(wanted, "word")
+    held = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"), F.collect_list("pos").alias("places"))
+    held = written(held, "held")
+    return best_by_bm25(bag, phrases, units, held, sizes.get["n"], sizes.get["total"], k, query, key)
+
+
+def named_phrases(phrases: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, phrase, unit): the words of each phrase, joined by a space."""
+    return phrases.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda w: w["term"]), " ").alias("unit"))
+
+
+def best_by_bm25(bag: DataFrame, phrases: DataFrame, units: DataFrame, held: DataFrame, n: int, total: int, k: int = TOP_K, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """(query, key, score, rank) of a table (key, len, term, tf, places) of what chunks hold of the queries' terms. n, total:
+    chunks, and words of all of them.
+
+    Chunks are dealt by their key into blocks. Each block meets the queries' weights: a term's part of a score is a product of
+    what the query and what the chunk tells of it, so the scores of a block are a sparse matrix product, and only the k best
+    of each query leave the task, whatever share of the chunks a common term is in. A phrase that occurs is one more term."""
+    if not n or not total:
+        return _no_hits(bag, held, query, key)
+    counts = held.select(key, "len", "term", "tf")
+    if not phrases.isEmpty():  # few queries have any
+        places = held.select(F.struct(key, "len").alias("_c"), F.explode("places").alias("pos"), "term")
+        found = phrase_counts(places, phrases, query, "_c").join(units, [query, "phrase"])
+        counts = counts.unionByName(found.groupBy("unit", "_c").agg(F.max("tf").alias("tf")).select(f"_c.{key}", "_c.len", F.col("unit").alias("term"), "tf"))
+        bag = bag.unionByName(units.groupBy(query, F.col("unit").alias("term")).agg(F.count("*").alias("mult")))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = bag.join(df, "term").select(query, "term", (F.col("mult") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)).alias("_w"))
+    turns = max(1, -(-bag.select(query).distinct().count() // QUERIES))
+    blocks = max(1, -(-n // CHUNKS))
+    left = asked.withColumn("_turn", F.pmod(F.xxhash64(query), F.lit(turns)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = counts.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    average = total / n
+
+    def meet(some: pa.Table, block: pa.Table) -> pa.Table:
+        names, items, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        own, held_keys = some[query].combine_chunks().dictionary_encode(), block[key].combine_chunks().dictionary_encode()
+        if some.num_rows and block.num_rows:
+            terms = some["term"].combine_chunks().dictionary_encode()
+            term = pc.index_in(block["term"].combine_chunks(), value_set=terms.dictionary)
+            known = term.is_valid().to_numpy(zero_copy_only=False)
+            term, chunk = term.fill_null(0).to_numpy()[known], held_keys.indices.to_numpy()[known]
+            tf, size = block["tf"].to_numpy()[known].astype(float), block["len"].to_numpy()[known].astype(float)
+            share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
+            order = np.lexsort((chunk, term))
+            term, chunk, share = term[order], chunk[order], share[order]
+            begins = np.searchsorted(term, np.arange(len(terms.dictionary) + 1))
+            values = held_keys.dictionary.to_pylist()
+            place = np.empty(len(values), np.int64)
+            place[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))  # ties go to smaller keys
+            who, which, weight = own.indices.to_numpy(), terms.indices.to_numpy(), some["_w"].to_numpy()
+            turn = np.lexsort((which, who))
+            cuts = np.searchsorted(who[turn], np.arange(len(own.dictionary) + 1))
+            for q in range(len(own.dictionary)):
+                sums = np.zeros(len(values))
+                for x in turn[cuts[q] : cuts[q + 1]]:
+                    at = slice(begins[which[x]], begins[which[x] + 1])
+                    sums[chunk[at]] += weight[x] * share[at]
+                near = np.flatnonzero(sums)
+                value = np.round(sums[near], PLACES)
+                if len(near) > k:
+                    best = value >= np.partition(value, len(near) - k)[len(near) - k]
+                    near, value = near[best], value[best]
+                first = np.lexsort((place[near], -value))[:k]
+                names.append(np.full(len(first), q))
+                items.append(near[first])
+                scores.append(value[first])
+        take = lambda coded, at: coded.dictionary.take(pa.array(np.concatenate(at).astype(np.int64)))
+        return pa.table([take(own, names), take(held_keys, items), pa.array(np.concatenate(scores))], names=[query, key, "score"])
+
+    kinds = bag.schema[query].dataType.simpleString(), held.schema[key].dataType.simpleString()
+    found = left.groupBy("_block", "_turn").cogroup(right.groupBy("_block", "_turn")).applyInArrow(meet, f"{query} {kinds[0]}, {key} {kinds[1]}, score double")
+    return top_k(found, k, query, key)
+
+
+def _no_hits(bag: DataFrame, held: DataFrame, query: str, key: str) -> DataFrame:
+    return bag.sparkSession.createDataFrame([], f"{query} {bag.schema[query].dataType.simpleString()}, {key} {held.schema[key].dataType.simpleString()}, score double, rank int")
 
 
 def fuse(rankings: list[DataFrame], k: int = TOP_K, constant: int = RRF_K, query: str = "query_id", item: str = "chunk_id") -> DataFrame:

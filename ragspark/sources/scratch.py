@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Paths that this process has made for its own tables; they are removed when it ends.
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -13,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     executors' sight, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -21,4 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, and a lost executor recomputes nothing before it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes paths, in whatever store they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@atexit.register
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _MADE:
+        try:
+            remove(spark, *_MADE)
+        except Exception:  # noqa: BLE001  the session or its store is gone already; nothing more can be done here
+            pass
