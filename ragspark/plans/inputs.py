@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
 from ragspark.plans.registry import Tables
+from ragspark.plans.stem_sql import stems_sql
 
 WINDOW, STEP = 1000, 800
 
@@ -80,15 +81,17 @@ def vector_queries(t: Tables) -> DataFrame:
     return t.embeddings.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
-def bm25_sql(queries: str = "SELECT item_id AS query_id, text FROM benchmark", chunks: str = "SELECT doc_id AS chunk_id, text FROM documents", prefix: str = "", k: int = 5) -> str:
+def bm25_sql(queries: str = "SELECT item_id AS query_id, text FROM benchmark", chunks: str = "SELECT doc_id AS chunk_id, text FROM documents", prefix: str = "", k: int = 5, stemmed: bool = False) -> str:
     """Common table expressions that end in {prefix}hits (query_id, chunk_id, score, rank)."""
     p = prefix
+    words, to_stem, asked_stem = ("tok", "", "") if not stemmed else ("raw", f" {stems_sql(f'SELECT term AS w FROM {p}raw UNION SELECT unnest({TOKENS.format("text")}) FROM {p}qs', p)},\n {p}tok AS (SELECT chunk_id, s AS term FROM {p}raw JOIN {p}stems ON w = term),\n", f" JOIN {p}stems ON w = term")
+    asked = "s AS term" if stemmed else "term"
     return rf"""{p}ch AS ({chunks}), {p}qs AS ({queries}),
- {p}tok AS (SELECT chunk_id, unnest({TOKENS.format("text")}) AS term FROM {p}ch),
- {p}tf AS (SELECT chunk_id, term, count(*) AS tf FROM {p}tok GROUP BY ALL),
+ {p}{words} AS (SELECT chunk_id, unnest({TOKENS.format("text")}) AS term FROM {p}ch),
+{to_stem} {p}tf AS (SELECT chunk_id, term, count(*) AS tf FROM {p}tok GROUP BY ALL),
  {p}len AS (SELECT c.chunk_id, coalesce(sum(tf), 0) AS len FROM {p}ch c LEFT JOIN {p}tf t ON t.chunk_id = c.chunk_id GROUP BY c.chunk_id),
  {p}st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM {p}len),
- {p}bag AS (SELECT query_id, term, count(*) AS mult FROM (SELECT query_id, unnest({TOKENS.format("text")}) AS term FROM {p}qs) GROUP BY ALL),
+ {p}bag AS (SELECT query_id, {asked}, count(*) AS mult FROM (SELECT query_id, unnest({TOKENS.format("text")}) AS term FROM {p}qs){asked_stem} GROUP BY ALL),
  {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term),
  {p}sc AS (SELECT query_id, t.chunk_id, round(sum(mult * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
    * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)))), 9) AS score

@@ -10,6 +10,7 @@ from ragspark.operators import evaluate, retrieve
 from ragspark.plans import inputs
 from ragspark.plans.inputs import TOKENS, bm25_sql, dense_sql, fuse_sql
 from ragspark.plans.registry import Tables, query
+from ragspark.sources import index, scratch
 
 HITS = "SELECT query_id, chunk_id, score, rank FROM hits"
 
@@ -66,11 +67,21 @@ def r9_bm25(t: Tables) -> DataFrame:
     return retrieve.bm25_top_k(inputs.passages(t), inputs.as_chunks(t), stemmed=False)
 
 
-@query()
+@query(f"WITH {bm25_sql(stemmed=True)} {HITS}")
 def r9_bm25_stemmed(t: Tables) -> DataFrame:
     return retrieve.bm25_top_k(inputs.passages(t), inputs.as_chunks(t))
 
 
+@query(f"WITH {bm25_sql(stemmed=True)} {HITS}")
+def r9_stored_index(t: Tables) -> DataFrame:
+    """Search of a stored index, whose documents were drafts with a word more before they were changed to what they are."""
+    chunks, held = inputs.as_chunks(t).select("chunk_id", "text"), index.TermIndex(t.spark, scratch.new_path(t.spark, "index"))
+    drafts = chunks.withColumn("text", F.concat(F.lit("draft "), "text"))
+    held.change(drafts)
+    held.change(chunks, drafts)
+    return held.search(inputs.passages(t))
+
+
 PHRASES = rf"""docs AS (SELECT doc_id AS chunk_id, {TOKENS.format("text")} AS d FROM documents), st AS (SELECT count(*) AS n, avg(len(d)) AS avg_len FROM docs),
  tok AS (SELECT item_id AS query_id, {TOKENS.format("q")} AS t FROM (SELECT item_id, unnest(regexp_extract_all(regexp_replace(text, '^(\S+) (\S+)', '\1_\2'), '[\p{{L}}\p{{N}}_]+')) AS q FROM benchmark)),
  bag AS (SELECT query_id, t, count(*) AS mult FROM tok WHERE len(t) > 0 GROUP BY ALL), units AS (SELECT DISTINCT t FROM bag),
@@ -128,6 +139,11 @@ def r13_hybrid(t: Tables) -> DataFrame:
     return hybrid_hits(t)
 
 
+@query(f"""WITH {bm25_sql(k=40, prefix='l', stemmed=True)}, {dense_sql('l2_cosine', 40, queries='SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id', prefix='d')}, {fuse_sql(['lhits', 'dhits'], 5)} SELECT query_id, chunk_id, score, rank FROM fhits""")
+def r13_hybrid_stemmed(t: Tables) -> DataFrame:
+    return retrieve.hybrid(with_vectors(t), inputs.as_chunks(t), inputs.vectors(t))
+
+
 FAULTY = """bad AS (SELECT query_id, CASE WHEN kind = 4 AND rank = 2 THEN first ELSE chunk_id END AS chunk_id, CASE WHEN kind = 1 THEN -score ELSE score END AS score, CASE WHEN kind = 2 AND rank > 1 THEN rank + 1 ELSE rank END AS rank FROM
   (SELECT *, query_id // 20 % 5 AS kind, first_value(chunk_id) OVER (PARTITION BY query_id ORDER BY rank) AS first FROM hits) WHERE kind = 3 OR rank <= 10)"""
 

@@ -10,6 +10,7 @@ from ragspark.functions.stem import with_stems
 from ragspark.operators import evaluate
 from ragspark.plans.inputs import PAGES, TOKENS, pages
 from ragspark.plans.registry import Tables, query
+from ragspark.plans.stem_sql import stems_sql
 from ragspark.sources import corpus, store
 
 SQUEEZE = r"regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^ ', ''), ' $', '')"
@@ -77,7 +78,7 @@ def f10_query_bag(t: Tables) -> DataFrame:
     return terms.groupBy("item_id", "term").agg(F.count("*").alias("mult"))
 
 
-@query()
+@query(rf"WITH raw AS (SELECT unnest({TOKENS.format('text')}) AS term FROM documents), n AS (SELECT term, count(*) AS n FROM raw GROUP BY term), {stems_sql('SELECT term AS w FROM n')} SELECT s AS term, sum(n)::BIGINT AS n FROM n JOIN stems ON w = term GROUP BY s")
 def f11_stemmed_terms(t: Tables) -> DataFrame:
     terms = t.documents.select("doc_id", F.explode(tx.index_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return with_stems(terms).groupBy("term").agg(F.sum("n").alias("n"))
