@@ -10,8 +10,8 @@ A search first scores the documents of the k highest bounds of each item exactly
 Then all documents whose bound reaches it, so all that are not provably outside, are scored exactly from their texts. Texts are
 read for those alone: a bitmap of hashed ids, of fixed size, keeps the others out of the shuffle.
 
-The index holds nothing of the items: a table of blocks, with each block's terms and how many of its documents hold them, from which come the counts
-of the items' terms. Items are dealt into groups and meet groups of blocks; neither side is broadcast.
+The index holds nothing of the items. It is a table of blocks and of word counts, how many documents of a part of the corpus hold each
+term. Items are dealt into groups and meet groups of blocks; neither side is broadcast.
 
 Term identity is exact: terms are found as runs of bytes and told apart by their bytes; hashes are used in signatures only.
 
@@ -41,12 +41,12 @@ K = 10
 #: Fixed value: what separates terms.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Occurrences that a term must have for each level; the last is open.
-LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128)
+LEVELS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 28, 40, 64, 128)
 #: Bits of a signature for each of its keys at least, and hashes of a key; bits of the widest signature, beyond which more of
 #: them are set; documents and bits of a block at most.
-BITS_EACH, HASHES, WIDEST, ROWS, BLOCK_BITS = 8, 4, 1 << 22, 1024, 1 << 24
-#: Items of a group, and blocks of one.
-ITEMS, BLOCKS = 1024, 16
+BITS_EACH, HASHES, WIDEST, ROWS, BLOCK_BITS = 16, 6, 1 << 22, 1024, 1 << 24
+#: Items of a group, and blocks of one; terms whose bitmaps are read at once.
+ITEMS, BLOCKS, TERMS = 1024, 4, 1024
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -114,15 +114,24 @@ class Block:
     most: np.ndarray
     slices: np.ndarray  # width, bytes of documents
 
-    def level_bitmaps(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(level, bitmap) of the documents that may hold a term at each level, as far as any may."""
-        for level, bits in enumerate(slices_of(hashes, self.width)):
-            found = self.slices[bits[0]]
-            for b in bits[1:]:
-                found = found & self.slices[b]
-            if not found.any():
-                return
-            yield level, found
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """How many levels each term may reach in each document (term, document): 0 where it is not held. Levels are nested, so a
+        higher one counts only where all below may be reached."""
+        rows = len(self.ids)
+        out, some, before = np.zeros((len(hashes), rows), np.uint8), np.arange(len(hashes)), None
+        for level in range(len(LEVELS)):
+            bits = slices_of(hashes[some, level], self.width)
+            found = self.slices[bits[:, 0]]
+            for k in range(1, HASHES):
+                found &= self.slices[bits[:, k]]
+            if before is not None:
+                found &= before
+            any_ = found.any(axis=1)
+            some, before = some[any_], found[any_]
+            if not len(some):
+                break
+            out[some] += np.unpackbits(before, axis=1, count=rows)
+        return out
 
 
 def parts(most: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -138,27 +147,18 @@ def lengths_factor(sizes: np.ndarray, n: int, total: int) -> np.ndarray:
 
 def bounds(block: Block, vocabulary: np.ndarray, items: list[list[tuple[int, int]]], n: int, total: int) -> np.ndarray:
     """The upper bound of each item's score (weights by term number) in each document of the block."""
-    part, rows = parts(block.most, lengths_factor(block.sizes, n, total)), len(block.ids)
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k, hashes in enumerate(vocabulary):
-        value = None
-        for level, bitmap in block.level_bitmaps(hashes):
-            where = np.flatnonzero(np.unpackbits(bitmap, count=rows))
-            if value is None:
-                at, value = where, np.zeros(rows, np.int64)
-            elif len(where) == 0:
-                break
-            # levels are nested, so a higher one counts only where all below may be reached
-            where = where[value[where] >= part[level - 1][where]] if level else where
-            value[where] = part[level][where]
-        if value is not None:
-            held[k] = at, value[at]
-    out = np.zeros((len(items), rows), np.int64)
-    for row, terms in zip(out, items, strict=True):
-        for term, weight in terms:
-            if term in held:
-                at, value = held[term]
-                row[at] += weight * value
+    part = np.vstack([np.zeros(len(block.ids), np.int64), parts(block.most, lengths_factor(block.sizes, n, total))])
+    out, every = np.zeros((len(items), len(block.ids)), np.int64), np.arange(len(block.ids))
+    asked = sorted((term, k, weight) for k, terms in enumerate(items) for term, weight in terms)
+    at = 0
+    for begin in range(0, len(vocabulary), TERMS):
+        value = part[block.levels(vocabulary[begin : begin + TERMS]), every]
+        held = value.any(axis=1)
+        while at < len(asked) and asked[at][0] < begin + TERMS:
+            term, k, weight = asked[at]
+            if held[term - begin]:
+                out[k] += weight * value[term - begin]
+            at += 1
     return out
 
 
@@ -171,24 +171,22 @@ class _Builder:
 
     def clear(self) -> None:
         self.ids, self.sizes, self.highest, self.bits = [], [], [], []
-        self.terms: Counter[bytes] = Counter()
 
     def block(self) -> tuple:
         dense = np.zeros((self.width, -(-len(self.ids) // 8) * 8), bool)
-        for row, bits in enumerate(self.bits):
-            dense[bits, row] = True
-        held = sorted(self.terms.items())
-        return self.width, self.ids, self.sizes, self.highest, np.packbits(dense, axis=1).tobytes(), [t.decode("utf-8") for t, _ in held], [n for _, n in held]
+        dense[np.concatenate(self.bits), np.repeat(np.arange(len(self.ids)), [len(b) for b in self.bits])] = True
+        return self.width, self.ids, self.sizes, self.highest, np.packbits(dense, axis=1).tobytes(), [], []
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index of documents: (width, ids, sizes, most, slices, terms, held), a row for each block, as a written table."""
-    kind, levels = docs.schema[key].dataType, np.array(LEVELS)
+    """The index of documents, as a written table (width, ids, sizes, most, slices, terms, held): rows of blocks, and rows of
+    word counts, whose width is 0 and which have no documents."""
+    levels, name = np.array(LEVELS), docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, _Builder] = {}
 
-        def rows(full: list[tuple]) -> pa.RecordBatch:
+        def rows(*full: tuple) -> pa.RecordBatch:
             types = [pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full, strict=True), types, strict=True)], names=["width", "ids", "sizes", "most", "slices", "terms", "held"])
 
@@ -197,31 +195,30 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             id_type = batch.schema.field(0).type
             for part in portions(batch, batch.schema.names[1], 8_000_000):
                 row, term, n, words = bags(part.column(1))
+                if not len(row):
+                    continue
                 words = words.to_pylist()
-                hashes = key_hashes(words) if words else np.zeros((0, len(LEVELS)), np.uint64)
-                level = np.searchsorted(levels, n, "right")
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                for k, name in enumerate(part.column(0).to_pylist()):
-                    a, b = cuts[k], cuts[k + 1]
-                    if a == b:
-                        continue
-                    own, reached = term[a:b], level[a:b]
-                    keys = hashes[np.repeat(own, reached), np.concatenate([np.arange(x) for x in reached.tolist()]) if reached.max() > 1 else 0]
-                    width = width_of(len(keys))
-                    to = waiting.setdefault(width, _Builder(width))
+                yield rows((0, [], [], [], b"", [w.decode("utf-8") for w in words], np.bincount(term, minlength=len(words))))
+                reached = np.searchsorted(levels, n, "right")
+                ends = np.cumsum(reached)
+                keys = key_hashes(words)[np.repeat(term, reached), np.arange(ends[-1]) - np.repeat(ends - reached, reached)]
+                begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                cuts = np.concatenate([[0], ends[np.append(begins[1:], len(row)) - 1]])
+                sizes, highest, names = np.add.reduceat(n, begins), np.maximum.reduceat(n, begins), part.column(0).take(pa.array(row[begins])).to_pylist()
+                for k, name in enumerate(names):
+                    own = keys[cuts[k] : cuts[k + 1]]
+                    to = waiting.setdefault(width := width_of(len(own)), _Builder(width))
                     to.ids.append(name)
-                    to.sizes.append(int(n[a:b].sum()))
-                    to.highest.append(int(n[a:b].max()))
-                    to.bits.append(slices_of(keys, width).ravel())
-                    to.terms.update([words[t] for t in own.tolist()])
+                    to.sizes.append(int(sizes[k]))
+                    to.highest.append(int(highest[k]))
+                    to.bits.append(slices_of(own, width).ravel())
                     if len(to.ids) == to.most:
-                        yield rows([to.block()])
+                        yield rows(to.block())
                         to.clear()
         for to in waiting.values():
             if to.ids:
-                yield rows([to.block()])
+                yield rows(to.block())
 
-    name = kind.simpleString()
     schema = f"width int, ids array<{name}>, sizes array<bigint>, most array<bigint>, slices binary, terms array<string>, held array<bigint>"
     return written(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema), "signatures")
 
@@ -264,6 +261,7 @@ def candidates(index: DataFrame, asked: DataFrame, n: int, total: int, k: int |
     """(item, id, bound) of documents whose bound is above 0 and reaches the item's least; with k those of the k highest
     bounds in each group of blocks alone. asked: (item, term, times, weight, least)."""
     ids = index.schema["ids"].dataType.elementType.simpleString()
+    index = index.filter("width > 0")
     groups = 1 + index.count() // BLOCKS
     each, turns = dealt(asked)
     each = each.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
