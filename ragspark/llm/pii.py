@@ -16,8 +16,8 @@ The networks are bijections of fixed rounds; round values are the leading bits o
 Equal values get equal pseudonyms in every document, whatever their separators; separators and formats stay. The key has no
 default: who knows it can turn every pseudonym back.
 
-Defined results: a null text stays null and an empty one empty; values that fail validation stay, and so do
-addresses with more than 64 letters and digits on end before the sign; where valid values overlap the
+Defined results: a null text stays null and an empty one empty; values that fail validation stay; an address of over 64 characters
+before the sign is permuted in parts of 64; where valid values overlap the
 leftmost wins, then the order of KINDS (what fails validation hides nothing that begins within it); repeated rows are treated alike. Other columns are passed through.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ragspark.llm.shared import free
 
 ROUNDS = 8
+#: Characters of an address that are permuted together, and matches of a text that are walked in one run.
+TOGETHER, RUN = 64, 256
 #: Lengths of IBANs by country, as registered, with letters or digits; others may have any length, of digits.
 IBANS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
@@ -37,11 +39,14 @@ IBANS = {
 _REGISTERED = "|".join(
     f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBANS.items()
 )
+#: A part of a domain's name, in letters of any alphabet.
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]*[\p{L}\p{M}\p{N}])?"
 #: Patterns by kind, tried in this order at each place.
 KINDS = {
-    # bounded: addresses are no longer, and Java's matcher goes one call deeper with every label. An address begins with a letter
-    # or digit; in a longer run of points or the like, at the first place from which it is not too long
-    "email": r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])[\p{L}\p{M}\p{N}._%+'-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,60}\.[A-Za-z]{2,}",
+    # An address begins with a letter or digit; in a long run of points or the like, at the first place from which it is not too
+    # long. Letters and digits on end belong to it however many they are. Each place is so looked at a bounded number of times.
+    # Labels are counted, as Java's matcher goes one call deeper with every one; of a longer domain the first ones are the address's
+    "email": r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])(?:[\p{L}\p{M}\p{N}._%+'-]{1,64}+|[\p{L}\p{M}\p{N}]{65,}+[\p{L}\p{M}\p{N}._%+'-]{0,64}+)@" + rf"{_LABEL}(?:(?:\.{_LABEL}){{0,60}}\.(?:\p{{L}}[\p{{L}}\p{{M}}]++|xn--[A-Za-z0-9-]*[A-Za-z0-9])|(?:\.{_LABEL}){{60}})",
     "iban": rf"(?<![A-Za-z0-9])(?:{_REGISTERED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
@@ -211,7 +216,11 @@ def email(value: Column, key: str) -> tuple[Column, Column]:
     domain and all characters before it, so the map is a bijection."""
     at = F.instr(value, "@")
     local, domain = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.length(value))
-    return F.length(local) > 0, F.concat(_permuted_form(local, F.lower(domain), key, "email"), domain)
+    n, salt = F.length(local), F.lower(domain)
+    # by parts, as the stream goes back to the first character for each one; nearly all addresses are one part
+    part = lambda i: _permuted_form(F.substring(local, i * TOGETHER + 1, F.lit(TOGETHER)), F.when(n <= TOGETHER, salt).otherwise(F.concat_ws("|", salt, i)), key, "email")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / TOGETHER).cast("int"))), part)
+    return n > 0, F.concat(F.array_join(parts, ""), domain)
 
 
 def _permuted_form(local: Column, salt: Column, key: str, name: str) -> Column:
@@ -273,7 +282,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
         new = F.when(free, pseudonym(x["m"], key))
         return F.transform(F.array(new), lambda p: _placed(state, x, p))[0]
 
-    result = F.when(hit, F.aggregate(pieces, start, add))
+    def walk(rows: Column) -> Column:
+        def steps(state: Column, first: Column) -> Column:
+            """A run of matches by itself, so that appending copies the text of the run, not all before it."""
+            begin = F.struct(F.lit("").alias("out"), state["taken"].alias("taken"), F.array().cast("array<string>").alias("kinds"))
+            some = F.aggregate(F.slice(rows, first, RUN), begin, add)
+            return F.transform(F.array(some), lambda r: F.struct(F.concat(state["out"], r["out"]).alias("out"), r["taken"].alias("taken"), F.concat(state["kinds"], r["kinds"]).alias("kinds")))[0]
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(rows), F.lit(RUN)), start, steps)
+
+    result = F.when(hit, F.transform(F.array(pieces), walk)[0])  # pieces are made once, not in each run
     out = docs.withColumn(scratch, result)
     if counts:
         out = out.withColumn(counts, F.coalesce(F.col(f"{scratch}.kinds"), F.array().cast("array<string>")))

@@ -72,8 +72,29 @@ def spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0)
 
 
 def apart(found: Column, others: Column) -> Column:
-    """Those of the spans that overlap none of the others."""
-    return F.when(F.size(found) == 0, found).otherwise(F.filter(found, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"]))))
+    """Those of the spans, which don't overlap each other, that overlap none of the others. Both are walked once, by their
+    starts: a span is dropped if one of the others before it reaches into it, or if the next one begins within it."""
+    mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(own).alias("own")))
+    empty, none = F.array().cast(SPANS), F.lit(None).cast("struct<start:int,kind:int,end:int>")
+
+    def add(state: Column, x: Column) -> Column:
+        waiting = state["waiting"]
+        given = x["own"] & waiting.isNotNull()  # no other can begin within it any more
+        span = F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+        kept = F.when(x["own"], F.when(x["start"] >= state["reach"], span).otherwise(none)).otherwise(F.when(x["start"] >= waiting["end"], waiting).otherwise(none))
+        reach = F.when(x["own"], state["reach"]).otherwise(F.greatest(state["reach"], x["end"]))
+        return F.struct(reach.alias("reach"), kept.alias("waiting"), F.when(given, F.concat(state["out"], F.array(waiting))).otherwise(state["out"]).alias("out"))
+
+    def walk(rows: Column) -> Column:
+        def steps(state: Column, first: Column) -> Column:
+            some = F.aggregate(F.slice(rows, first, RUN), F.struct(state["reach"].alias("reach"), state["waiting"].alias("waiting"), empty.alias("out")), add)
+            return F.transform(F.array(some), lambda r: F.struct(r["reach"].alias("reach"), r["waiting"].alias("waiting"), F.concat(state["out"], r["out"]).alias("out")))[0]
+
+        start = F.struct(F.lit(0).alias("reach"), none.alias("waiting"), empty.alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(rows), F.lit(RUN)), start, steps, lambda s: F.when(s["waiting"].isNotNull(), F.concat(s["out"], F.array(s["waiting"]))).otherwise(s["out"]))
+
+    every = F.array_sort(F.concat(mark(found, True), mark(others, False)))
+    return F.when(F.size(found) == 0, found).otherwise(F.transform(F.array(every), walk)[0])
 
 
 def joined(found: Column) -> Column:

@@ -3,6 +3,7 @@ and repeated rows, extra columns with clashing names, and empty tables."""
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -453,3 +454,40 @@ def test_weights_are_bounded():
     inside, outside = Counter({"p": 10_000_000, "#p": 10**9}), Counter({"a": 10**8, "li": 10**8, "div": 10**7, "head": 10**7, "#li": 10**8})
     w = html.weights(inside, outside)
     assert (w["a"], w["li"], w["div"], w["head"]) == (-2, -4, -4, -40) and w["p"] == 0
+
+
+def test_apart_by_brute_force(spark):
+    r = np.random.default_rng(12)
+    cases = []
+    for n in (0, 1, 5, 40, 700):
+        cuts = np.sort(r.choice(6 * n + 4, 2 * n, replace=False)).reshape(n, 2).tolist() if n else []
+        others = [(int(a), int(a + r.integers(1, 9))) for a in r.integers(0, 6 * n + 4, n)]
+        cases.append((n, [(a, 4, b) for a, b in cuts], sorted((a, int(r.integers(0, 4)), b) for a, b in others)))
+    df = spark.createDataFrame(cases, f"n int, found {secrets.SPANS}, others {secrets.SPANS}")
+    for row in df.select("n", secrets.apart(F.col("found"), F.col("others")).alias("out")).collect():
+        _, found, others = next(c for c in cases if c[0] == row["n"])
+        assert [tuple(x) for x in row["out"]] == [s for s in found if not any(o[0] < s[2] and o[2] > s[0] for o in others)]
+
+
+def test_long_addresses_and_other_domains(spark):
+    long = ["a" * 66 + "@example.com", "x" * 5000 + ".y@example.com", "ab" * 400 + "@例え.jp"]
+    plain = ["jane.doe@例え.jp", "jane.doe@bücher.example", "jane.doe@xn--r8jz45g.xn--zckzah", "Contact" + "." * 70 + "jane@example.com", "jane@example.com", "jane@" + "a." * 70 + "com"]
+    df = spark.createDataFrame([(i, f"write to {x}, please") for i, x in enumerate([*long, *plain, "a.b." * 5000])], "doc_id long, text string")
+    got = [r["text"].removeprefix("write to ").removesuffix(", please") for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    for x, y in zip([*long, *plain], got):
+        assert len(x) == len(y) and x != y and not any(part in y for part in ("aaaaaaaa", "xxxxxxxx", "abababab", "jane"))
+        assert x.split("@")[1] == y.split("@")[1]
+    assert got[6].endswith(got[7]) and got[-1] == "a.b." * 5000
+
+
+def test_very_many_values_of_one_text(spark):
+    """A hundred thousand values, in time that grows with their number."""
+    values = [f"jane{i}@example.com" if i % 2 else f"10.{i % 200}.{i // 256 % 256}.{i % 256}" for i in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join(values))], "doc_id long, text string")
+    began = time.monotonic()
+    row = pii.pseudonymise(df, "k", counts="kinds").first()
+    assert len(row["kinds"]) == len(values) and not {"jane1@example.com", *values[:200:2]} & set(row["text"].split("\n")) and time.monotonic() - began < 120
+    links = "\n".join(f"client_id={i} " + "Ab1" + "x" * 40 for i in range(1000, 21_000))
+    began = time.monotonic()
+    found = secrets.scan(spark.createDataFrame([(1, links)], "doc_id long, text string")).first()
+    assert len(found["spans"]) == 40_000 and time.monotonic() - began < 120
