@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.operators.intervals import overlapping
+
 MIN_OVERLAP = 0.5
+#: Labels of a document that are verified in one row, about.
+LABELS = 1_000
 
 
 def resolve(spans: DataFrame, chunks: DataFrame, least: float = MIN_OVERLAP, doc: str = "doc_id", item: str = "chunk_id", of_span: bool = False) -> DataFrame:
     """spans joined to the chunks that hold at least this share of the shorter of span and chunk (of_span: of the span).
 
-    An equi-join on the document with the overlap as a condition, so it is dealt by document."""
+    Both are dealt by document and bucket of offsets."""
     c = chunks.select(F.col(doc).alias("_doc"), item, "source_start", "source_end")
-    met = spans.join(c, (F.col(doc) == F.col("_doc")) & (F.col("char_start") < F.col("source_end")) & (F.col("char_end") > F.col("source_start"))).drop("_doc")
+    met = overlapping(spans, c, (doc, "_doc"), ("char_start", "char_end"), ("source_start", "source_end")).drop("_doc")
     shared = F.least("char_end", "source_end") - F.greatest("char_start", "source_start")
     length = F.col("char_end") - F.col("char_start")
     base = length if of_span else F.least(length, F.col("source_end") - F.col("source_start"))
@@ -36,11 +40,23 @@ def unindexed(spans: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataF
 
 
 def verify(spans: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """spans with reason: null where the text at the offsets holds the quote, else the first thing wrong."""
+    """spans with reason: null where the text at the offsets holds the quote, else the first thing wrong.
+
+    A text meets the lists of its labels, LABELS at most in each, so it is carried once for many of them."""
+    own = [c for c in spans.columns if c != "reason"]
+    each = spans.select(F.col(doc).alias("_key"), F.struct(*own).alias("_s"))
+    parts = each.groupBy("_key").agg(F.ceil(F.count("*") / LABELS).alias("_parts"))
+    listed = each.join(parts, "_key").withColumn("_part", F.pmod(F.xxhash64(F.to_json("_s")), F.col("_parts")))
+    listed = listed.groupBy("_key", "_part").agg(F.collect_list("_s").alias("_all"))
     d = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    anchored = F.col("_text").substr(F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    reason = F.when(F.col("_doc").isNull(), "no document").when(F.col("char_end") > F.length("_text"), "past the end").when(F.instr(anchored, F.col("quote")) == 0, "quote not found")
-    return spans.join(d, F.col(doc) == F.col("_doc"), "left").withColumn("reason", reason).drop("_doc", "_text")
+
+    def told(s: Column) -> Column:
+        anchored = F.col("_text").substr(s["char_start"] + 1, s["char_end"] - s["char_start"])
+        reason = F.when(F.col("_doc").isNull(), "no document").when(s["char_end"] > F.length("_text"), "past the end").when(F.instr(anchored, s["quote"]) == 0, "quote not found")
+        return F.struct(s.alias("s"), reason.alias("reason"))
+
+    met = listed.join(d, F.col("_key") == F.col("_doc"), "left")
+    return met.select(F.explode(F.transform("_all", told)).alias("_t")).select(*(F.col(f"_t.s.{c}").alias(c) for c in own), "_t.reason")
 
 
 def require_sound(spans: DataFrame, docs: DataFrame) -> DataFrame:

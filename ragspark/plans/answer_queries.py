@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
@@ -220,17 +220,43 @@ def x3_live_status(t: Tables) -> DataFrame:
     return ingest.current_status(spark, f"{folder}/states").select("doc_id", "status", "error", "n_pages", "n_chunks")
 
 
-@query(f"WITH RECURSIVE {walk_sql(((1000, 200),))}, first AS (SELECT min(doc_id) AS doc_id FROM documents WHERE lang = 'es' GROUP BY text), n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) SELECT doc_id, 'completed' AS status, coalesce(n, 0)::INT AS n_chunks, coalesce(n, 0) AS n_vectors FROM first LEFT JOIN n USING (doc_id)")
-def x1_x2_ingested(t: Tables) -> DataFrame:
-    """The Spanish documents, ingested as a stream from files, twice over; the second run changes nothing."""
+PARSED = rf"""files AS (SELECT doc_id, 'doc-' || doc_id AS slug, doc_id % 50 = 7 AS broken, doc_id % 10 = 3 AS changed, text FROM documents),
+ first AS (SELECT min(slug) AS slug FROM files WHERE NOT broken GROUP BY text, doc_id % 2), second AS (SELECT min(slug) AS slug FROM files WHERE changed GROUP BY text),
+ parsed AS (SELECT doc_id, slug, regexp_replace(regexp_replace(CASE WHEN slug IN (SELECT slug FROM second) THEN text || ' changed.' ELSE text END, '^\s+', ''), '\s+$', '') AS text FROM files
+  WHERE NOT broken AND (slug IN (SELECT slug FROM first) OR slug IN (SELECT slug FROM second))), {walk_sql(((1000, 200),)).replace("FROM documents", "FROM parsed").replace("JOIN documents", "JOIN parsed")}"""
+
+
+def ingested(t: Tables) -> store.Store:
+    """All documents as files, those of even number Markdown, the others notebooks, of which some are broken; ingested as a
+    stream, then again, which changes nothing, then some that have changed."""
     spark, folder = t.spark, scratch.new_path(t.spark, "ingest")
-    docs = t.documents.filter("lang = 'es'").select("doc_id", "text")
-    docs.write.parquet(f"{folder}/in")
-    held, embed = store.Store(spark, f"{folder}/store", 8), ports.embedder(ports.hash_model(8), 8, errors=True)
-    for run in ("first", "again"):
-        ingest.ingest_stream(spark.readStream.schema(docs.schema).parquet(f"{folder}/in"), held, embed, f"{folder}/{run}").awaitTermination()
+    held, embed = store.Store(spark, f"{folder}/store", 8, parts=8, digits=1), ports.embedder(ports.hash_model(8), 8, errors=True)
+
+    def files(text: Column) -> DataFrame:
+        book = F.to_json(F.struct(F.array(F.struct(F.lit("markdown").alias("cell_type"), text.alias("source"))).alias("cells")))
+        content = F.when(F.col("doc_id") % 2 == 0, text).when(F.col("doc_id") % 50 == 7, F.concat(F.lit('{"cells": ['), text)).otherwise(book)
+        return t.documents.select("doc_id", F.concat(F.lit("doc-"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".ipynb")).alias("name"), content.alias("content"))
+
+    corpus.write_files(files(F.col("text")), f"{folder}/first")
+    corpus.write_files(files(F.concat("text", F.lit(" changed."))).filter("doc_id % 10 = 3"), f"{folder}/second")
+    for run in ("first", "first", "second"):
+        ingest.ingest_files(spark, f"{folder}/{run}", held, embed, scratch.new_path(spark, "checkpoint")).awaitTermination()
+    return held
+
+
+@query(rf"""WITH RECURSIVE {PARSED}, n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) SELECT slug AS doc_id, 'completed' AS status, NULL AS error, coalesce(n, 0)::INT AS n_chunks, coalesce(n, 0) AS n_vectors FROM parsed LEFT JOIN n USING (doc_id)
+ UNION ALL SELECT slug, 'failed', 'ValueError: not a notebook', NULL, 0 FROM files WHERE broken""")
+def x1_x2_ingested(t: Tables) -> DataFrame:
+    """What became of each document: completed, replaced by what it was changed to, or failed."""
+    held = ingested(t)
     n = held.read("vectors").groupBy("doc_id").agg(F.count("*").alias("n_vectors"))
-    return lifecycle.fold(held.read("events")).select("doc_id", "status", "n_chunks").join(n, "doc_id", "left").fillna(0, ["n_vectors"])
+    return lifecycle.fold(held.read("events")).select("doc_id", "status", "error", "n_chunks").join(n, "doc_id", "left").fillna(0, ["n_vectors"])
+
+
+@query(rf"WITH RECURSIVE {PARSED}, {inputs.bm25_sql(chunks='SELECT doc_id * 100000 + ordinal AS chunk_id, substr(text, a + 1, b - a) AS text FROM cut JOIN parsed USING (doc_id)', stemmed=True)} SELECT query_id, rank, score FROM hits")
+def x1_searched(t: Tables) -> DataFrame:
+    """Search of what was ingested, in the index that ingestion has kept up. Chunks' numbers are hashes, so scores stand for them."""
+    return ingested(t).index.search(inputs.passages(t)).select("query_id", "rank", "score")
 
 
 @query("SELECT item_id::VARCHAR AS id, text AS query, item_id % 2 = 0 AS answerable, (SELECT count(*) FROM benchmark)::INT AS n FROM benchmark")

@@ -75,7 +75,7 @@ def r9_bm25_stemmed(t: Tables) -> DataFrame:
 @query(f"WITH {bm25_sql(stemmed=True)} {HITS}")
 def r9_stored_index(t: Tables) -> DataFrame:
     """Search of a stored index, whose documents were drafts with a word more before they were changed to what they are."""
-    chunks, held = inputs.as_chunks(t).select("chunk_id", "text"), index.TermIndex(t.spark, scratch.new_path(t.spark, "index"))
+    chunks, held = inputs.as_chunks(t).select("chunk_id", "text"), index.TermIndex(t.spark, scratch.new_path(t.spark, "index"), parts=8)
     drafts = chunks.withColumn("text", F.concat(F.lit("draft "), "text"))
     held.change(drafts)
     held.change(chunks, drafts)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ FOLDERS = {"arxiv": "arxiv", "course": "course_notes", "notebook": "notebook", "
 OCR_BELOW, LONGEST_OUTPUT, MOST_MB = 100, 500, 100
 CORPUS_VERSION = 1
 
+#: Files as a stream of them has to be told.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+SEGMENTS = "array<struct<start:int,end:int,extraction:string,page:int>>"
 OUTPUT = "struct<output_type:string,ename:string,evalue:string,text:string,data:map<string,string>>"
 NOTEBOOK = f"cells array<struct<cell_type:string,source:string,outputs:array<{OUTPUT}>>>"
 SPAN = "struct<doc_id:string,char_start:int,char_end:int,quote:string,grade:int>"
@@ -86,6 +93,55 @@ def notebook_parts(spark: SparkSession, path: str) -> DataFrame:
     return cells.select(tx.slug(name).alias("doc_id"), (F.col("_at") + 1).alias("page"), text.alias("text")).filter(F.length("text") > 0)
 
 
+def notebook_texts(files: DataFrame) -> DataFrame:
+    """(path, text, segments, error) of notebook files, as `notebook_parts` and `assemble` give them, each in one row: a
+    file that is no notebook has an error and stops no other."""
+    read = F.from_json(F.make_valid_utf8(F.col("content").cast("string")), f"{NOTEBOOK}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+
+    def part(c: Column, at: Column) -> Column:
+        source, output = tx.strip(F.coalesce(joined_lines(c["source"]), F.lit(""))), useful_output(c["outputs"])
+        code = F.when(output != "", tx.strip(F.concat(source, F.lit("\n\n"), output))).otherwise(source)
+        return F.struct(F.when(c["cell_type"] == "markdown", source).when(c["cell_type"] == "code", code).otherwise("").alias("text"), (at + 1).cast("int").alias("page"))
+
+    def lay(state: Column, p: Column) -> Column:
+        end = state["at"] + F.length(p["text"])
+        segment = F.struct(state["at"].alias("start"), end.alias("end"), F.lit("notebook").alias("extraction"), p["page"].alias("page"))
+        return F.struct((end + 2).alias("at"), F.concat(state["out"], F.array(segment)).alias("out"))
+
+    rows = files.select("path", read.alias("_r"))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | F.col("_r.cells").isNull()
+    rows = rows.select("path", bad.alias("_bad"), F.filter(F.transform("_r.cells", part), lambda p: F.coalesce(p["text"], F.lit("")) != "").alias("_p"))
+    segments = F.aggregate("_p", F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENTS).alias("out")), lay, lambda s: s["out"])
+    return rows.select("path", F.when(~F.col("_bad"), F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n")).alias("text"), F.when(~F.col("_bad"), segments).alias("segments"), F.when(F.col("_bad"), "ValueError: not a notebook").alias("error"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, doc_id, source_type, content_hash, text, segments, error) of files (path, length, content): Markdown and notebooks as
+    text with segments. Every other file has an error, be it too large, of no known type, or of a type that needs a model."""
+    rows = gate(files).withColumns({"source_type": type_by_suffix(F.col("path")), "content_hash": F.sha2("content", 256)})
+    name = F.regexp_extract(F.col("path"), r"([^/]+)\.[^./]+$", 1)
+    told = rows.select("path", tx.slug(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).alias("doc_id"), "source_type", "content_hash", "content", F.when(F.col("reject_reason").isNotNull(), F.concat(F.lit("ValueError: "), "reject_reason")).alias("_refused"))
+    fine = told.filter("_refused is null")
+    texts = markdown(fine.filter("source_type = 'markdown'")).withColumn("error", F.lit(None).cast("string")).unionByName(notebook_texts(fine.filter("source_type = 'notebook'")))
+    out = told.drop("content").join(texts, "path", "left")
+    none = F.when(~F.col("source_type").isin("markdown", "notebook"), F.concat(F.lit("NotImplementedError: no reader of "), "source_type"))
+    return out.withColumn("error", F.coalesce("_refused", "error", none)).drop("_refused")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes (name, content) as files of their own; returns how many. A task that runs again writes the same files anew."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("name", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def route_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     """pages with extraction: `text` where the page's text layer is long enough, else `ocr`."""
     enough = F.length(tx.strip(F.coalesce(F.col(text), F.lit("")))) >= OCR_BELOW
