@@ -45,8 +45,8 @@ def verify(spans: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "
     A text meets the lists of its labels, LABELS at most in each, so it is carried once for many of them."""
     own = [c for c in spans.columns if c != "reason"]
     each = spans.select(F.col(doc).alias("_key"), F.struct(*own).alias("_s"))
-    parts = each.groupBy("_key").agg(F.ceil(F.count("*") / LABELS).alias("_parts"))
-    listed = each.join(parts, "_key").withColumn("_part", F.pmod(F.xxhash64(F.to_json("_s")), F.col("_parts")))
+    parts = each.groupBy(F.col("_key").alias("_of")).agg(F.ceil(F.count("*") / LABELS).alias("_parts"))
+    listed = each.join(parts, F.col("_key").eqNullSafe(F.col("_of"))).withColumn("_part", F.pmod(F.xxhash64(F.to_json("_s")), F.col("_parts")))
     listed = listed.groupBy("_key", "_part").agg(F.collect_list("_s").alias("_all"))
     d = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
 
