@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +85,57 @@ def false_answer_rate(answers: DataFrame, answer: str = "answer") -> DataFrame:
     return answers.filter(~F.col("answerable")).agg(F.count("*").alias("n_unanswerable"), F.avg((~refused).cast("int")).alias("false_answer_rate"))
 
 
-def bootstrap(scores: DataFrame, metric: str, replicates: int = 1000, level: float = 0.95, query: str = "query_id", by: str = "retriever") -> DataFrame:
-    """(by, mean, low, high): percentile interval of the mean. Each query gets a Poisson(1) weight in each replicate from
-    a hash of both, so that replicates need no shuffle of the queries and repeat exactly."""
-    u = (F.pmod(F.xxhash64(query, "_b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+def poisson_steps(most: int = 12) -> list[float]:
+    """The chances of at most 0, 1, 2 and so on of a Poisson(1) variable; the rest has a chance of under 1e-9."""
     total, steps, term = 0.0, [], 0.36787944117144233
-    for n in range(12):  # the rest has a chance of under 1e-9
+    for n in range(most):
         total += term
         steps.append(total)
         term /= n + 1
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    rows = scores.filter(F.col(metric).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight)
-    means = rows.groupBy(by, "_b").agg((F.sum(F.col("_w") * F.col(metric)) / F.sum("_w")).alias("_m"))
-    tail = (1 - level) / 2
-    bounds = means.groupBy(by).agg(F.percentile("_m", tail).alias("low"), F.percentile("_m", 1 - tail).alias("high"))
+    return steps
+
+
+def bootstrap(scores: DataFrame, metric: str, replicates: int = 1000, level: float = 0.95, query: str = "query_id", by: str = "retriever") -> DataFrame:
+    """(by, mean, low, high): percentile interval of the mean. Each query gets a Poisson(1) weight in each replicate from
+    a digest of both, so that results repeat exactly: 8 hexadecimal digits of the MD5 of the query and the replicate's group of four.
+
+    Replicates are an array: a task sums the weighted scores of its rows for all of them, and the sums, a row for each task and
+    group, are added in two steps."""
+    steps, names, kind = np.array(poisson_steps()), [by, "sums", "weights"], scores.schema[by].dataType.simpleString()
+
+    def draws(name: str) -> np.ndarray:
+        digests = b"".join(hashlib.md5(f"{name}|{k}".encode(), usedforsecurity=False).digest() for k in range(-(-replicates // 4)))
+        return np.searchsorted(steps, (np.frombuffer(digests, ">u4")[:replicates] + 0.5) / 2**32, "left").astype(float)
+
+    def table(groups: dict) -> pa.RecordBatch:
+        columns = [[k for k in groups], [v[0].tobytes() for v in groups.values()], [v[1].tobytes() for v in groups.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], field), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+
+    field = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict = {}
+        for batch in batches:
+            for group, name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total, held, w = *groups.setdefault(group, (np.zeros(replicates), np.zeros(replicates))), draws(name)
+                total += w * value
+                held += w
+        if groups:
+            yield table(groups)
+
+    def added(rows: pa.Table) -> pa.Table:
+        total, held = (np.frombuffer(b"".join(rows[c].to_pylist())).reshape(-1, replicates).sum(axis=0) for c in names[1:])
+        return pa.Table.from_batches([table({rows[by][0].as_py(): (total, held)})])
+
+    def interval(rows: pa.Table) -> pa.Table:
+        total, held = (np.frombuffer(b"".join(rows[c].to_pylist())).reshape(-1, replicates).sum(axis=0) for c in names[1:])
+        low, high = np.quantile(total[held > 0] / held[held > 0], [(1 - level) / 2, (1 + level) / 2])
+        return pa.table([pa.array([rows[by][0].as_py()], field), pa.array([low]), pa.array([high])], names=[by, "low", "high"])
+
+    rows = scores.filter(F.col(metric).isNotNull()).select(by, F.col(query).cast("string"), F.col(metric).cast("double"))
+    schema = f"`{by}` {kind}, sums binary, weights binary"
+    parts = rows.mapInArrow(sums, schema).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    bounds = parts.groupBy(by, "_part").applyInArrow(added, schema).groupBy(by).applyInArrow(interval, f"`{by}` {kind}, low double, high double")
     return scores.groupBy(by).agg(F.avg(metric).alias("mean")).join(bounds, by)
 
 

@@ -268,9 +268,15 @@ def a19_essential_recall(t: Tables) -> DataFrame:
     return _rounded(evaluate.essential_recall(resolved, hits, 5), "essential_recall")
 
 
-@query()
+_DRAW = " + ".join(f"(u > {s!r})::INT" for s in evaluate.poisson_steps())
+
+
+@query(f"""WITH {RUNS}, draws AS (SELECT retriever, ndcg, b, (('0x' || substr(md5(query_id::VARCHAR || '|' || b // 4), b % 4 * 8 + 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS u FROM runs, (SELECT unnest(range(1000)) AS b) WHERE ndcg IS NOT NULL),
+ means AS (SELECT retriever, b, sum(({_DRAW}) * ndcg) / sum({_DRAW}) AS m FROM draws GROUP BY ALL),
+ bounds AS (SELECT retriever, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY retriever)
+ SELECT retriever, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT retriever, avg(ndcg) AS mean FROM runs GROUP BY retriever) JOIN bounds USING (retriever)""")
 def a21_bootstrap(t: Tables) -> DataFrame:
-    return evaluate.bootstrap(run_scores(t), "ndcg")
+    return _rounded(evaluate.bootstrap(run_scores(t), "ndcg"), "mean", "low", "high")
 
 
 @query(f"WITH {dense_sql('inner', 10)} SELECT h.query_id, h.chunk_id, rank, score, (a.label = b.label)::INT AS grade FROM hits h JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id")
