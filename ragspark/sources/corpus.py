@@ -189,10 +189,22 @@ def read_frozen(spark: SparkSession, path: str, text: str = "text") -> DataFrame
     return docs.withColumn(text, F.when(same, F.col(text)).otherwise(F.raise_error(F.concat(F.lit("frozen text has drifted: "), F.col("doc_id").cast("string")))))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files. A file is read in as many splits as it has; a line's number is its place in its
+    split plus the lines of the splits before, which are counted first. No file is ever one row."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    blocks = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_path", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int")
+    name = F.url_decode(F.replace(F.col("_path"), F.lit("+"), F.lit("%2B")))
+    return rows.join(blocks, ["_path", "_block"]).select(name.alias("file"), number.alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
 def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of files with one JSON object a line. Rows have the line's number; problems name file and line."""
-    lines = spark.read.text(path, wholetext=True).select(read_from().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("_at", "line"))
-    lines = lines.filter(F.trim("line") != "").select("file", (F.col("_at") + 1).alias("line_no"), F.from_json("line", DATASET + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "line")
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "").select("file", "line_no", "line")
+    lines = lines.select("file", "line_no", F.from_json("line", DATASET + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "line")
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | F.col("r.id").isNull()
     return lines.filter(~bad).select("line_no", "r.*").drop("_corrupt"), lines.filter(bad).select("file", "line_no", "line")
 

@@ -151,6 +151,23 @@ def test_hashes_are_looked_up_by_their_beginning(spark, tmp_path):
     assert s.held(one).count() == 0 and s.held(rows).count() == 299
 
 
+def test_line_numbers_of_files_in_several_splits(spark, tmp_path):
+    lines = [json.dumps({"id": f"ret-{i:04d}", "query": "q" * (i % 50)}) if i % 7 else "" if i % 2 else "{broken" for i in range(400)]
+    (tmp_path / "a b.jsonl").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "c.jsonl").write_text("\n".join(lines[:90]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for most in ("1000", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        rows, problems = corpus.read_dataset(spark, f"{tmp_path}/*.jsonl")
+        got[most] = sorted((r["line_no"], r["id"], r["query"]) for r in rows.collect()), sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in problems.collect())
+        if most == "1000":
+            assert rows.rdd.getNumPartitions() > 1
+    assert got["1000"] == got[size]
+    assert got[size][0] == sorted((i + 1, f"ret-{i:04d}", "q" * (i % 50)) for n in (400, 90) for i in range(n) if i % 7)
+    assert got[size][1] == sorted((name, i + 1, "{broken") for name, n in (("a b.jsonl", 400), ("c.jsonl", 90)) for i in range(n) if i % 14 == 0)
+
+
 def test_notebooks_by_file_and_by_cell(spark, tmp_path):
     cells = [("markdown", " a\n"), ("code", ["x = 1\n", "y"]), ("raw", "no"), ("markdown", "  "), ("code", "z")]
     (tmp_path / "b.ipynb").write_text(notebook(*cells))
