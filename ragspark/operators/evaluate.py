@@ -26,13 +26,22 @@ def gain(grade: Column, rank: Column) -> Column:
 
 def score_queries(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """queries with n_relevant, n_retrieved, recall, reciprocal_rank, dcg, ndcg and hit at k."""
+    return score_at(queries, hits, grades, (k,), query, item).drop("k")
+
+
+def score_at(queries: DataFrame, hits: DataFrame, grades: DataFrame, ks: tuple[int, ...], query: str = "query_id", item: str = "chunk_id") -> DataFrame:
+    """score_queries for each of several k, told apart by k, in one pass over hits and grades: what is found within each k are
+    sums of the same groups."""
+    gains = lambda place: F.array(*(F.coalesce(F.sum(F.when(F.col(place) <= k, gain(F.col("grade"), F.col(place)))), F.lit(0.0)) for k in ks))
     ideal = grades.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("grade"), item)))
-    ideal = ideal.groupBy(query).agg(F.count("*").alias("n_relevant"), F.sum(F.when(F.col("_r") <= k, gain(F.col("grade"), F.col("_r")))).alias("_ideal"))
-    top, found = F.col("rank") <= k, F.col("grade") > 0
+    ideal = ideal.groupBy(query).agg(F.count("*").alias("n_relevant"), gains("_r").alias("_ideals"))
+    found = F.col("grade") > 0
     got = judged(hits, grades, query, item).groupBy(query).agg(
-        F.count("*").alias("n_retrieved"), F.count_if(top & found).alias("_found"), F.min(F.when(found, F.col("rank"))).alias("_first"), F.sum(F.when(top, gain(F.col("grade"), F.col("rank")))).alias("_dcg"),
+        F.count("*").alias("n_retrieved"), F.array(*(F.count_if((F.col("rank") <= k) & found) for k in ks)).alias("_founds"), F.min(F.when(found, F.col("rank"))).alias("_first"), gains("rank").alias("_dcgs"),
     )
-    rows = queries.join(ideal, query, "left").join(got, query, "left").fillna(0, ["n_relevant", "n_retrieved", "_found", "_dcg"])
+    rows = queries.join(ideal, query, "left").join(got, query, "left").fillna(0, ["n_relevant", "n_retrieved"])
+    each = F.array(*(F.struct(F.lit(k).alias("k"), *(F.coalesce(F.get(c, F.lit(i)), F.lit(0)).alias(c[:-1]) for c in ("_founds", "_dcgs", "_ideals"))) for i, k in enumerate(ks)))
+    rows = rows.select(*queries.columns, "n_relevant", "n_retrieved", "_first", F.explode(each).alias("_e")).select("*", "_e.*").drop("_e")
     given = lambda c: F.when(F.col("n_relevant") > 0, c)
     return rows.withColumns({
         "recall": given(F.col("_found") / F.col("n_relevant")), "reciprocal_rank": given(F.coalesce(1 / F.col("_first"), F.lit(0.0))),
@@ -40,17 +49,18 @@ def score_queries(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int
     }).drop("_found", "_first", "_dcg", "_ideal")
 
 
-def score_runs(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int, retrievers: tuple[str, ...], query: str = "query_id", item: str = "chunk_id", retriever: str = "retriever") -> DataFrame:
-    """score_queries for the hits of several retrievers at once: a run's query is the pair of both."""
+def score_runs(queries: DataFrame, hits: DataFrame, grades: DataFrame, k: int | tuple[int, ...], retrievers: tuple[str, ...], query: str = "query_id", item: str = "chunk_id", retriever: str = "retriever") -> DataFrame:
+    """score_queries for the hits of several retrievers at once: a run's query is the pair of both. Several k: as score_at."""
     run = F.struct(retriever, query).alias("_run")
     of_runs = lambda df: df.withColumn(retriever, F.explode(F.array(*map(F.lit, retrievers))))
-    rows = score_queries(of_runs(queries).withColumn("_run", run), hits.select(run, item, "rank"), of_runs(grades).select(run, item, "grade"), k, "_run", item)
+    score = score_queries if isinstance(k, int) else score_at
+    rows = score(of_runs(queries).withColumn("_run", run), hits.select(run, item, "rank"), of_runs(grades).select(run, item, "grade"), k, "_run", item)
     return rows.drop("_run")
 
 
-def run(queries: DataFrame, hits: DataFrame, labels: DataFrame, docs: DataFrame, chunks: DataFrame, k: int, retrievers: tuple[str, ...]) -> DataFrame:
-    """Scores of several retrievers' hits against labelled spans. Labels that don't match the texts are an error: nothing is
-    scored against broken anchors."""
+def run(queries: DataFrame, hits: DataFrame, labels: DataFrame, docs: DataFrame, chunks: DataFrame, k: int | tuple[int, ...], retrievers: tuple[str, ...]) -> DataFrame:
+    """Scores of several retrievers' hits against labelled spans, at one k or several. Labels that don't match the texts are an
+    error: nothing is scored against broken anchors."""
     return score_runs(queries, hits, spans.grades(spans.resolve(spans.require_sound(labels, docs), chunks)), k, retrievers)
 
 

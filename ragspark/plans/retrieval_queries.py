@@ -216,22 +216,24 @@ def asked(t: Tables) -> DataFrame:
     return rows.join(some, "query_id", "left").fillna(False, ["answerable"])
 
 
-def scores_sql(hits: str, name: str) -> str:
-    p = name
+def scores_sql(hits: str, name: str, k: int = 5, prefix: str = "") -> str:
+    p = prefix or name
     return f"""{p}j AS (SELECT h.*, coalesce(g.grade, 0) AS grade FROM {hits} h LEFT JOIN grades g ON g.query_id = h.query_id AND g.chunk_id = h.chunk_id),
- {p}g AS (SELECT query_id, count(*) AS n_retrieved, count(*) FILTER (rank <= 5 AND grade > 0) AS found, min(rank) FILTER (grade > 0) AS first, sum(grade / log2(rank + 1)) FILTER (rank <= 5) AS dcg FROM {p}j GROUP BY query_id),
- {p}i AS (SELECT query_id, count(*) AS n_relevant, sum(grade / log2(r + 1)) FILTER (r <= 5) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS r FROM grades) GROUP BY query_id),
+ {p}g AS (SELECT query_id, count(*) AS n_retrieved, count(*) FILTER (rank <= {k} AND grade > 0) AS found, min(rank) FILTER (grade > 0) AS first, sum(grade / log2(rank + 1)) FILTER (rank <= {k}) AS dcg FROM {p}j GROUP BY query_id),
+ {p}i AS (SELECT query_id, count(*) AS n_relevant, sum(grade / log2(r + 1)) FILTER (r <= {k}) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS r FROM grades) GROUP BY query_id),
  {p}s AS (SELECT '{name}' AS retriever, a.*, coalesce(n_relevant, 0) AS n_relevant, coalesce(n_retrieved, 0) AS n_retrieved, CASE WHEN n_relevant > 0 THEN coalesce(found, 0) / n_relevant END AS recall,
   CASE WHEN n_relevant > 0 THEN coalesce(1 / first, 0) END AS reciprocal_rank, CASE WHEN n_relevant > 0 THEN coalesce(dcg, 0) END AS dcg, CASE WHEN n_relevant > 0 THEN coalesce(dcg, 0) / ideal END AS ndcg, CASE WHEN n_relevant > 0 THEN (coalesce(found, 0) > 0)::INT END AS hit
   FROM asked a LEFT JOIN {p}g g ON g.query_id = a.query_id LEFT JOIN {p}i i ON i.query_id = a.query_id)"""
 
 
-def run_scores(t: Tables) -> DataFrame:
-    """Scores of the lexical and the hybrid run, by query."""
+def run_scores(t: Tables, k: int | tuple[int, ...] = 5) -> DataFrame:
+    """Scores of the lexical and the hybrid run, by query, once all labels have been found in the texts."""
     q = t.benchmark.select(F.col("item_id").alias("query_id"), *_kinds())
     names = ("lexical", "hybrid")
-    hits = retrieve.runs(with_vectors(t), inputs.as_chunks(t), inputs.vectors(t), names, stemmed=False)
-    return evaluate.score_runs(q, hits, grades(t), 5, names).withColumn("answerable", F.col("n_relevant") > 0)
+    hits = retrieve.runs(with_vectors(t), inputs.as_chunks(t), inputs.vectors(t), names, k if isinstance(k, int) else max(k), stemmed=False)
+    whole = t.documents.select("doc_id", F.col("doc_id").alias("chunk_id"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"))
+    labels = scratch.written(inputs.spans(t), "labels")
+    return evaluate.run(q, hits, labels, t.documents, whole, k, names).withColumn("answerable", F.col("n_relevant") > 0)
 
 
 RUNS = f"{bm25_sql()}, {HYBRID}, {GRADES}, {ASKED}, {scores_sql('hits', 'lexical')}, {scores_sql('fhits', 'hybrid')}, runs AS (SELECT * FROM lexicals UNION ALL SELECT * FROM hybrids)"
@@ -246,6 +248,18 @@ def a2_a5_query_scores(t: Tables) -> DataFrame:
     return _rounded(run_scores(t), "recall", "reciprocal_rank", "dcg", "ndcg")
 
 
+AT = (1, 3, 5, 10)
+
+
+@query(f"""WITH {bm25_sql(k=10)}, {bm25_sql(k=40, prefix='l')}, {dense_sql('l2_cosine', 40, queries='SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id', prefix='d')}, {fuse_sql(['lhits', 'dhits'], 10)}, {GRADES}, {ASKED},
+ {", ".join(scores_sql(hits, name, k, f"{name}{k}") for k in AT for hits, name in (("hits", "lexical"), ("fhits", "hybrid")))}
+ {" UNION ALL ".join(f"SELECT retriever, {k} AS k, count(*) AS n_queries, round(avg(recall), 9) AS recall, round(avg(reciprocal_rank), 9) AS reciprocal_rank, round(avg(ndcg), 9) AS ndcg, round(avg(hit), 9) AS hit FROM {name}{k}s GROUP BY retriever" for k in AT for name in ("lexical", "hybrid"))}""")
+def a2_a7_at_several_k(t: Tables) -> DataFrame:
+    """Means of each run at several k, from one pass."""
+    out = run_scores(t, AT).groupBy("retriever", "k").agg(F.count("*").alias("n_queries"), *(F.avg(c).alias(c) for c in ("recall", "reciprocal_rank", "ndcg", "hit")))
+    return _rounded(out, "recall", "reciprocal_rank", "ndcg", "hit")
+
+
 SUMMARY = "count(*) AS n_queries, round(avg(recall), 9) AS recall, round(avg(reciprocal_rank), 9) AS reciprocal_rank, round(avg(ndcg), 9) AS ndcg, count(*) FILTER (NOT answerable AND n_retrieved > 0) AS n_unanswerable_with_results FROM runs"
 
 
