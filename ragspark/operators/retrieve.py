@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
@@ -186,20 +186,20 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     token counts again; a chunk qualifies by any term; a query without terms has no hits.
 
     Chunks' words meet the queries' terms before anything is shuffled (stems: the words that have them, found in the
-    vocabulary), and are counted by chunk within the task that read it. That one pass writes what the search goes by, and counts
-    the chunks and their words; `best_by_bm25` does the rest."""
+    vocabulary), and are counted by chunk within the task that read it. That one pass writes what the search goes by, with a row
+    of an empty term for each chunk, from which chunks and words are counted; `best_by_bm25` does the rest."""
     bag, phrases = query_terms(queries, stemmed, query, query_text), query_phrases(queries, stemmed, query, query_text)
     tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
-    sizes = Observation()
-    seen = tokens.withColumn("len", F.size("_t")).observe(sizes, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     units = named_phrases(phrases, query)
     terms = bag.select("term").unionByName(phrases.select("term")).distinct()
     wanted = _surface(chunks, terms, text) if stemmed else terms.withColumn("word", F.col("term"))
+    wanted = wanted.unionByName(wanted.sparkSession.createDataFrame([("", "")], "word string, term string"))
     # outer: else Spark filters chunks by their number of words first, and so finds the words twice; the join drops the nulls
-    met = seen.select(key, "len", F.posexplode_outer("_t").alias("pos", "word")).join(wanted, "word")
+    met = tokens.select(key, F.size("_t").alias("len"), F.posexplode_outer(F.concat(F.array(F.lit("")), "_t")).alias("pos", "word")).join(wanted, "word")
     held = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"), F.collect_list("pos").alias("places"))
     held = written(held, "held")
-    return best_by_bm25(bag, phrases, units, held, sizes.get["n"], sizes.get["total"], k, query, key)
+    n, total = held.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0))).first()
+    return best_by_bm25(bag, phrases, units, held.filter("term <> ''"), n, total, k, query, key)
 
 
 def named_phrases(phrases: DataFrame, query: str = "query_id") -> DataFrame:
