@@ -302,6 +302,7 @@ def rescored(docs: DataFrame, pairs: DataFrame, asked: DataFrame, n: int, total:
     """(item, id, score) above 0 of pairs (item, id), exactly, from the documents' whole texts."""
     pairs = written(pairs.select("item", "id").distinct(), "pairs")
     each, turns = dealt(asked)
+    each = written(each, "dealt")  # by itself, so that the pairs of an item that very many documents may hold can be split where they meet it
     buckets = 1 + pairs.count() // 4096
     bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(buckets)).cast("int").alias("bucket")
     left = pairs.join(each.select("item", "terms", "turn"), "item").select("item", "id", "terms", "turn", bucket)
