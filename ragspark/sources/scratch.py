@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that this process has made for its own tables; they are removed when it ends.
+#: Paths that this process has made for its own tables, and temporary folders of its local sessions; they are removed when it ends.
 _MADE: list[str] = []
+_LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
+        _LOCAL.append(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -54,3 +57,5 @@ def _clean() -> None:
             remove(spark, *_MADE)
         except Exception:  # noqa: BLE001  the session or its store is gone already; nothing more can be done here
             pass
+    for folder in _LOCAL:
+        shutil.rmtree(folder, ignore_errors=True)
