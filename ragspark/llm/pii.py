@@ -23,6 +23,8 @@ leftmost wins, then the order of KINDS (what fails validation hides nothing that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,12 +217,15 @@ def email(value: Column, key: str) -> tuple[Column, Column]:
     """The local part keeps its form. A character moves within its kind by a keyed stream that depends on the form, the
     domain and all characters before it, so the map is a bijection."""
     at = F.instr(value, "@")
-    local, domain = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.length(value))
-    n, salt = F.length(local), F.lower(domain)
+    domain = F.substring(value, at, F.length(value))
     # by parts, as the stream goes back to the first character for each one; nearly all addresses are one part
-    part = lambda i: _permuted_form(F.substring(local, i * TOGETHER + 1, F.lit(TOGETHER)), F.when(n <= TOGETHER, salt).otherwise(F.concat_ws("|", salt, i)), key, "email")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / TOGETHER).cast("int"))), part)
-    return n > 0, F.concat(F.array_join(parts, ""), domain)
+    parts = F.regexp_extract_all(F.substring(value, F.lit(1), at - 1), F.lit(f"(?s).{{1,{TOGETHER}}}"), F.lit(0))
+
+    def permuted(x: Column) -> Column:
+        salt = lambda i: F.when(F.size(x["parts"]) == 1, x["salt"]).otherwise(F.concat_ws("|", x["salt"], i))
+        return F.array_join(F.transform(x["parts"], lambda part, i: _permuted_form(part, salt(i), key, "email")), "")
+
+    return at > 1, F.concat(_bound(F.struct(parts.alias("parts"), F.lower(domain).alias("salt")), permuted), domain)
 
 
 def _permuted_form(local: Column, salt: Column, key: str, name: str) -> Column:
@@ -228,9 +233,16 @@ def _permuted_form(local: Column, salt: Column, key: str, name: str) -> Column:
     form = local
     for kind, letters in ALPHABETS.items():
         form = F.regexp_replace(form, f"[{letters}]", kind)
-    for n in range(2):
-        local = _stream(local, F.concat_ws("|", form, salt), key, f"{name}{n}", n)
-    return local
+
+    def streams(x: Column) -> Column:
+        return _stream(_stream(x["local"], x["salt"], key, f"{name}0", 0), x["salt"], key, f"{name}1", 1)
+
+    return _bound(F.struct(local.alias("local"), F.concat_ws("|", form, salt).alias("salt")), streams)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once, however often f asks for it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _stream(local: Column, salt: Column, key: str, name: str, number: int) -> Column:

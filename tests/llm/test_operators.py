@@ -341,7 +341,10 @@ def test_very_long_runs(spark):
     n = 100_000
     mails = ["a@" + "b." * n + "1", "a" * n + "@b.com", "a" * 64 + "@b.com"]
     got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), KEY, counts="kinds").collect()}
-    assert [got[i]["kinds"] for i in range(3)] == [[], [], ["email"]] and [got[i]["text"] for i in range(2)] == mails[:2]
+    assert [got[i]["kinds"] for i in range(3)] == [["email"]] * 3
+    for i, x in enumerate(mails):  # whatever the lengths, the part before the sign is replaced and all else stays
+        local, domain = got[i]["text"].split("@", 1)
+        assert domain == x.split("@", 1)[1] and len(local) == x.index("@") and (i == 0 or "aaaaaaaa" not in local)
     hosts = ["a." * n + "com", "a-" * n, "AKIA" + "A" * 16 + " secret=abcdef x." + "y." * 50 + "amazonaws.com"]
     found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string")).collect()}
     assert found == {0: [], 1: [], 2: [1, 0, 5]}
