@@ -107,3 +107,23 @@ def test_data_sets_count_what_they_write(spark, tmp_path):
     assert corpus.write_dataset(rows, f"{tmp_path}/d") == 2
     read, problems = corpus.read_dataset(spark, f"{tmp_path}/d")
     assert {(r["id"], r["query"]) for r in read.collect()} == {("ret-0001", "q"), ("ret-0002", "r\nx")} and problems.count() == 0
+
+
+def test_dense_search_meets_in_many_partitions(spark):
+    """Blocks of both sides land in one task by the type of their keys too, which one coalesced partition would hide."""
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 3 if i % 10 else None) for i, v in enumerate(x)], "chunk_id long, embedding array<double>, label int")
+    queries = vectors.filter("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        every = retrieve.dense_top_k(queries, vectors, 4, "inner").collect()
+        own = retrieve.dense_top_k(queries, vectors, 4, "inner", within="label").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for hits, labels in ((every, [0] * 60), (own, [i % 3 if i % 10 else None for i in range(60)])):
+        got = {(h["query_id"], h["rank"]): h["chunk_id"] for h in hits}
+        wanted = {}
+        for q in range(0, 60, 5):
+            some = [i for i in range(60) if labels[q] is not None and labels[i] == labels[q]]
+            wanted |= {(q, r): i for r, i in enumerate(sorted(some, key=lambda i: (-round(float(x[q] @ x[i]), 9), i))[:4], 1)}
+        assert got == wanted
