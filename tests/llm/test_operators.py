@@ -494,3 +494,12 @@ def test_very_many_values_of_one_text(spark):
     began = time.monotonic()
     found = secrets.scan(spark.createDataFrame([(1, links)], "doc_id long, text string")).first()
     assert len(found["spans"]) == 40_000 and time.monotonic() - began < 120
+
+
+def test_secret_names_in_either_case_of_any_letter(spark):
+    """Letters whose other case is an ASCII letter count, as they do in Python: long s, Kelvin sign, i with and without dot."""
+    texts = ["pa\u017f\u017fword=abcdef", "x to\u212aen: abcdef", "AP\u0130_\u212aEY=abcdefg", "ap\u0131key = abcdef", "pa\u00dfword=abcdef"]
+    got = {r["doc_id"]: r["b"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", secrets.joined(F.col("base")).alias("b")).collect()}
+    pattern = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    assert got == {i: ",".join(f"assign:{m.start()}:{m.end()}" for m in pattern.finditer(t)) for i, t in enumerate(texts)}
+    assert [bool(got[i]) for i in range(5)] == [True, True, True, True, False]
