@@ -21,6 +21,8 @@ LOW_CONFIDENCE = 0.15
 PLACES = 9
 #: Chunks of a block of lexical search, and queries that meet it at once.
 CHUNKS, QUERIES = 4_096, 4_096
+#: Words that a search looks for, up to which they are sent to all tasks; more are met in a shuffle.
+WORDS = 200_000
 #: Bytes of vectors or of queries that a task of dense search holds at most, and pairs of both that are worth a task.
 BLOCK_BYTES, PAIRS = 32 << 20, 1 << 24
 
@@ -178,9 +180,9 @@ def phrase_counts(positions: DataFrame, phrases: DataFrame, query: str = "query_
     return whole.groupBy(query, "phrase", key).agg(F.count("*").alias("tf"))
 
 
-def _surface(chunks: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """(word, term): the words of the chunks' vocabulary whose stem is one of the terms."""
-    words = chunks.select(F.explode(F.array_distinct(tx.index_tokens(F.col(text)))).alias("word")).distinct()
+def _surface(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term): the words of the tokens' (_t) vocabulary whose stem is one of the terms."""
+    words = tokens.select(F.explode("_t").alias("word")).distinct()
     return words.select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term")
 
 
@@ -188,23 +190,75 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     """(query, key, score, rank): the k chunks of highest BM25 for the bag of each query's terms and phrases. A repeated
     token counts again; a chunk qualifies by any term; a query without terms has no hits.
 
-    Chunks' words meet the queries' terms before anything is shuffled (stems: the words that have them, found in the
-    vocabulary), and are counted by chunk within the task that read it. That one pass writes what the search goes by, with a row
+    Chunks' words meet the queries' terms before anything is shuffled, if those have been counted as few (stems: the words that
+    have them, found in the vocabulary), and are counted by chunk within the task that read it. That one pass writes what the search goes by, with a row
     of an empty term for each chunk, from which chunks and words are counted; `best_by_bm25` does the rest."""
     bag, phrases = query_terms(queries, stemmed, query, query_text), query_phrases(queries, stemmed, query, query_text)
-    tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
-    units = named_phrases(phrases, query)
+    units, empty = named_phrases(phrases, query), F.array(F.lit(""))
+    if not stemmed:
+        return _bm25_by_units(bag, units, chunks, k, query, key, text)
+    # what costs is to find the words, so it is done once: the vocabulary and the search both go by this table
+    tokens = written(chunks.select(key, tx.index_tokens(F.col(text)).alias("_t")), "tokens")
     terms = bag.select("term").unionByName(phrases.select("term")).distinct()
-    wanted = _surface(chunks, terms, text) if stemmed else terms.withColumn("word", F.col("term"))
-    wanted = wanted.unionByName(wanted.sparkSession.createDataFrame([("", "")], "word string, term string"))
-    # outer: else Spark filters chunks by their number of words first, and so finds the words twice; the join drops the nulls
-    met = tokens.select(key, F.size("_t").alias("len"), F.posexplode_outer(F.concat(F.array(F.lit("")), "_t")).alias("pos", "word")).join(wanted, "word")
-    held = met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"), F.collect_list("pos").alias("places"))
-    held = written(held, "held")
-    n, total = held.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0))).first()
+    wanted = _small(_with_empty(_surface(tokens, terms)))
+    met = tokens.select(key, F.size("_t").alias("len"), F.posexplode_outer(F.concat(empty, "_t")).alias("pos", "word")).join(wanted, "word")
+    if phrases.isEmpty():
+        return _bm25_of(bag, _counted(met, key), k, query, key)
+    held = written(met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"), F.collect_list("pos").alias("places")), "held")
+    n, total = _sizes(held)
     return best_by_bm25(bag, phrases, units, held.filter("term <> ''"), n, total, k, query, key)
 
 
+def _bm25_by_units(bag: DataFrame, units: DataFrame, chunks: DataFrame, k: int, query: str, key: str, text: str) -> DataFrame:
+    """The search where words are terms. A phrase is met as a run of as many words, one more term, so its words' places, of
+    which common ones have very many, are gathered nowhere."""
+    named = _units_bag(bag, units, query)
+    widths = sorted(r[0] for r in units.select(F.size(F.split("unit", " ")).alias("n")).distinct().collect())  # numbers of words
+    tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
+    runs = (_runs_of_words(F.col("_t"), w) for w in widths)
+    wanted = _small(_with_empty(named.select("term").distinct().withColumn("word", F.col("term"))))
+    # outer: else Spark filters chunks by their number of words first, and so finds the words twice; the join drops the nulls
+    met = tokens.select(key, F.size("_t").alias("len"), F.explode_outer(F.concat(F.array(F.lit("")), "_t", *runs)).alias("word")).join(wanted, "word")
+    return _bm25_of(named, _counted(met, key), k, query, key)
+
+
+def _runs_of_words(words: Column, width: int) -> Column:
+    """All runs of so many words, joined by a space. Whole arrays are zipped, as a slice at each word would copy the array for each."""
+    runs, size = F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))), F.size(words)
+    for at in range(1, width):
+        runs = F.zip_with(runs, F.slice(words, at + 1, F.greatest(size - (width - 1), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return runs
+
+
+def _with_empty(wanted: DataFrame) -> DataFrame:
+    """(word, term) with the empty term, of which every chunk has one."""
+    return wanted.select("word", "term").unionByName(wanted.sparkSession.createDataFrame([("", "")], "word string, term string"))
+
+
+def _small(wanted: DataFrame) -> DataFrame:
+    """wanted as a table; broadcast if it has been counted as small, so that the words of all texts need not be shuffled."""
+    wanted = written(wanted, "wanted")
+    return F.broadcast(wanted) if wanted.count() <= WORDS else wanted
+
+
+def _counted(met: DataFrame, key: str) -> DataFrame:
+    return written(met.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), "held")
+
+
+def _sizes(held: DataFrame) -> tuple[int, int]:
+    """Chunks, and words of all of them, by the rows of the empty term."""
+    return tuple(held.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0))).first())
+
+
+def _bm25_of(bag: DataFrame, held: DataFrame, k: int, query: str, key: str) -> DataFrame:
+    return _best(bag, held.filter("term <> ''"), *_sizes(held), k, query, key)
+
+
+def _units_bag(bag: DataFrame, units: DataFrame, query: str) -> DataFrame:
+    """The bag with each phrase as one more term."""
+    return bag.unionByName(units.groupBy(query, F.col("unit").alias("term")).agg(F.count("*").alias("mult")))
+
+
 def named_phrases(phrases: DataFrame, query: str = "query_id") -> DataFrame:
     """(query, phrase, unit): the words of each phrase, joined by a space."""
     return phrases.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda w: w["term"]), " ").alias("unit"))
@@ -214,9 +268,7 @@ def best_by_bm25(bag: DataFrame, phrases: DataFrame, units: DataFrame, held: Dat
     """(query, key, score, rank) of a table (key, len, term, tf, places) of what chunks hold of the queries' terms. n, total:
     chunks, and words of all of them.
 
-    Chunks are dealt by their key into blocks. Each block meets the queries' weights: a term's part of a score is a product of
-    what the query and what the chunk tells of it, so the scores of a block are a sparse matrix product, and only the k best
-    of each query leave the task, whatever share of the chunks a common term is in. A phrase that occurs is one more term."""
+    A phrase that occurs is one more term."""
     if not n or not total:
         return _no_hits(bag, held, query, key)
     counts = held.select(key, "len", "term", "tf")
@@ -224,7 +276,18 @@ def best_by_bm25(bag: DataFrame, phrases: DataFrame, units: DataFrame, held: Dat
         places = held.select(F.struct(key, "len").alias("_c"), F.explode("places").alias("pos"), "term")
         found = phrase_counts(places, phrases, query, "_c").join(units, [query, "phrase"])
         counts = counts.unionByName(found.groupBy("unit", "_c").agg(F.max("tf").alias("tf")).select(f"_c.{key}", "_c.len", F.col("unit").alias("term"), "tf"))
-        bag = bag.unionByName(units.groupBy(query, F.col("unit").alias("term")).agg(F.count("*").alias("mult")))
+        bag = _units_bag(bag, units, query)
+    return _best(bag, counts, n, total, k, query, key)
+
+
+def _best(bag: DataFrame, counts: DataFrame, n: int, total: int, k: int, query: str, key: str) -> DataFrame:
+    """(query, key, score, rank) of a table (key, len, term, tf) that has phrases as terms.
+
+    Chunks are dealt by their key into blocks. Each block meets the queries' weights: a term's part of a score is a product of
+    what the query and what the chunk tells of it, so the scores of a block are a sparse matrix product, and only the k best
+    of each query leave the task, whatever share of the chunks a common term is in."""
+    if not n or not total:
+        return _no_hits(bag, counts, query, key)
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = bag.join(df, "term").select(query, "term", (F.col("mult") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)).alias("_w"))
@@ -270,7 +333,7 @@ def best_by_bm25(bag: DataFrame, phrases: DataFrame, units: DataFrame, held: Dat
         take = lambda coded, at: coded.dictionary.take(pa.array(np.concatenate(at).astype(np.int64)))
         return pa.table([take(own, names), take(held_keys, items), pa.array(np.concatenate(scores))], names=[query, key, "score"])
 
-    kinds = bag.schema[query].dataType.simpleString(), held.schema[key].dataType.simpleString()
+    kinds = bag.schema[query].dataType.simpleString(), counts.schema[key].dataType.simpleString()
     found = left.groupBy("_block", "_turn").cogroup(right.groupBy("_block", "_turn")).applyInArrow(meet, f"{query} {kinds[0]}, {key} {kinds[1]}, score double")
     return top_k(found, k, query, key)
 

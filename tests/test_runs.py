@@ -127,3 +127,16 @@ def test_dense_search_meets_in_many_partitions(spark):
             some = [i for i in range(60) if labels[q] is not None and labels[i] == labels[q]]
             wanted |= {(q, r): i for r, i in enumerate(sorted(some, key=lambda i: (-round(float(x[q] @ x[i]), 9), i))[:4], 1)}
         assert got == wanted
+
+
+def test_phrases_gather_no_places(spark, monkeypatch):
+    """Unstemmed phrases are runs of words, one more term each; joining the places of their words would bring those of a common word together."""
+    monkeypatch.setattr(retrieve, "phrase_counts", None)
+    texts = ["a b c", "a b a b", "c b a", "a", "", "x a a b c a b c", "b c"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    asked = {0: "a_b", 1: "a_b_c", 2: "c_b_a x", 3: "q_a"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    got = {}
+    for h in retrieve.bm25_top_k(queries, chunks, 10, stemmed=False).collect():
+        got.setdefault(h["query_id"], set()).add(h["chunk_id"])
+    assert got == {0: {0, 1, 5}, 1: {0, 5}, 2: {2, 5}}
