@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
 from ragspark.functions.stem import stem, with_stems
-from ragspark.sources.scratch import written
+from ragspark.sources.scratch import FEW, few, written
 
 #: Candidates of each arm, the fusion constant, hits returned, and the parameters of BM25.
 CANDIDATES, RRF_K, TOP_K, RERANK_TOP_K = 40, 60, 5, 4
@@ -22,7 +25,9 @@ PLACES = 9
 #: Chunks of a block of lexical search, and queries that meet it at once.
 CHUNKS, QUERIES = 4_096, 4_096
 #: Words that a search looks for, up to which they are sent to all tasks; more are met in a shuffle.
-WORDS = 200_000
+WORDS = FEW
+#: Rows of what chunks hold that a batch has, about.
+ROWS = 100_000
 #: Bytes of vectors or of queries that a task of dense search holds at most, and pairs of both that are worth a task.
 BLOCK_BYTES, PAIRS = 32 << 20, 1 << 24
 
@@ -180,69 +185,122 @@ def phrase_counts(positions: DataFrame, phrases: DataFrame, query: str = "query_
     return whole.groupBy(query, "phrase", key).agg(F.count("*").alias("tf"))
 
 
+def words_of_chunks(tokens: DataFrame, known: dict[str, str] | None = None, widths: tuple[int, ...] = (), places: bool = False, empty: bool = True) -> DataFrame:
+    """(key, len, word, tf, places): what each chunk holds, from a table (key, `tx.spaced_tokens`). known: words to look for, all if it
+    is not given, and what stands for each; widths: runs of so many words are words too. places: where words stand,
+    else null. empty: a row of an empty word for each chunk.
+
+    Words are counted where the text is read, a text at a time, so no row is made for each place."""
+    key, sent = tokens.columns[0], None if known is None else tokens.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if sent is None else sent.value
+        for batch in batches:
+            whose, sizes, words, counts, spots = [], [], [], [], []
+            for at, text in enumerate(map(pa.StringScalar.as_py, batch.column(1))):
+                listed = text.split(" ") if text else []
+                if not text.isascii():
+                    listed = [w if w.isascii() else w.translate(tx.FOLD) for w in listed]
+                if places:
+                    found = {}
+                    for pos, w in enumerate(listed):
+                        found.setdefault(w, []).append(pos)
+                else:
+                    found = Counter(listed)
+                    for width in widths:
+                        found.update(map(" ".join, zip(*(listed[k:] for k in range(width)), strict=False)))
+                held = list(found if wanted is None else found.keys() & wanted.keys())
+                values = [found[w] for w in held]
+                if wanted is not None:
+                    held = [wanted[w] for w in held]
+                    if len(set(held)) < len(held):  # words of one stem
+                        sums: dict = {}
+                        for w, n in zip(held, values, strict=True):
+                            sums[w] = sums[w] + n if w in sums else n
+                        held, values = list(sums), list(sums.values())
+                words += held
+                if empty:
+                    words.append("")
+                    values.append([0] if places else 1)
+                whose += [at] * len(values)
+                sizes += [len(listed)] * len(values)
+                spots += values if places else ()
+                counts += map(len, values) if places else values
+                if words and (len(words) > ROWS or at + 1 == batch.num_rows):
+                    columns = (pa.array(sizes, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(spots, pa.list_(pa.int32())) if places else pa.nulls(len(words), pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), *columns], names=[key, "len", "word", "tf", "places"])
+                    whose, sizes, words, counts, spots = [], [], [], [], []
+
+    return tokens.mapInArrow(run, f"`{key}` {tokens.schema[key].dataType.simpleString()}, len int, word string, tf long, places array<int>")
+
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """(word): the words of a table (key, `tx.spaced_tokens`)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: set[str] = set()
+            for text in batch.column(1):
+                words.update(text.as_py().split(" "))
+            words = {w if w.isascii() else w.translate(tx.FOLD) for w in words} - {""}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+    return tokens.mapInArrow(run, "word string").distinct()
+
+
 def _surface(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term): the words of the tokens' (_t) vocabulary whose stem is one of the terms."""
-    words = tokens.select(F.explode("_t").alias("word")).distinct()
-    return words.select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term")
+    """(word, term): the words of the tokens' vocabulary whose stem is one of the terms."""
+    return vocabulary(tokens).select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term")
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: bool = True, query: str = "query_id", key: str = "chunk_id", query_text: str = "text", text: str = "text") -> DataFrame:
     """(query, key, score, rank): the k chunks of highest BM25 for the bag of each query's terms and phrases. A repeated
     token counts again; a chunk qualifies by any term; a query without terms has no hits.
 
-    Chunks' words meet the queries' terms before anything is shuffled, if those have been counted as few (stems: the words that
-    have them, found in the vocabulary), and are counted by chunk within the task that read it. That one pass writes what the search goes by, with a row
+    Chunks' words are counted within the task that reads them, and meet the queries' terms there if those have been counted as few (stems:
+    the words that have them, found in the vocabulary). That one pass writes what the search goes by, with a row
     of an empty term for each chunk, from which chunks and words are counted; `best_by_bm25` does the rest."""
     bag, phrases = query_terms(queries, stemmed, query, query_text), query_phrases(queries, stemmed, query, query_text)
-    units, empty = named_phrases(phrases, query), F.array(F.lit(""))
+    units, tokens = named_phrases(phrases, query), chunks.select(key, tx.spaced_tokens(F.col(text)).alias("_s"))
     if not stemmed:
-        return _bm25_by_units(bag, units, chunks, k, query, key, text)
+        return _bm25_by_units(bag, units, tokens, k, query, key)
     # what costs is to find the words, so it is done once: the vocabulary and the search both go by this table
-    tokens = written(chunks.select(key, tx.index_tokens(F.col(text)).alias("_t")), "tokens")
+    tokens = written(tokens, "tokens")
     terms = bag.select("term").unionByName(phrases.select("term")).distinct()
-    wanted = _small(_with_empty(_surface(tokens, terms)))
-    met = tokens.select(key, F.size("_t").alias("len"), F.posexplode_outer(F.concat(empty, "_t")).alias("pos", "word")).join(wanted, "word")
+    wanted = _surface(tokens, terms)
     if phrases.isEmpty():
-        return _bm25_of(bag, _counted(met, key), k, query, key)
-    held = written(met.groupBy(key, "len", "term").agg(F.count("*").alias("tf"), F.collect_list("pos").alias("places")), "held")
+        return _bm25_of(bag, _counted(tokens, wanted, key), k, query, key)
+    met = _met(tokens, wanted, places=True).groupBy(key, "len", "term")
+    held = written(met.agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places")), "held")
     n, total = _sizes(held)
     return best_by_bm25(bag, phrases, units, held.filter("term <> ''"), n, total, k, query, key)
 
 
-def _bm25_by_units(bag: DataFrame, units: DataFrame, chunks: DataFrame, k: int, query: str, key: str, text: str) -> DataFrame:
+def _bm25_by_units(bag: DataFrame, units: DataFrame, tokens: DataFrame, k: int, query: str, key: str) -> DataFrame:
     """The search where words are terms. A phrase is met as a run of as many words, one more term, so its words' places, of
     which common ones have very many, are gathered nowhere."""
     named = _units_bag(bag, units, query)
     widths = sorted(r[0] for r in units.select(F.size(F.split("unit", " ")).alias("n")).distinct().collect())  # numbers of words
-    tokens = chunks.select(key, tx.index_tokens(F.col(text)).alias("_t"))
-    runs = (_runs_of_words(F.col("_t"), w) for w in widths)
-    wanted = _small(_with_empty(named.select("term").distinct().withColumn("word", F.col("term"))))
-    # outer: else Spark filters chunks by their number of words first, and so finds the words twice; the join drops the nulls
-    met = tokens.select(key, F.size("_t").alias("len"), F.explode_outer(F.concat(F.array(F.lit("")), "_t", *runs)).alias("word")).join(wanted, "word")
-    return _bm25_of(named, _counted(met, key), k, query, key)
-
-
-def _runs_of_words(words: Column, width: int) -> Column:
-    """All runs of so many words, joined by a space. Whole arrays are zipped, as a slice at each word would copy the array for each."""
-    runs, size = F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))), F.size(words)
-    for at in range(1, width):
-        runs = F.zip_with(runs, F.slice(words, at + 1, F.greatest(size - (width - 1), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return runs
-
-
-def _with_empty(wanted: DataFrame) -> DataFrame:
-    """(word, term) with the empty term, of which every chunk has one."""
-    return wanted.select("word", "term").unionByName(wanted.sparkSession.createDataFrame([("", "")], "word string, term string"))
+    wanted = named.select("term").distinct().withColumn("word", F.col("term"))
+    return _bm25_of(named, _counted(tokens, wanted, key, tuple(widths)), k, query, key)
 
 
-def _small(wanted: DataFrame) -> DataFrame:
-    """wanted as a table; broadcast if it has been counted as small, so that the words of all texts need not be shuffled."""
-    wanted = written(wanted, "wanted")
-    return F.broadcast(wanted) if wanted.count() <= WORDS else wanted
+def _met(tokens: DataFrame, wanted: DataFrame, widths: tuple[int, ...] = (), places: bool = False) -> DataFrame:
+    """(key, len, term, tf, places): what chunks hold of the words (word, term), and of the empty term one each. Words that have been counted as
+    few are sent to the tasks; more are met in a join."""
+    wanted = written(wanted.select("word", "term"), "wanted")
+    if wanted.count() <= WORDS:
+        return words_of_chunks(tokens, dict(map(tuple, wanted.collect())), widths, places).withColumnRenamed("word", "term")
+    wanted = wanted.unionByName(wanted.sparkSession.createDataFrame([("", "")], "word string, term string"))
+    met = words_of_chunks(tokens, None, widths, places).join(wanted, "word").groupBy(tokens.columns[0], "len", "term")
+    return met.agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places"))
 
 
-def _counted(met: DataFrame, key: str) -> DataFrame:
-    return written(met.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), "held")
+def _counted(tokens: DataFrame, wanted: DataFrame, key: str, widths: tuple[int, ...] = ()) -> DataFrame:
+    """(key, len, term, tf). A chunk's rows are summed in its task already; only where chunks share a key are they shuffled to be summed."""
+    met = written(_met(tokens, wanted, widths).select(key, "len", "term", "tf"), "met")
+    n, different = met.filter("term = ''").agg(F.count("*"), F.count_distinct(key)).first()
+    return met if n == different else written(met.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf")), "held")
 
 
 def _sizes(held: DataFrame) -> tuple[int, int]:
@@ -376,8 +434,9 @@ def rerank(candidates: DataFrame, score: Column, k: int = RERANK_TOP_K, query: s
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """hits with the chunks' columns; ids without a chunk are dropped. Text joins last, for the hits only."""
-    return hits.join(chunks.drop("score", "rank"), key)
+    """hits with the chunks' columns; ids without a chunk are dropped. Text joins last, for the hits only, and is not shuffled if
+    they are few."""
+    return few(hits, "hits").join(chunks.drop("score", "rank"), key)
 
 
 def confidence(queries: DataFrame, hits: DataFrame, least: float = LOW_CONFIDENCE, query: str = "query_id") -> DataFrame:

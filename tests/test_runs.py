@@ -140,3 +140,36 @@ def test_phrases_gather_no_places(spark, monkeypatch):
     for h in retrieve.bm25_top_k(queries, chunks, 10, stemmed=False).collect():
         got.setdefault(h["query_id"], set()).add(h["chunk_id"])
     assert got == {0: {0, 1, 5}, 1: {0, 5}, 2: {2, 5}}
+
+
+def test_texts_are_not_shuffled_to_meet_few_hits(spark):
+    chunks = spark.range(50).selectExpr("id as chunk_id", "'a text' as text")
+    hits = spark.range(5).selectExpr("id as query_id", "id * 7 as chunk_id", "1.0d as score", "1 as rank")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = retrieve.hydrate(hits, chunks)
+        assert "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.chunk_id for r in met.collect()) == [0, 7, 14, 21, 28]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    texts = [(1, "Café cafe d'été, the the ﬁne"), (2, ""), (3, None), (4, "RUNS running run d_k 文字 x²")]
+    tokens = spark.createDataFrame(texts, "chunk_id long, text string").select("chunk_id", tx.spaced_tokens(F.col("text")).alias("_s"))
+    met = retrieve.words_of_chunks(tokens, {"cafe": "cafe", "running": "run", "runs": "run", "run": "run", "ete": "ete", "d k": "d k"}, (2,))
+    assert sorted((r.chunk_id, r.len, r.word, r.tf) for r in met.collect()) == [
+        (1, 7, "", 1), (1, 7, "cafe", 2), (1, 7, "ete", 1), (2, 0, "", 1), (3, 0, "", 1), (4, 7, "", 1), (4, 7, "d k", 1), (4, 7, "run", 3),
+    ]
+    every = retrieve.words_of_chunks(tokens, empty=False).groupBy("chunk_id", "word").agg(F.sum("tf").alias("n"))
+    listed = spark.createDataFrame(texts, "chunk_id long, text string").select("chunk_id", F.explode(tx.index_tokens(F.col("text"))).alias("word"))
+    assert sorted(every.collect()) == sorted(listed.groupBy("chunk_id", "word").count().collect())
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_chunks_that_share_a_key_and_many_words_give_the_same_hits(spark, monkeypatch, stemmed):
+    chunks = spark.createDataFrame([(1, "runs running the"), (1, "runs café here"), (2, "run d_k the"), (3, "the other")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(7, "running the café"), (8, "run d_k")], "query_id long, text string")
+    few = sorted(map(tuple, retrieve.bm25_top_k(asked, chunks, stemmed=stemmed).collect()))
+    monkeypatch.setattr(retrieve, "WORDS", 0)
+    assert sorted(map(tuple, retrieve.bm25_top_k(asked, chunks, stemmed=stemmed).collect())) == few and few
