@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.sources.scratch import few
 from ragspark.operators.intervals import overlapping
 
 MIN_OVERLAP = 0.5
@@ -48,7 +49,8 @@ def verify(spans: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "
     parts = each.groupBy(F.col("_key").alias("_of")).agg(F.ceil(F.count("*") / LABELS).alias("_parts"))
     listed = each.join(parts, F.col("_key").eqNullSafe(F.col("_of"))).withColumn("_part", F.pmod(F.xxhash64(F.to_json("_s")), F.col("_parts")))
     listed = listed.groupBy("_key", "_part").agg(F.collect_list("_s").alias("_all"))
-    d = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    labelled = few(each.select("_key").distinct(), "labelled")  # texts without labels go no further
+    d = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(labelled, F.col("_doc") == F.col("_key"), "left_semi")
 
     def told(s: Column) -> Column:
         anchored = F.col("_text").substr(s["char_start"] + 1, s["char_end"] - s["char_start"])

@@ -10,7 +10,8 @@ from ragspark.functions import text as tx
 from ragspark.functions.stem import porter
 from ragspark.operators import chunk, retrieve
 from ragspark.plans import inputs
-from ragspark.sources import corpus
+from ragspark.plans.registry import Tables
+from ragspark.sources import corpus, scratch
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +174,15 @@ def test_chunks_that_share_a_key_and_many_words_give_the_same_hits(spark, monkey
     few = sorted(map(tuple, retrieve.bm25_top_k(asked, chunks, stemmed=stemmed).collect()))
     monkeypatch.setattr(retrieve, "WORDS", 0)
     assert sorted(map(tuple, retrieve.bm25_top_k(asked, chunks, stemmed=stemmed).collect())) == few and few
+
+
+def test_places_of_passages_are_found_once_for_all_that_ask(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "x one two three four five six y"), (2, "one  two\nthree four five six"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "one two three four five six"), (6, "six y"), (7, "absent words that no text has at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    few = inputs.spans(Tables(spark, str(tmp_path)))
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()  # what is asked several times reads found places, not texts
+    want = [(5, 1, 2, 29, "one two three four five six", 2), (6, 1, 26, 31, "six y", 2)]
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(scratch, "FEW", 0)
+    assert sorted(map(tuple, inputs.spans(Tables(spark, str(tmp_path))).collect())) == want
