@@ -175,3 +175,10 @@ def test_notebooks_by_file_and_by_cell(spark, tmp_path):
     row = corpus.notebook_texts(corpus.scan_files(spark, str(tmp_path))).first()
     assert row["text"] == docs.first()["text"] and row["error"] is None
     assert [tuple(x) for x in row["segments"]] == sorted((x["start"], x["end"], x["extraction"], x["page"]) for x in segments.collect())
+
+
+def test_many_files_are_listed_in_few_tasks(spark):
+    own = ingest.for_small_files(spark)
+    assert int(own.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 4 * spark.sparkContext.defaultParallelism
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 10_000
