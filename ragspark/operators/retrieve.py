@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
-from ragspark.functions.stem import stem, with_stems
+from ragspark.functions.stem import stem, with_stems, words_of
 from ragspark.sources.scratch import FEW, few, written
 
 #: Candidates of each arm, the fusion constant, hits returned, and the parameters of BM25.
@@ -185,16 +185,17 @@ def phrase_counts(positions: DataFrame, phrases: DataFrame, query: str = "query_
     return whole.groupBy(query, "phrase", key).agg(F.count("*").alias("tf"))
 
 
-def words_of_chunks(tokens: DataFrame, known: dict[str, str] | None = None, widths: tuple[int, ...] = (), places: bool = False, empty: bool = True) -> DataFrame:
+def words_of_chunks(tokens: DataFrame, known: dict[str, str] | None = None, widths: tuple[int, ...] = (), places: bool = False, empty: bool = True, stems: list[str] | None = None) -> DataFrame:
     """(key, len, word, tf, places): what each chunk holds, from a table (key, `tx.spaced_tokens`). known: words to look for, all if it
     is not given, and what stands for each; widths: runs of so many words are words too. places: where words stand,
-    else null. empty: a row of an empty word for each chunk.
+    else null. empty: a row of an empty word for each chunk. stems: instead of known, stems whose words are looked for.
 
     Words are counted where the text is read, a text at a time, so no row is made for each place."""
-    key, sent = tokens.columns[0], None if known is None else tokens.sparkSession.sparkContext.broadcast(known)
+    key, sent = tokens.columns[0], None if known is None and stems is None else tokens.sparkSession.sparkContext.broadcast(known if stems is None else stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if sent is None else sent.value
+        wanted = None if sent is None or stems is not None else sent.value
+        of_stems = None if stems is None else words_of(sent.value)
         for batch in batches:
             whose, sizes, words, counts, spots = [], [], [], [], []
             for at, text in enumerate(map(pa.StringScalar.as_py, batch.column(1))):
@@ -209,6 +210,8 @@ def words_of_chunks(tokens: DataFrame, known: dict[str, str] | None = None, widt
                     found = Counter(listed)
                     for width in widths:
                         found.update(map(" ".join, zip(*(listed[k:] for k in range(width)), strict=False)))
+                if of_stems is not None:
+                    wanted = of_stems(found)
                 held = list(found if wanted is None else found.keys() & wanted.keys())
                 values = [found[w] for w in held]
                 if wanted is not None:
@@ -257,21 +260,23 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, stemmed: b
     """(query, key, score, rank): the k chunks of highest BM25 for the bag of each query's terms and phrases. A repeated
     token counts again; a chunk qualifies by any term; a query without terms has no hits.
 
-    Chunks' words are counted within the task that reads them, and meet the queries' terms there if those have been counted as few (stems:
-    the words that have them, found in the vocabulary). That one pass writes what the search goes by, with a row
+    Chunks' words are counted within the task that reads them, and meet the queries' terms there if those have been counted as few (stems
+    of words that begin as one of the terms are told there too; of many terms the words are found in the vocabulary). That one pass writes what the search goes by, with a row
     of an empty term for each chunk, from which chunks and words are counted; `best_by_bm25` does the rest."""
     bag, phrases = query_terms(queries, stemmed, query, query_text), query_phrases(queries, stemmed, query, query_text)
     units, tokens = named_phrases(phrases, query), chunks.select(key, tx.spaced_tokens(F.col(text)).alias("_s"))
     if not stemmed:
         return _bm25_by_units(bag, units, tokens, k, query, key)
-    # what costs is to find the words, so it is done once: the vocabulary and the search both go by this table
-    tokens = written(tokens, "tokens")
-    terms = bag.select("term").unionByName(phrases.select("term")).distinct()
-    wanted = _surface(tokens, terms)
-    if phrases.isEmpty():
-        return _bm25_of(bag, _counted(tokens, wanted, key), k, query, key)
-    met = met_words(tokens, wanted, places=True).groupBy(key, "len", "term")
-    held = written(met.agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places")), "held")
+    terms = written(bag.select("term").unionByName(phrases.select("term")).distinct(), "terms")
+    plain = phrases.isEmpty()
+    if terms.count() <= WORDS:
+        met = words_of_chunks(tokens, places=not plain, stems=[r[0] for r in terms.collect()]).withColumnRenamed("word", "term")
+    else:  # what costs is to find the words, so it is done once: the vocabulary and the search both go by this table
+        tokens = written(tokens, "tokens")
+        met = met_words(tokens, _surface(tokens, terms), places=not plain)
+    if plain:
+        return _bm25_of(bag, _counted(met, key), k, query, key)
+    held = written(met.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places")), "held")
     n, total = _sizes(held)
     return best_by_bm25(bag, phrases, units, held.filter("term <> ''"), n, total, k, query, key)
 
@@ -282,7 +287,7 @@ def _bm25_by_units(bag: DataFrame, units: DataFrame, tokens: DataFrame, k: int,
     named = _units_bag(bag, units, query)
     widths = sorted(r[0] for r in units.select(F.size(F.split("unit", " ")).alias("n")).distinct().collect())  # numbers of words
     wanted = named.select("term").distinct().withColumn("word", F.col("term"))
-    return _bm25_of(named, _counted(tokens, wanted, key, tuple(widths)), k, query, key)
+    return _bm25_of(named, _counted(met_words(tokens, wanted, tuple(widths)), key), k, query, key)
 
 
 def met_words(tokens: DataFrame, wanted: DataFrame, widths: tuple[int, ...] = (), places: bool = False) -> DataFrame:
@@ -296,9 +301,9 @@ def met_words(tokens: DataFrame, wanted: DataFrame, widths: tuple[int, ...] = ()
     return met.agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places"))
 
 
-def _counted(tokens: DataFrame, wanted: DataFrame, key: str, widths: tuple[int, ...] = ()) -> DataFrame:
+def _counted(met: DataFrame, key: str) -> DataFrame:
     """(key, len, term, tf). A chunk's rows are summed in its task already; only where chunks share a key are they shuffled to be summed."""
-    met = written(met_words(tokens, wanted, widths).select(key, "len", "term", "tf"), "met")
+    met = written(met.select(key, "len", "term", "tf"), "met")
     n, different = met.filter("term = ''").agg(F.count("*"), F.count_distinct(key)).first()
     return met if n == different else written(met.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf")), "held")
 

@@ -186,3 +186,17 @@ def test_places_of_passages_are_found_once_for_all_that_ask(spark, tmp_path, mon
     assert sorted(map(tuple, few.collect())) == want
     monkeypatch.setattr(scratch, "FEW", 0)
     assert sorted(map(tuple, inputs.spans(Tables(spark, str(tmp_path))).collect())) == want
+
+
+def test_words_of_stems_are_found_in_one_pass(spark, monkeypatch):
+    """Few stems are told where texts are read; no vocabulary is gathered, shuffled and stemmed before."""
+    from ragspark.functions.stem import porter, words_of
+
+    words = ["runs", "running", "run", "rye", "ays", "ies", "aed", "eying", "any", "relational", "relate", "is", "", "x1", "flies", "fly", "dying"]
+    for stems in ({"run", "relat", "fli"}, {"i", "a", "ai"}, {porter(w) for w in words}):
+        assert words_of(stems)(words) == {w: porter(w) for w in words if porter(w) in stems}
+    monkeypatch.setattr(retrieve, "vocabulary", None)
+    chunks = spark.createDataFrame([(1, "runs running the"), (2, "café flies"), (3, "run_fly other")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(7, "runner ran running"), (8, "cafe fly"), (9, "runs_fly")], "query_id long, text string")
+    hits = {(h["query_id"], h["chunk_id"]) for h in retrieve.bm25_top_k(asked, chunks).collect()}
+    assert hits == {(7, 1), (7, 3), (8, 2), (8, 3), (9, 3)}
