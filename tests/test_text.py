@@ -100,3 +100,13 @@ def test_duplicates_and_collisions(spark):
     stored = spark.createDataFrame([("z", "h9")], "doc_id string, content_hash string")
     assert {(r["doc_id"], r["content_hash"]) for r in corpus.first_by_hash(rows, stored).collect()} == {("b", "h1"), ("c", "h2"), ("c", "h3")}
     assert {r["doc_id"] for r in corpus.id_collisions(rows, stored).collect()} == {"c"}
+
+
+def test_texts_are_normalised_in_their_batches():
+    import pyarrow as pa
+
+    texts = ["plain", None, "", "ﬁne x²", "é"] * 40
+    got = tx.nfkc.func(pa.array(texts, pa.string()))
+    assert got.to_pylist() == ["plain", None, "", "fine x2", "é"] * 40
+    assert tx.nfkc.func(pa.array([], pa.string())).to_pylist() == []
+    assert tx.nfkc.func(pa.array([None, "a"], pa.string()).slice(1)).to_pylist() == ["a"]
