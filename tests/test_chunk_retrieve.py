@@ -149,3 +149,16 @@ def test_store(spark, tmp_path):
     assert store.disagreements(*(s.read(t) for t in store.TABLES)).count() == 0
     assert s.delete(spark.createDataFrame([("b",)], "doc_id string")) == 2
     assert {t: s.read(t).count() for t in store.TABLES} == dict.fromkeys(store.TABLES, 1)
+
+
+def test_sentence_chunks_go_out_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    ran, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, *a, **k: ran.append(run) or plain(self, run, *a, **k))
+    monkeypatch.setattr(chunk, "AT_ONCE", 5)
+    chunk.sentence_chunks(spark.createDataFrame([(1, "a")], "page_number long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([["One two."], ["Three four."], [], ["x"]])], names=["k", "s"])
+    out = list(ran[0](iter([batch])))
+    assert len(out) == 3 and [x for b in out for x in b.column(0).to_pylist()] == [1, 2, 4]
