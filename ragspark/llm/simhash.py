@@ -338,25 +338,30 @@ def _for_each_salt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).hint("merge")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether these different pairs (u, v) are stars with v in the middle, which a round of stars leaves as they are: no u has two
+    v, and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("outer")), F.struct(F.col("v").alias("node"), F.lit(0).alias("outer")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("outer").alias("outer"), F.min("outer").alias("least"))
+    return not nodes.agg(F.count_if(F.expr("outer > 1 or outer = 1 and least = 0"))).first()[0]
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) for each node of the pairs (a, b): the smallest node reachable, by rounds of large and small stars.
+    """(node, root) for each node of the pairs (a, b): the smallest node reachable, by rounds of large and small stars
+    until all pairs are stars.
 
     A round's tables lie in the shared folder. A node with very many partners is summed before the shuffle, and its
     pairs are dealt into SALTS parts where they meet its minimum."""
     edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     salt = F.pmod(F.xxhash64("v"), F.lit(SALTS))
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = _for_each_salt(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").withColumn("salt", salt).join(lowest, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = _for_each_salt(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.withColumn("salt", salt).join(lowest, ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.filter("u <> v").distinct(), "edges", spent=[edges])
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:

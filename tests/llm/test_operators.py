@@ -503,3 +503,16 @@ def test_secret_names_in_either_case_of_any_letter(spark):
     pattern = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     assert got == {i: ",".join(f"assign:{m.start()}:{m.end()}" for m in pattern.finditer(t)) for i, t in enumerate(texts)}
     assert [bool(got[i]) for i in range(5)] == [True, True, True, True, False]
+
+
+def test_pairs_that_are_stars_take_no_round(spark, monkeypatch):
+    """Each round costs a dozen shuffles, which the driver has to follow; rounds end with the first that leaves stars."""
+    made = []
+    monkeypatch.setattr(simhash, "written", lambda *a, **k: made.append(a) or written(*a, **k))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 1), (8, 2), (2, 8), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, simhash.components(stars).collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (8, 2), (9, 1)]
+    assert len(made) == 1
+    path = spark.createDataFrame([(3, 4), (4, 6), (6, 1), (11, 12)], "a long, b long")
+    assert sorted(map(tuple, simhash.components(path).collect())) == [(1, 1), (3, 1), (4, 1), (6, 1), (11, 11), (12, 11)]
+    for pairs, roots in (([(1, -2), (3, 1)], [(-2, -2), (1, -2), (3, -2)]), ([(4, 1), (4, 2)], [(1, 1), (2, 1), (4, 1)])):
+        assert sorted(map(tuple, simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect())) == roots
