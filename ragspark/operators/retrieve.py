@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,25 +61,43 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + 1e-10)
 
 
+def _inner(a: Iterable[np.ndarray], b: Iterable[np.ndarray]) -> np.ndarray:
+    """Inner products of pairs of vectors, given component by component and summed in that order: as SQL does, and the same for equal
+    vectors wherever they stand, which a matrix product doesn't hold to."""
+    return sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+
+
 def _measure(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Scores of every query with every vector; for l2 the negative squared distance."""
-    inner = q @ x.T
+    """Scores of every query with every vector, by a matrix product; for l2 the negative squared distance."""
+    return _score(kind, q @ x.T, (q**2).sum(axis=1)[:, None], (x**2).sum(axis=1))
+
+
+def _score(kind: str, inner: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The same by inner products and both sides' squared lengths."""
     if kind == "inner":
         return inner
     if kind == "cosine":
-        return inner / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1) + 1e-10)
-    squared = np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * inner, 0)
+        return inner / (np.sqrt(q) * np.sqrt(x) + 1e-10)
+    squared = np.maximum(q + x - 2 * inner, 0)
     return -squared if kind == "l2" else 1 - squared / 2
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To PLACES, halves away from zero as SQL rounds them; numpy's go to the even digit."""
+    scaled = scores * 10.0**PLACES
+    whole = np.trunc(scaled)
+    return np.where(np.abs(scaled - whole) >= 0.5, whole + np.copysign(1.0, scaled), whole) / 10.0**PLACES
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "l2_cosine", query: str = "query_id", item: str = "chunk_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """(query, item, score, rank): the k nearest vectors of every query, exactly. measure: inner, cosine, l2 (the squared
     distance, smaller is better) or l2_cosine (1 - squared distance / 2). within: a column of both, and only vectors that
     have the query's value in it are searched.
 
-    Blocks of queries meet blocks of vectors; each meeting is one matrix product, of which only its k best (all ties of the
-    last one included, as ids decide) leave the task. No side is broadcast, so neither need be small. Blocks are as large as
-    a task can hold, because every vector is copied once for each block of queries and the other way round."""
+    Blocks of queries meet blocks of vectors; each meeting is one matrix product. What may be among its k best by that (within its
+    error, and all ties of the last one included, as ids decide) is scored anew, pair by pair, and only the k best leave the
+    task. No side is broadcast, so neither need be small. Blocks are as large as a task can hold, because every vector is copied
+    once for each block of queries and the other way round."""
     if measure not in ("inner", "cosine", "l2", "l2_cosine"):
         raise ValueError(f"unknown measure {measure}")
     empty = queries.sparkSession.createDataFrame([], f"{query} {queries.schema[query].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, score double, rank int")
@@ -107,13 +125,20 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "
         names, ids, out = asked["i"].to_numpy(), block["i"].to_numpy(), []
         if len(asked) and len(block):
             x, every = np.stack(block["v"]).astype(np.float64), np.stack(asked["v"]).astype(np.float64)
-            for at in range(0, len(every), step := max(1, 8_000_000 // len(ids))):
-                scores = np.round(_measure(measure, every[at : at + step], x), PLACES)
-                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-                for name, row, low in zip(names[at : at + step], scores, least, strict=True):
-                    near = np.flatnonzero(row >= low)
-                    near = near[np.lexsort((ids[near], -row[near]))[:k]]
-                    out.append(pd.DataFrame({query: name, item: ids[near], "score": row[near]}))
+            parts, worst = np.ascontiguousarray(x.T), max(0, len(ids) - k)
+            lengths = _inner(parts, parts)
+            longest = np.sqrt(np.max(lengths, initial=0, where=np.isfinite(lengths)))
+            for at in range(0, len(every), step := max(1, 4_000_000 // len(ids))):
+                some = np.ascontiguousarray(every[at : at + step].T)
+                own = _inner(some, some)
+                rough = _measure(measure, every[at : at + step], x)
+                reach = {"inner": np.sqrt(own) * longest, "cosine": np.ones(len(own))}.get(measure, (np.sqrt(own) + longest) ** 2)
+                slack = 2 * 10.0**-PLACES + 16 * len(parts) * np.finfo(float).eps * np.nan_to_num(reach, posinf=0)
+                row, col = np.nonzero(rough >= (np.partition(rough, worst, axis=1)[:, worst] - slack)[:, None])
+                score = _rounded(_score(measure, _inner((c[row] for c in some), (c[col] for c in parts)), own[row], lengths[col]))
+                order = np.lexsort((ids[col], -score, row))
+                order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]  # row ascends before and after
+                out.append(pd.DataFrame({query: names[at + row[order]], item: ids[col[order]], "score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({query: names[:0], item: ids[:0], "score": np.zeros(0)})
 
     schema = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, score double"

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,19 @@ def test_words_of_stems_are_found_in_one_pass(spark, monkeypatch):
     asked = spark.createDataFrame([(7, "runner ran running"), (8, "cafe fly"), (9, "runs_fly")], "query_id long, text string")
     hits = {(h["query_id"], h["chunk_id"]) for h in retrieve.bm25_top_k(asked, chunks).collect()}
     assert hits == {(7, 1), (7, 3), (8, 2), (8, 3), (9, 3)}
+
+
+@pytest.mark.parametrize("measure", ["inner", "cosine", "l2", "l2_cosine"])
+def test_dense_search_scores_as_its_sql(spark, measure):
+    """Scores of components in steps of 1/128 lie on halves of the last place, which numpy and SQL round to different sides; copies tie."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(300, 6)) * 16) / 128
+    x = np.concatenate([x, x[:100], r.normal(size=(200, 6)) / 8, np.zeros((1, 6))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
+    queries = vectors.filter("chunk_id % 4 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {tuple(h) for h in retrieve.dense_top_k(queries, vectors, 20, measure).select("query_id", "chunk_id", "score", "rank").collect()}
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE v (id BIGINT, embedding DOUBLE[])")
+        c.executemany("INSERT INTO v VALUES (?, ?)", [(i, v.tolist()) for i, v in enumerate(x)])
+        sql = inputs.dense_sql(measure, 20, "SELECT id AS query_id, embedding FROM v WHERE id % 4 = 0", "SELECT id AS chunk_id, embedding FROM v", ascending=measure == "l2")
+        assert got == set(c.sql(f"WITH {sql} SELECT query_id, chunk_id, score, rank FROM hits").fetchall())
