@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ragspark.operators import chunk, intervals, lifecycle, ports, retrieve, spans
-from ragspark.sources import corpus
+from ragspark.sources import corpus, index, scratch, store
 from ragspark.sources.index import TermIndex
 from ragspark.sources.store import Store
 from ragspark.streaming import ingest
@@ -182,3 +182,62 @@ def test_many_files_are_listed_in_few_tasks(spark):
     assert int(own.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 4 * spark.sparkContext.defaultParallelism
     assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions") == "4"
     assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 10_000
+
+
+def shuffle_files(spark):
+    """Names and bytes of the shuffle files that lie there."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_postings_of_a_term_lie_in_groups(spark, tmp_path):
+    """Rows of the index grow with the terms of some texts, not with all chunks that hold them, and a change leaves no shuffle files."""
+    table = spark.createDataFrame([(i, " ".join(WORDS[:60])) for i in range(400)], "chunk_id int, text string").coalesce(1)
+    held = TermIndex(spark, str(tmp_path / "i"), parts=2)
+    before = shuffle_files(spark)
+    held.change(table)
+    folder = next(p for p in (tmp_path / "i").iterdir() if p.name in ("groups", "postings"))
+    assert spark.read.parquet(str(folder)).count() <= 61
+    assert sum(n for name, n in shuffle_files(spark).items() if name not in before) < 30_000  # counts, and keys to be counted
+    assert held.live().count() == 400 * 60
+
+
+def test_index_written_in_turns(spark, tmp_path, monkeypatch):
+    """Texts in many groups and turns, with marks, repeated keys and blank ones, are found as in a search of the texts."""
+    monkeypatch.setattr(index, "AT_ONCE", 4_000)
+    monkeypatch.setattr(index, "GROUPED", 300)
+    r = random.Random(6)
+    rows = [(f"c{i % 150}", some_text(r)) for i in range(160)] + [("e", ""), ("m", "Crème brûlée, crème; w1 w2"), ("n", "?!")]
+    table = lambda rows: spark.createDataFrame(rows, "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, some_text(r, 4)) for i in range(6)] + [(90, "w1_w2"), (91, "creme w1")], "query_id int, text string")
+    held, plain, turns = TermIndex(spark, str(tmp_path / "i"), parts=3), TermIndex(spark, str(tmp_path / "p"), stemmed=False), []
+    write = TermIndex._write
+    monkeypatch.setattr(TermIndex, "_write", lambda self, *a: (turns.append(1), write(self, *a)))
+    held.change(table(rows))
+    assert len(turns) > 2 and held.records()[0][3] == len(rows)
+    assert hits(held.search(queries, 10)) == hits(retrieve.bm25_top_k(queries, table(rows), 10))
+    plain.change(table(rows[:40]))
+    assert hits(plain.search(queries, 10)) == hits(retrieve.bm25_top_k(queries, table(rows[:40]), 10, stemmed=False))
+    found = sorted((x["chunk_id"], p, x["term"]) for x in plain.live().collect() for p in x["places"])
+    assert found == sorted((x["chunk_id"], x["pos"], x["term"]) for x in retrieve.postings(table(rows[:40]), False).collect())
+
+
+def test_segments_without_live_chunks_are_not_read(spark, tmp_path, monkeypatch):
+    table = lambda x, n: spark.createDataFrame([(i, f"{x} w{i}") for i in range(n)], "chunk_id int, text string")
+    held = TermIndex(spark, str(tmp_path / "i"), parts=1)
+    held.change(table("old", 9))
+    held.change(table("new", 9), table("old", 9))
+    first, second = (r[1] for r in held.records())
+    read, groups = [], TermIndex._groups
+    monkeypatch.setattr(TermIndex, "_groups", lambda self, column, values: (read.append(values), groups(self, column, values))[1])
+    held.live()
+    assert read == [[first], [second]]  # the first one's list of chunks, the other's postings
+    q = spark.createDataFrame([(1, "old new w3")], "query_id int, text string")
+    assert hits(held.search(q)) == hits(retrieve.bm25_top_k(q, table("new", 9)))
+    held.change(table("newest", 2), table("new", 2))  # of this segment most are alive
+    now = table("newest", 2).unionByName(table("new", 9).filter("chunk_id > 1"))
+    q = spark.createDataFrame([(1, "old new w3"), (2, "newest w1")], "query_id int, text string")
+    assert hits(held.search(q, 9)) == hits(retrieve.bm25_top_k(q, now, 9))
+    held.compact()
+    held.change(table("last", 1), table("newest", 1))
+    assert hits(held.search(q, 9)) == hits(retrieve.bm25_top_k(q, table("last", 1).unionByName(now.filter("chunk_id > 0")), 9))
