@@ -187,7 +187,7 @@ def test_many_files_are_listed_in_few_tasks(spark):
 def shuffle_files(spark):
     """Names and bytes of the shuffle files that lie there."""
     files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
-    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if re.match(r"shuffle_.*data$", f.getName())}
 
 
 def test_postings_of_a_term_lie_in_groups(spark, tmp_path):
@@ -241,3 +241,44 @@ def test_segments_without_live_chunks_are_not_read(spark, tmp_path, monkeypatch)
     held.compact()
     held.change(table("last", 1), table("newest", 1))
     assert hits(held.search(q, 9)) == hits(retrieve.bm25_top_k(q, table("last", 1).unionByName(now.filter("chunk_id > 0")), 9))
+
+
+def test_ingestion_keeps_texts_once(spark, tmp_path):
+    """Of a batch there stay the store's tables: no table of its own, no text in shuffle files, and no second copy of the postings."""
+    r, inbox = random.Random(7), tmp_path / "in"
+    inbox.mkdir()
+    for i in range(60):
+        text = some_text(r, 1500) + f" {r.random()}"
+        (inbox / f"d{i}.{'md' if i % 2 else 'ipynb'}").write_text(text if i % 2 else notebook(("markdown", text)))
+    (inbox / "copy").mkdir()
+    (inbox / "copy" / "d1.md").write_text((inbox / "d1.md").read_text())  # the same document twice
+    s, embed = Store(spark, str(tmp_path / "s"), 4, parts=2, digits=1), ports.embedder(ports.hash_model(8), 8, errors=True)
+    made, before = set(scratch._MADE), shuffle_files(spark)
+    ingest.ingest_files(spark, str(inbox), s, embed, str(tmp_path / "cp")).awaitTermination()
+    assert set(scratch._MADE) == made and not s.exists("postings")
+    assert sum(n for name, n in shuffle_files(spark).items() if name not in before) < 100_000  # counts, names and numbers; the texts have more characters
+    state = lifecycle.fold(s.read("events")).collect()
+    assert len(state) == 60 and {x["status"] for x in state} == {"completed"} and sum(x["n_chunks"] for x in state) == s.read("chunks").count()
+    chunks = s.read("chunks")
+    assert chunks.select("doc_id", "ordinal").distinct().count() == chunks.count() == s.read("vectors").count() > 60
+    rows = lambda df: sorted((x["chunk_id"], x["pos"], x["term"], x["doc_id"]) for x in df.collect())
+    of_texts = lambda: rows(retrieve.postings(s.read("chunks")).join(s.read("chunks").select("chunk_id", "doc_id"), "chunk_id"))
+    assert rows(s.read("postings")) == of_texts()
+    # a store that has a table of postings keeps it up
+    s.replace({t: s.read(t).localCheckpoint() for t in store.TABLES})
+    ingest.ingest_batch(spark.createDataFrame([("d1", "other words")], "doc_id string, text string"), s, embed)
+    assert s.exists("postings") and rows(s.read("postings")) == of_texts() and s.read("chunks").filter("doc_id = 'd1'").count() == 1
+
+
+def test_store_written_in_turns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "AT_ONCE", 20)
+    written, write = [], Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, name, rows, some: (written.append((name, tuple(some))), write(self, name, rows, some)))
+    s = Store(spark, str(tmp_path / "s"), 4)
+    rows = lambda ids, x: {t: spark.createDataFrame([(d, f"{d}{i}", x) for d in ids for i in range(2)], "doc_id int, chunk_id string, text string") for t in store.TABLES}
+    s.replace(rows(range(30), "a"))
+    s.replace(rows(range(20, 40), "b"), spark.createDataFrame([(5,)], "doc_id int"))
+    assert written == [(t, (b,)) for _ in range(2) for t in store.TABLES for b in range(4)]
+    wanted = sorted((d, f"{d}{i}", "a" if d < 20 else "b") for d in range(40) if d != 5 for i in range(2))
+    for t in store.TABLES:
+        assert sorted((x["doc_id"], x["chunk_id"], x["text"]) for x in s.read(t).collect()) == wanted
