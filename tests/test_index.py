@@ -200,6 +200,9 @@ def test_postings_of_a_term_lie_in_groups(spark, tmp_path):
     assert spark.read.parquet(str(folder)).count() <= 61
     assert sum(n for name, n in shuffle_files(spark).items() if name not in before) < 30_000  # counts, and keys to be counted
     assert held.live().count() == 400 * 60
+    queries = spark.createDataFrame([(1, "w1 w2 w3")], "query_id int, text string")
+    few = scratch.few(retrieve.query_terms(queries), "terms")
+    assert "SortMergeJoin" not in held.live(few)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_index_written_in_turns(spark, tmp_path, monkeypatch):
